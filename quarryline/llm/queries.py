@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from quarryline.llm import shared_spans, tokenizer
+from quarryline.llm import broken_files, shared_spans, tokenizer
 from quarryline.session import table
 
 
+def p3_found(spark, d):
+    return broken_files.broken_files(table(spark, d, "search_results"))
+
+
+def p3_rates(spark, d):
+    return broken_files.failure_rates(table(spark, d, "search_results"), table(spark, d, "repositories"))
+
+
 def p8_ids(spark, d):
     return tokenizer.encode_corpus(table(spark, d, "documents"))
 
@@ -18,5 +26,5 @@ def p10_portions(spark, d):
     return shared_spans.SharedSpans(table(spark, d, "documents")).portions()
 
 
-QUERIES = {"p8_ids": p8_ids, "p10_found": p10_found, "p10_portions": p10_portions}
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p8_ids": p8_ids, "p10_found": p10_found, "p10_portions": p10_portions}
 ORACLES: dict[str, str] = {}
