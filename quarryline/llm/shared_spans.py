@@ -6,7 +6,10 @@ depend on near content alone and move along with it when text is inserted before
 chunk of ``CHUNK`` characters, and chunks are deduplicated by digest.  Within any common span of ``MIN_SPAN``
 characters at least one cut point is decided by the span alone and leaves room for its whole chunk:
 the first is at most at 2 * REACH - 2, and 2 * REACH - 2 + CHUNK <= MIN_SPAN, 3 * REACH <= MIN_SPAN - GEAR + 3.
-So every pair with a common span meets in some chunk; an exact check of the two texts then decides.
+So every pair with a common span meets in some chunk.  Chunks that stand in one text only are dropped.  A chunk left
+over is widened to each of ``WIDER`` windows of MIN_SPAN - slack / WIDER characters around it (slack = MIN_SPAN - CHUNK),
+one of which lies in any common span that holds the chunk; texts that share a widened chunk are candidates, and an
+exact check of the two texts decides.
 
 Defined cases
 -------------
@@ -23,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.operators.sized import pairs_in_groups, small_side
+from quarryline.operators.sized import BROADCAST_ROWS, pairs_in_groups, small_side
 from quarryline.session import cut_lineage
 
 MIN_SPAN = 200
-GEAR, REACH, CHUNK = 8, 64, 70
+GEAR, REACH, CHUNK, WIDER = 8, 64, 70, 5
 #: Characters that are chunked at once; a longer text is cut into pieces that overlap by a span.
 PIECE = 400_000
 
@@ -80,27 +83,41 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def chunk_digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the text, digest of the chunk) of every chunk of texts, each text at least ``MIN_SPAN`` long."""
+def chunk_digests(texts: list[str], keep: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, digest of the chunk) of every chunk of texts, each text at least ``MIN_SPAN`` long.
+
+    With ``keep``, the digests to keep of each text: (number of the text, digest of the widened chunk) of those.
+    """
     gap = np.zeros(GEAR + REACH, np.uint32)
     codes = [_codes(t) for t in texts]
-    starts, at = [], 0
-    for c in codes:
-        starts.append(at)
-        at += len(c) + len(gap)
+    lengths = [len(c) + len(gap) for c in codes]
+    first = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     flat = np.concatenate([x for c in codes for x in (c, gap)])
-    owner = np.repeat(np.arange(len(texts)), [len(c) + len(gap) for c in codes])
-    ends = np.repeat(np.array([s + len(c) for s, c in zip(starts, codes)]), [len(c) + len(gap) for c in codes])
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    starts = np.repeat(first, lengths)
+    ends = np.repeat(first + [len(c) for c in codes], lengths)
     table = _gear_table(flat)
     gear = _windows(table, GEAR, _gear)
-    place = np.arange(len(gear))
-    gear = np.where(place + GEAR <= ends[: len(gear)], gear, _MAX)
+    place = np.arange(len(flat))
+    gear = np.where(place[: len(gear)] + GEAR <= ends[: len(gear)], gear, _MAX)
     low = _windows(gear, REACH, _least)  # low[s]: least of the window that begins at s
     padded = np.concatenate([np.full(REACH - 1, low[0], low.dtype), low, np.full(REACH - 1, low[-1], low.dtype)])
     cut = _windows(padded, REACH, _most)[: len(gear)] == gear
     digest = _windows(table, CHUNK, _poly)
-    cut = np.flatnonzero(cut[: len(digest)] & (place[: len(digest)] + CHUNK <= ends[: len(digest)]))
-    return owner[cut], digest[cut]
+    at = np.flatnonzero(cut[: len(digest)] & (place[: len(digest)] + CHUNK <= ends[: len(digest)]))
+    if keep is None:
+        return owner[at], digest[at]
+    at = at[np.concatenate([np.isin(digest[part], k) for part, k in zip(np.split(at, np.searchsorted(at, first[1:])), keep)])]
+    step = (MIN_SPAN - CHUNK) // WIDER
+    wide = MIN_SPAN - step
+    digest = _windows(table, wide, _poly)
+    owners, digests = [], []
+    for k in range(WIDER):
+        left = at - k * step
+        left = left[(left >= starts[at]) & (left + wide <= ends[at])]
+        owners.append(owner[left])
+        digests.append(digest[left])
+    return np.concatenate(owners), np.concatenate(digests)
 
 
 def common_cover(a: str, b: str, span: int = MIN_SPAN) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -128,30 +145,33 @@ def _cover(a: str, b: str, ha: np.ndarray, hb: np.ndarray, span: int) -> list[tu
 
 
 def _digest_rows(batches):
+    """Distinct (tid, digest) rows of tid and text, and of the digests to keep if there is a third column."""
     seen: set[int] = set()
     for batch in batches:
-        ids, texts = [], []
-        size = 0
+        wanted = batch.column(2) if batch.num_columns > 2 else None
+        ids, texts, keep, size = [], [], [], 0
 
         def flush():
-            owner, digest = chunk_digests(texts)
+            owner, digest = chunk_digests(texts, keep if wanted is not None else None)
             pairs = np.unique(np.stack([np.array(ids, np.int64)[owner], digest.view(np.int64)]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["tid", "digest"])
 
-        for tid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for row, tid in enumerate(batch.column(0).to_pylist()):
             if tid in seen:
                 continue
             if len(seen) < 500_000:
                 seen.add(tid)
-            text = text.as_py()
+            text = batch.column(1)[row].as_py()
+            mine = None if wanted is None else wanted[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
             for i in range(0, max(1, len(text) - MIN_SPAN + 1), PIECE):
                 piece = text[i : i + PIECE + MIN_SPAN]
                 ids.append(tid)
                 texts.append(piece)
+                keep.append(mine)
                 size += len(piece)
                 if size >= PIECE:
                     yield flush()
-                    ids, texts, size = [], [], 0
+                    ids, texts, keep, size = [], [], [], 0
         if texts:
             yield flush()
 
@@ -189,11 +209,13 @@ class SharedSpans:
         chunks = cut_lineage(digests)
         # Digests of more than one text: partial sums before the shuffle, so that a hot chunk is one row a task.
         shared = cut_lineage(chunks.groupBy("digest").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo < hi").select("digest"))
-        hits = chunks.join(small_side(shared), "digest").distinct()
-        # Chunks of one and the same set of texts give the same pairs: one of them is kept (128-bit digest of the set).
-        sets = hits.groupBy("digest").agg(F.count("*").alias("n"), F.sum(F.xxhash64("tid").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("tid", F.lit(1))).alias("x"))
-        kept = sets.groupBy("n", "s", "x").agg(F.min("digest").alias("digest")).select("digest")
-        self.pairs = cut_lineage(pairs_in_groups(hits.join(kept, "digest"), "digest", "tid"))
+        hits = chunks.join(small_side(shared), "digest").distinct().groupBy("tid").agg(F.collect_list("digest").alias("digests"))
+        again = self.long.join(small_side(cut_lineage(hits), BROADCAST_ROWS // 4), "tid").select("tid", "text", "digests")
+        wide = cut_lineage(again.mapInArrow(_digest_rows, "tid bigint, digest bigint").distinct())
+        # Widened chunks of one and the same set of texts give the same pairs: one is kept (128-bit digest of the set).
+        sets = wide.groupBy("digest").agg(F.count("*").alias("n"), F.sum(F.xxhash64("tid").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("tid", F.lit(1))).alias("x"))
+        kept = sets.where("n > 1").groupBy("n", "s", "x").agg(F.min("digest").alias("digest")).select("digest")
+        self.pairs = cut_lineage(pairs_in_groups(wide.join(kept, "digest"), "digest", "tid"))
         wanted = self.pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
         texts = self.long.join(small_side(cut_lineage(wanted)), "tid").groupBy("tid").agg(F.min_by("text", "doc_id").alias("text"))
         texts = cut_lineage(texts)
