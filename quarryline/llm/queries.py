@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarryline.llm import broken_files, shared_spans, tokenizer
+from quarryline.llm import broken_files, handwritten, secrets, shared_spans, tokenizer
 from quarryline.session import table
 
 
@@ -14,6 +14,22 @@ def p3_rates(spark, d):
     return broken_files.failure_rates(table(spark, d, "search_results"), table(spark, d, "repositories"))
 
 
+def p4_found(spark, d):
+    return handwritten.not_handwritten(table(spark, d, "search_results"))
+
+
+def p4_report(spark, d):
+    return handwritten.origin_report(table(spark, d, "search_results"), table(spark, d, "repositories"))
+
+
+def p6_found(spark, d):
+    return secrets.secret_lines(table(spark, d, "search_results")).select("entity_id", "line_no").distinct()
+
+
+def p6_redacted(spark, d):
+    return secrets.redacted(table(spark, d, "search_results"))
+
+
 def p8_ids(spark, d):
     return tokenizer.encode_corpus(table(spark, d, "documents"))
 
@@ -26,5 +42,5 @@ def p10_portions(spark, d):
     return shared_spans.SharedSpans(table(spark, d, "documents")).portions()
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p8_ids": p8_ids, "p10_found": p10_found, "p10_portions": p10_portions}
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_ids": p8_ids, "p10_found": p10_found, "p10_portions": p10_portions}
 ORACLES: dict[str, str] = {}
