@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarryline.llm import broken_files, handwritten, secrets, shared_spans, tokenizer
+from quarryline.llm import broken_files, doc_pairs, handwritten, secrets, shared_spans, tokenizer
 from quarryline.session import table
 
 
@@ -30,6 +30,14 @@ def p6_redacted(spark, d):
     return secrets.redacted(table(spark, d, "search_results"))
 
 
+def p7_found(spark, d):
+    return doc_pairs.documented_functions(table(spark, d, "search_results")).select("entity_id", "line_no").distinct()
+
+
+def p7_pairs(spark, d):
+    return doc_pairs.documented_functions(table(spark, d, "search_results"))
+
+
 def p8_ids(spark, d):
     return tokenizer.encode_corpus(table(spark, d, "documents"))
 
@@ -42,5 +50,5 @@ def p10_portions(spark, d):
     return shared_spans.SharedSpans(table(spark, d, "documents")).portions()
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_ids": p8_ids, "p10_found": p10_found, "p10_portions": p10_portions}
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p10_found": p10_found, "p10_portions": p10_portions}
 ORACLES: dict[str, str] = {}
