@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from quarryline.llm import broken_files, doc_pairs, handwritten, secrets, shared_spans, tokenizer
+import os
+
+from pyspark.sql import functions as F
+
+from quarryline.llm import broken_files, doc_pairs, handwritten, personal, secrets, shared_spans, tokenizer
 from quarryline.session import table
 
 
@@ -22,6 +26,23 @@ def p4_report(spark, d):
     return handwritten.origin_report(table(spark, d, "search_results"), table(spark, d, "repositories"))
 
 
+_PERSONAL = (("chat_logs", "id", "question"), ("tracebacks", "traceback_id", "raw_text"))
+#: The key of the pseudonyms; a deployment sets its own.
+PSEUDONYM_KEY = os.environ.get("QUARRYLINE_PSEUDONYM_KEY", "development key").encode()
+
+
+def p5_found(spark, d):
+    names = personal.known_first_names(table(spark, d, "users"))
+    parts = [personal.personal_kinds(table(spark, d, t), key, text, names).select(F.lit(t).alias("source_table"), "record_id", "kind") for t, key, text in _PERSONAL]
+    return parts[0].unionByName(parts[1])
+
+
+def p5_masked(spark, d):
+    names = personal.known_first_names(table(spark, d, "users"))
+    parts = [personal.masked_texts(table(spark, d, t), key, text, names, PSEUDONYM_KEY).select(F.lit(t).alias("source_table"), "record_id", "text") for t, key, text in _PERSONAL]
+    return parts[0].unionByName(parts[1])
+
+
 def p6_found(spark, d):
     return secrets.secret_lines(table(spark, d, "search_results")).select("entity_id", "line_no").distinct()
 
@@ -50,5 +71,5 @@ def p10_portions(spark, d):
     return shared_spans.SharedSpans(table(spark, d, "documents")).portions()
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p10_found": p10_found, "p10_portions": p10_portions}
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_masked": p5_masked, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p10_found": p10_found, "p10_portions": p10_portions}
 ORACLES: dict[str, str] = {}
