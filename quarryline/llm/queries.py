@@ -6,10 +6,22 @@ import os
 
 from pyspark.sql import functions as F
 
-from quarryline.llm import broken_files, doc_pairs, handwritten, personal, secrets, shared_spans, tokenizer
+from quarryline.llm import broken_files, doc_pairs, handwritten, pair_defects, personal, secrets, shared_spans, tokenizer
 from quarryline.session import table
 
 
+def p1_found(spark, d):
+    return pair_defects.pair_defects(table(spark, d, "chat_logs"))
+
+
+def p1_report(spark, d):
+    """Pairs and defects by question type and month."""
+    logs = table(spark, d, "chat_logs")
+    kinds = logs.select("id", F.coalesce("question_type", F.lit("none")).alias("question_type"), F.date_format("created_at", "yyyy-MM").alias("month")).groupBy("id").agg(F.min("question_type").alias("question_type"), F.min("month").alias("month"))
+    found = kinds.join(pair_defects.pair_defects(logs), "id", "left")
+    return found.groupBy("question_type", "month").agg(F.count("*").alias("pairs"), F.count("defect").alias("broken"), *(F.sum((F.col("defect") == x).cast("bigint")).alias(x) for x in pair_defects.DEFECTS)).fillna(0, list(pair_defects.DEFECTS))
+
+
 def p3_found(spark, d):
     return broken_files.broken_files(table(spark, d, "search_results"))
 
@@ -71,5 +83,5 @@ def p10_portions(spark, d):
     return shared_spans.SharedSpans(table(spark, d, "documents")).portions()
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_masked": p5_masked, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p10_found": p10_found, "p10_portions": p10_portions}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_masked": p5_masked, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p10_found": p10_found, "p10_portions": p10_portions}
 ORACLES: dict[str, str] = {}
