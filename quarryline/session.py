@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,7 @@ def local_session(cpus: int = 8, name: str = "quarryline") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return ship_package(spark)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -38,6 +40,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Gives the executors this package, once a session, so that Python steps can import it anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_quarryline_shipped", None) is None:
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="quarryline-")) / "quarryline_package.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(target))
+        context._quarryline_shipped = str(target)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
