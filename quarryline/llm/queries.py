@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from quarryline.llm import broken_files, doc_pairs, handwritten, pair_defects, personal, secrets, shared_spans, tokenizer
+from quarryline.llm import broken_files, doc_pairs, handwritten, mixing, pair_defects, personal, secrets, shared_spans, tokenizer
 from quarryline.session import table
 
 
@@ -75,6 +75,18 @@ def p8_ids(spark, d):
     return tokenizer.encode_corpus(table(spark, d, "documents"))
 
 
+def _mixture(spark, d):
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_mixture(spark, d):
+    return _mixture(spark, d).mixture()
+
+
+def p9_shares(spark, d):
+    return _mixture(spark, d).shares()
+
+
 def p10_found(spark, d):
     return shared_spans.SharedSpans(table(spark, d, "documents")).document_pairs()
 
@@ -83,5 +95,5 @@ def p10_portions(spark, d):
     return shared_spans.SharedSpans(table(spark, d, "documents")).portions()
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_masked": p5_masked, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p10_found": p10_found, "p10_portions": p10_portions}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_masked": p5_masked, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_portions": p10_portions}
 ORACLES: dict[str, str] = {}
