@@ -193,3 +193,19 @@ def trace_path(path: Column) -> Column:
 
 def clamp_score(score: Column, default: float = 0.5) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(score, F.lit(default))))
+
+
+def url_safe_base64(text: Column) -> Column:
+    return F.translate(F.base64(text.cast("binary")), "+/\r\n", "-_")
+
+
+def clean_model_text(text: Column) -> Column:
+    """A model's reply without reasoning blocks and code fences."""
+    t = F.regexp_replace(text, r"(?is)<(think|reasoning)>.*?</\1>", "")
+    return F.trim(F.regexp_replace(t, r"```\w*", ""))
+
+
+def numbered_items(text: Column, most: int) -> Column:
+    """The items of a numbered list, without their numbers."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*\d+[.)]\s*", "")))
+    return F.slice(F.filter(lines, lambda x: x != ""), 1, most)

@@ -37,8 +37,8 @@ def parse_tracebacks(rows: DataFrame, key: str, text: str) -> DataFrame:
     plain = F.filter("_l", lambda x: (x != "") & ~x.startswith(" ") & ~x.rlike(FRAME))
     typed = F.filter(plain, lambda x: x.rlike(EXCEPTION) | (x.rlike(BARE_EXCEPTION) & x.contains(".")))
     message = F.filter(plain, lambda x: x.rlike(EXCEPTION))
-    last = F.when(F.size(typed) > 0, F.element_at(typed, -1))
-    last_message = F.when(F.size(message) > 0, F.element_at(message, -1))
+    last = F.when(F.size(typed) > 0, F.try_element_at(typed, F.lit(-1)))
+    last_message = F.when(F.size(message) > 0, F.try_element_at(message, F.lit(-1)))
     return base.select(
         key,
         frames.alias("frames"),

@@ -79,7 +79,7 @@ def cache_hits(events: DataFrame, key: str, at: str, ttl_seconds: int) -> DataFr
     co-partitioned, sorted and scanned in one pass that holds one fill time, so no group is collected.
     """
     ttl = ttl_seconds * 1_000_000
-    items = events.select(F.col(key).cast("string").alias("k"), "event_id", F.unix_micros(at).alias("t"))
+    items = events.select(F.col(key).cast("string").alias("k"), "event_id", F.unix_micros(F.col(at).cast("timestamp")).alias("t"))
     order = Window.partitionBy("k").orderBy("t", "event_id")
     gap = F.coalesce((F.col("t") - F.lag("t").over(order) >= ttl).cast("int"), F.lit(1))
     runs = items.withColumn("_g", gap).withColumn("run", F.sum("_g").over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -20,9 +20,12 @@ def deduplicated(events: DataFrame, keys: list[str], at: str, lateness: str = "1
     return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, lateness).dropDuplicatesWithinWatermark(keys)
 
 
-def windowed_usage(events: DataFrame, at: str, group: str, value: str, width: str = "1 day", lateness: str = "1 hour") -> DataFrame:
-    """Counts and sums per tumbling window and group; late rows beyond the watermark are left out."""
-    marked = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, lateness)
+def windowed_usage(events: DataFrame, at: str, group: str, value: str, width: str = "1 day", lateness: str | None = "1 hour") -> DataFrame:
+    """Counts and sums per tumbling window and group; late rows beyond the watermark are left out.
+
+    lateness is None where the events have their watermark already.
+    """
+    marked = events if lateness is None else events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, lateness)
     agg = marked.groupBy(F.window(at, width), group).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return agg.select(F.col("window.start").alias("start"), group, "n", "total")
 
