@@ -40,6 +40,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for steps that cost far more than moving a row.
+
+    Only an input of few file splits is moved; one that has enough partitions stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
     """Gives the executors this package, once a session, so that Python steps can import it anywhere."""
     context = spark.sparkContext
