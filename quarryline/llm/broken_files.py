@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.source.grammars import GRAMMARS, judge
+from quarryline.session import spread
 
 _EXTENSION = r"\.(" + "|".join(GRAMMARS) + r")$"
 
@@ -40,7 +41,7 @@ def judge_files(results: DataFrame) -> DataFrame:
             cols = [b.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out]), pa.array([x[2] for x in out], pa.string()), pa.array([x[3] for x in out], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    judged = rows.mapInArrow(run, "entity_id string, extension string, valid boolean, parsed_as string, cause string")
+    judged = spread(rows).mapInArrow(run, "entity_id string, extension string, valid boolean, parsed_as string, cause string")
     return judged.distinct().withColumn("repository", repository_of())
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from quarryline.llm.broken_files import latest_repositories, repository_of
 from quarryline.llm.source.grammars import extension
 from quarryline.llm.source.layout import Layout
+from quarryline.session import spread
 
 SOURCE = frozenset(("py", "js", "jsx", "ts", "tsx"))
 #: Canonical lines per line, and mean characters of a line, from which code counts as minified.
@@ -95,7 +96,7 @@ def file_origins(results: DataFrame) -> DataFrame:
             kinds = [classify(p, t.as_py(), (i or "").split(":", 2)[1] if i and ":" in i else "") for i, p, t in zip(ids, b.column(1).to_pylist(), b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kinds, pa.string())], ["entity_id", "origin"])
 
-    return rows.mapInArrow(run, "entity_id string, origin string").distinct().withColumn("repository", repository_of())
+    return spread(rows).mapInArrow(run, "entity_id string, origin string").distinct().withColumn("repository", repository_of())
 
 
 def not_handwritten(results: DataFrame) -> DataFrame:

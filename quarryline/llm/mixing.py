@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.tokenizer import encoder, vocabulary
-from quarryline.session import cut_lineage
+from quarryline.session import cut_lineage, spread
 
 #: Labelled documents the classifier is fitted on, at most: those with the least hash of their key.
 LABELLED_ROWS = 20_000
@@ -125,7 +125,7 @@ class Mixture:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(feats) + 1, dtype=np.int32) * N_FEATURES), flat)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), lists], ["doc_id", "label", "n_tokens", "x"])
 
-        measured = cut_lineage(rows.mapInArrow(measure, f"doc_id {kind}, label int, n_tokens bigint, x array<float>"))
+        measured = cut_lineage(spread(rows).mapInArrow(measure, f"doc_id {kind}, label int, n_tokens bigint, x array<float>"))
         sample = measured.where("label >= 0 and n_tokens > 0").select("label", "x").orderBy(F.xxhash64("doc_id")).limit(LABELLED_ROWS).toPandas()
         y = sample["label"].to_numpy()
         if len(y):

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.session import spread
+
 LABELS = ("answer", "refusal", "echo", "foreign", "unfinished")
 DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
 #: The bound of the labelled training set, and passes over it.
@@ -41,26 +43,25 @@ _STOPS = {w: lang for lang, words in _STOP.items() for w in words.split()}
 _AMBIGUOUS = {"es", "die", "a", "in", "no", "as", "me", "he", "son", "si", "so", "an", "was", "am", "des", "den", "le", "lo", "bei"}
 _CODE = re.compile(r"```[\s\S]*?(?:```|\Z)|`[^`\n]*`?|\S*[\w)]\.[A-Za-z_]\w*(?:\(\))?|\b\w*_\w*\b|\b[A-Za-z]*[a-z][A-Z]\w*\b|\S*[/\\@]\S*|\b\w*(?:Error|Exception)\b|\d[\d.:]*")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_CYRILLIC, _UMLAUT, _ACCENT = re.compile("[а-яё]"), re.compile("[äöüß]"), re.compile("[ñáíóú]")
 
 
 def language(text: str) -> str | None:
     """ru, en, de or es, by script and function words; None where nothing tells."""
-    words = [w.casefold() for w in _LETTERS.findall(_CODE.sub(" ", text))]
+    words = _LETTERS.findall(_CODE.sub(" ", text).casefold())
     if not words:
         return None
-    letters = sum(map(len, words))
-    cyrillic = sum("а" <= c <= "я" or c == "ё" for w in words for c in w)
-    if cyrillic > 0.35 * letters:
+    joined = "".join(words)
+    if len(_CYRILLIC.findall(joined)) > 0.35 * len(joined):
         return "ru"
     score = {"en": 0.0, "de": 0.0, "es": 0.0}
     for w in words:
         lang = _STOPS.get(w)
         if lang:
             score[lang] += 0.4 if w in _AMBIGUOUS else 1.0
-        if any(c in "äöüß" for c in w):
-            score["de"] += 1.0
-        if any(c in "ñáíóú" for c in w):
-            score["es"] += 1.0
+    if not joined.isascii():
+        score["de"] += sum(1.0 for w in words if _UMLAUT.search(w))
+        score["es"] += sum(1.0 for w in words if _ACCENT.search(w))
     if "¿" in text or "¡" in text:
         score["es"] += 2.0
     best = max(score, key=score.__getitem__)
@@ -99,9 +100,14 @@ def question_language(question: str) -> str | None:
 _NOTHING = re.compile(r"(?:n[/.\\]?a\.?|none|null|nil|nan|undefined|empty|missing|unknown|void|no answer|no response|not available|tbd|todo|нет|нет ответа|нет данных|пусто|н/д|keine(?: antwort)?|leer|sin respuesta|vacío|ninguno?)", re.I)
 
 
+_FOUR_WORDS = re.compile(r"\w{2,}\W+\w{2,}\W+\w{2,}\W+\w{2,}")
+
+
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
+    if _FOUR_WORDS.search(answer):
+        return False
     text = re.sub(r"```[ \t]*\w*[ \t]*\r?\n?\s*(?:```|\Z)", " ", answer)
     text = "".join(c for c in text if unicodedata.category(c)[0] not in "CZ" or c == " ").strip()
     bare = "".join(c for c in text if unicodedata.category(c)[0] not in "PSM" or c == "/").strip(" /")
@@ -166,6 +172,17 @@ _COMPLETE = re.compile(r"[.!?…:;。][\"'”»)\]`*_]*$|[)\]}][.!?]?$|`[\"')]*$
 _PREFIX = re.compile(r"^\s*(?:>+\s*|(?:question|вопрос|frage|pregunta|q|you asked|вы спросили|ihre frage|su pregunta)\s*:\s*)+", re.I)
 _TOKEN = re.compile(r"\w+")
 
+#: Patterns, and substrings one of which any of their matches holds (None: no such list).
+_TESTS = {
+    "negative": (_NEGATIVE, ("not", "n't", "n’t", "unable", "won", "must", "decline", "refuse", "no ", "insufficient", "не ", "нельзя", "нет ", "запрещено", "отказываюсь", "недостаточно", "nicht", "kein", "niego")),
+    "first": (_FIRST, None),
+    "help": (_HELP, None),
+    "apology": (_APOLOGY, ("sorry", "unfort", "apolog", "regret", "извин", "сожал", "прости", "leider", "leid", "entsch", "bedau", "siento", "lamen", "disculp", "desgracia", "perdon")),
+    "scope": (_SCOPE, ("outside", "beyond", "выход", "вне", "разрешено", "außerhalb", "ausserhalb", "fuera", "something")),
+    "courtesy": (_COURTESY, None),
+    "greeting": (_GREETING, None),
+    "sources": (_SOURCES, (":",)),
+}
 FEATURES = (
     "bias", "negative", "first", "help", "apology", "scope", "courtesy", "quote", "negative+help", "negative+first", "negative+first+help", "apology+negative",
     "short", "long", "stand", "stand+negative", "code", "open", "item", "path", "sources", "greeting", "echo", "echo_half", "echo_little", "foreign", "same_language",
@@ -192,8 +209,8 @@ def featurize(question: str | None, answer: str) -> tuple[list[tuple[str, str]],
         else:
             quote = bool(_QUOTE.search(text))
             bare = _QUOTE.sub(" ", text) if quote else text
-            tests = {"negative": _NEGATIVE, "first": _FIRST, "help": _HELP, "apology": _APOLOGY, "scope": _SCOPE, "courtesy": _COURTESY, "greeting": _GREETING, "sources": _SOURCES}
-            got = {k for k, p in tests.items() if p.search(bare)}
+            low = bare.casefold()
+            got = {k for k, (p, signs) in _TESTS.items() if (signs is None or any(x in low for x in signs)) and p.search(bare)}
             if "greeting" in got:
                 got -= {"apology", "negative", "help"}
             on += got
@@ -446,4 +463,4 @@ def pair_defects(logs: DataFrame, record_id: str = "id", question: str = "questi
             keep = pa.array([f is not None for f in found])
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), pa.array(found, pa.string()).filter(keep)], ["id", "defect"])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, defect string").distinct()
+    return spread(rows).mapInArrow(run, f"id {dict(rows.dtypes)['id']}, defect string").distinct()

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.session import spread
+
 KINDS = ("email", "id_number", "phone", "address", "name", "date")
 MAX_NAMES = 500_000
 _L, _U, _A = r"a-zà-öø-ÿßа-яё", r"A-ZÀ-ÖØ-ÞА-ЯЁ", r"A-Za-zÀ-ÖØ-öø-ÿßА-Яа-яЁё"
@@ -273,7 +275,7 @@ def personal_kinds(rows: DataFrame, record_id: str, text: str, first_names: list
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(kinds, pa.string())], ["record_id", "kind"])
 
     source = rows.select(F.col(record_id).alias("record_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    return source.mapInArrow(run, f"record_id {dict(source.dtypes)['record_id']}, kind string").distinct()
+    return spread(source).mapInArrow(run, f"record_id {dict(source.dtypes)['record_id']}, kind string").distinct()
 
 
 def masked_texts(rows: DataFrame, record_id: str, text: str, first_names: list[str], key: bytes) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.trigrams import TrigramIndex
+from quarryline.session import spread
 
 CHUNK, OVERLAP = 4_000, 3
 MASK = "REDACTED"
@@ -178,7 +179,7 @@ def secret_lines(results: DataFrame) -> DataFrame:
                 rules.append(rule)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(lines, pa.int64()), pa.array(rules, pa.string())], ["entity_id", "line_no", "rule"])
 
-    return rows.mapInArrow(lambda b: _run(b, emit), "entity_id string, line_no bigint, rule string")
+    return spread(rows).mapInArrow(lambda b: _run(b, emit), "entity_id string, line_no bigint, rule string")
 
 
 def redacted(results: DataFrame) -> DataFrame:

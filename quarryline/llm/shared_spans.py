@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.operators.sized import BROADCAST_ROWS, pairs_in_groups, small_side
-from quarryline.session import cut_lineage
+from quarryline.session import cut_lineage, spread
 
 MIN_SPAN = 200
 GEAR, REACH, CHUNK, WIDER = 8, 64, 70, 5
@@ -205,7 +205,7 @@ class SharedSpans:
     def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text"):
         self.rows = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
         self.long = self.rows.where(F.length("text") >= MIN_SPAN).select("doc_id", F.xxhash64("text").alias("tid"), "text")
-        digests = self.long.select("tid", "text").mapInArrow(_digest_rows, "tid bigint, digest bigint")
+        digests = spread(self.long.select("tid", "text")).mapInArrow(_digest_rows, "tid bigint, digest bigint")
         chunks = cut_lineage(digests)
         # Digests of more than one text: partial sums before the shuffle, so that a hot chunk is one row a task.
         shared = cut_lineage(chunks.groupBy("digest").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo < hi").select("digest"))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.session import spread
+
 #: Folder of the public vocabularies; a parameter of every function below.
 TOKENIZERS = os.environ.get("QUARRYLINE_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -139,7 +141,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return spread(rows).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def token_counts(documents: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
@@ -154,4 +156,4 @@ def token_counts(documents: DataFrame, keep: list[str], text: str = "text", path
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), n], [*keep, "n_tokens"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1]) + ", n_tokens bigint"
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
