@@ -202,7 +202,7 @@ def url_safe_base64(text: Column) -> Column:
 def clean_model_text(text: Column) -> Column:
     """A model's reply without reasoning blocks and code fences."""
     t = F.regexp_replace(text, r"(?is)<(think|reasoning)>.*?</\1>", "")
-    return F.trim(F.regexp_replace(t, r"```\w*", ""))
+    return F.regexp_replace(F.regexp_replace(t, r"```\w*", ""), r"^\s+|\s+$", "")
 
 
 def numbered_items(text: Column, most: int) -> Column:
