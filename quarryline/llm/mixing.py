@@ -108,7 +108,7 @@ class Mixture:
         goal = sorted((r.s, float(r.t or 0.0), int(r.m if r.m is not None else 1)) for r in targets.select(normal_label(F.col("source")).alias("s"), F.col("target_share").alias("t"), F.col("max_repeats").alias("m")).where("s is not null").collect())
         self.names = names = [s for s, _, _ in goal]
         share, most = np.array([t for _, t, _ in goal]), np.array([m for _, _, m in goal], float)
-        number = F.create_map(*[F.lit(v) for i, s in enumerate(names) for v in (s, i)])
+        number = F.create_map(*[F.lit(v) for i, s in enumerate(names or [""]) for v in (s, i if names else -1)])
         rows = documents.select(F.col(key).alias("doc_id"), F.coalesce(number[normal_label(F.col(source))], F.lit(-1)).alias("label"), F.col(text).alias("text"))
         kind = dict(rows.dtypes)["doc_id"]
 

@@ -73,6 +73,8 @@ def usable(rule: str, value: str) -> bool:
         if rule == "bare" and (v[0] in "$%&|=*" or v.count(".") and v.split(".")[0] in ("os", "process", "settings", "config")):
             return False
     # A plain name or a word is a label; a credential has digits, mixed case with marks, or much length.
+    if rule in ("parameter", "bearer", "vendor") and v.lower() != v and v.upper() != v:
+        return True
     if _NAME.match(v) and not (len(v) >= 20 and v.lower() != v and v.upper() != v and "_" not in v):
         return False
     return True

@@ -18,6 +18,10 @@ _KEYWORDS = frozenset(
 )
 
 
+#: Canonical lines of a window whose distinct shapes are counted.
+WINDOW = 100
+
+
 class Layout:
     """Measures of one file.
 
@@ -26,17 +30,17 @@ class Layout:
     longest    characters of the longest line
     line       mean characters of a line of code
     literal    share of characters of code that stand in strings, numbers and the commas between them
-    shapes     distinct shapes of canonical lines (names, strings and numbers replaced by their kind) per line
+    shapes     distinct shapes of canonical lines (names, strings and numbers replaced by their kind) per line, by windows
     lines      canonical lines
     """
 
-    __slots__ = ("code_chars", "comment_chars", "expansion", "header", "line", "lines", "literal", "longest", "longest_literal", "shapes", "statements")
+    __slots__ = ("code_chars", "comment_chars", "expansion", "header", "line", "lines", "literal", "longest", "longest_literal", "shapes")
 
     def __init__(self, text: str, python: bool):
         lexer = _PYTHON if python else _ECMA
         header, in_header = [], True
         shape: list[str] = []
-        shapes: dict[str, int] = {}
+        shapes: list[str] = []
         literal = code = comment = breaks = 0
         self.longest_literal = 0
         depth = 0
@@ -48,8 +52,7 @@ class Layout:
                 continue
             if kind == "l":
                 if shape and not depth:
-                    key = " ".join(shape)
-                    shapes[key] = shapes.get(key, 0) + 1
+                    shapes.append(" ".join(shape))
                     shape = []
                 fresh = True
                 continue
@@ -90,19 +93,20 @@ class Layout:
                 if v in "{};" and not (python and v != ";"):
                     breaks += 1
                     if not depth:
-                        key = " ".join(shape)
-                        shapes[key] = shapes.get(key, 0) + 1
+                        shapes.append(" ".join(shape))
                         shape = []
         if shape:
-            key = " ".join(shape)
-            shapes[key] = shapes.get(key, 0) + 1
+            shapes.append(" ".join(shape))
         rows = text.split("\n")
         self.header = "\n".join(header)
-        self.lines = sum(shapes.values())
+        self.lines = len(shapes)
         self.expansion = max(self.lines, breaks) / max(1, lines_with_code)
         self.longest = max(map(len, rows))
         self.line = code / max(1, lines_with_code)
         self.literal = literal / max(1, code)
-        self.shapes = len(shapes) / max(1, self.lines)
+        # Long files repeat shapes by chance: the share is taken of windows of as many lines, and averaged.
+        cuts = [shapes[i : i + WINDOW] for i in range(0, max(1, self.lines), WINDOW)]
+        if len(cuts) > 1 and len(cuts[-1]) < WINDOW // 2:
+            cuts.pop()
+        self.shapes = sum(len(set(c)) / max(1, len(c)) for c in cuts) / len(cuts)
         self.code_chars, self.comment_chars = code, comment
-        self.statements = shapes
