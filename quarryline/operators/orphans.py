@@ -22,8 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of a time slice in seconds: a week of one key's references and events is merged by one task.
-SLICE_SECONDS = 7 * 86400
+#: Width of a time slice in seconds: a day of one key's references and events is merged by one task.
+SLICE_SECONDS = 86400
 
 
 def _micros(c: Column) -> Column:

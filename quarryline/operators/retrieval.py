@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.operators.sized import small_side
+from quarryline.session import spread
+
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of letters and digits."""
@@ -19,14 +24,14 @@ def bm25(documents: DataFrame, key: str, text: str, queries: DataFrame, k1: floa
     Only postings of query terms leave the scan; document lengths and the corpus mean are counted over all rows.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    doc = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), tokens(F.col(text)).alias("_tokens"))
+    doc = spread(documents.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))).select("_key", tokens(F.col("_text")).alias("_tokens"))
     doc = doc.select("_key", F.size("_tokens").alias("len"), "_tokens")
     corpus = doc.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    posting = doc.select("_key", "len", F.explode("_tokens").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy("term", "_key").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    posting = doc.select("_key", "len", F.explode("_tokens").alias("term")).join(small_side(terms.select("term").distinct()), "term", "left_semi").groupBy("term", "_key").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = posting.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    scored = posting.join(df, "term").crossJoin(F.broadcast(corpus)).join(F.broadcast(terms), "term")
+    scored = posting.join(df, "term").crossJoin(F.broadcast(corpus)).join(small_side(terms), "term")
     return scored.groupBy("query_id", F.col("_key").alias(key)).agg(F.sum(weight).alias("bm25"))
 
 
@@ -40,11 +45,56 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_scores(vectors: DataFrame, key: str, vector: str, queries: DataFrame) -> DataFrame:
-    """(query_id, key, cosine): the stated queries (query_id, vector) against all vectors, exactly."""
-    q = F.broadcast(queries.select("query_id", F.col("vector").alias("_q")))
+    """(query_id, key, cosine): a few stated queries (query_id, vector) against all vectors, exactly.
+
+    The queries are broadcast behind a check of their number; many queries go through ``vector_top_k``.
+    """
+    q = small_side(queries.select("query_id", F.col("vector").alias("_q")), 10_000)
     return vectors.select(key, F.col(vector).alias("_v")).crossJoin(q).select("query_id", key, cosine(F.col("_v"), F.col("_q")).alias("cosine"))
 
 
+def vector_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, exclude_same: bool = False, digits: int = 6, query_block: int = 1024, vector_block: int = 8192) -> DataFrame:
+    """(query_id, key, cosine, rank): the k nearest vectors of each stated query, exactly, ties by key.
+
+    Both sides are packed into blocks of bounded size; each pair of blocks is one matrix product, of which only the k
+    best of each query go on.  Scores are rounded to ``digits`` before they are ranked.
+    """
+    types = dict(vectors.dtypes)
+
+    def packed(df: DataFrame, id_column: str, value: str, size: int, name: str) -> DataFrame:
+        blocks = F.greatest(F.lit(1), F.ceil(F.col("_n") / size)).cast("int")
+        rows = df.select(F.col(id_column).cast("bigint").alias("i"), F.col(value).cast("array<float>").alias("v")).where("i is not null and v is not null")
+        counted = rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("_n"))))
+        return counted.groupBy(F.pmod(F.xxhash64("i"), blocks).alias("_b")).agg(F.collect_list("i").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(f"{name}_values")).drop("_b")
+
+    left, right = packed(vectors, key, vector, vector_block, "v"), packed(queries, "query_id", "vector", query_block, "q")
+
+    def product(batches):
+        for b in batches:
+            out: list[list] = [[], [], []]
+            for row in range(b.num_rows):
+                vi, vv, qi, qv = (b.column(c)[row].values.to_numpy(zero_copy_only=False) for c in range(4))
+                v, q = (x.reshape(len(i), -1).astype(np.float64) for x, i in ((vv, vi), (qv, qi)))
+                unit = lambda x: np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=np.linalg.norm(x, axis=1, keepdims=True) > 0)
+                order = np.argsort(vi)
+                vi, v = vi[order], v[order]
+                scores = np.round(unit(q) @ unit(v).T, digits) + 0.0
+                if exclude_same:
+                    scores[qi[:, None] == vi[None, :]] = -9
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                for n, cols in enumerate(best):
+                    cols = cols[scores[n, cols] > -9]
+                    out[0] += [qi[n]] * len(cols)
+                    out[1] += vi[cols].tolist()
+                    out[2] += scores[n, cols].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "i", "cosine"])
+
+    # A stated query set against all rows, block by block.
+    pairs = left.crossJoin(right).select("v_ids", "v_values", "q_ids", "q_values").mapInArrow(product, "query_id bigint, i bigint, cosine double")
+    found = pairs.select(F.col("query_id").cast(dict(queries.dtypes)["query_id"]).alias("query_id"), F.col("i").cast(types[key]).alias(key), "cosine")
+    return top_k(found, key, "cosine", k)
+
+
 def top_k(scores: DataFrame, key: str, score: str, k: int) -> DataFrame:
     """Of each query the k best, ties by key; with rank."""
     w = Window.partitionBy("query_id").orderBy(F.col(score).desc(), F.col(key))

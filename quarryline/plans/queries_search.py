@@ -55,14 +55,12 @@ def _vector_queries(spark, d):
 
 
 def cosine_top(spark, d):
-    scores = retrieval.vector_scores(table(spark, d, "embeddings"), "vec_id", "embedding", _vector_queries(spark, d)).withColumn("cosine", F.round("cosine", 6))
-    return retrieval.top_k(scores.where("query_id <> vec_id"), "vec_id", "cosine", 10)
+    return retrieval.vector_top_k(table(spark, d, "embeddings"), "vec_id", "embedding", _vector_queries(spark, d), 10, exclude_same=True)
 
 
 def semantic_cache(spark, d):
     """The most similar other entry of each query if it is similar enough."""
-    scores = retrieval.vector_scores(table(spark, d, "embeddings"), "vec_id", "embedding", _vector_queries(spark, d)).withColumn("cosine", F.round("cosine", 6))
-    return retrieval.top_k(scores.where("query_id <> vec_id"), "vec_id", "cosine", 1).where("cosine >= 0.3").drop("rank")
+    return retrieval.vector_top_k(table(spark, d, "embeddings"), "vec_id", "embedding", _vector_queries(spark, d), 1, exclude_same=True).where("cosine >= 0.3").drop("rank")
 
 
 def _both(spark, d):

@@ -116,3 +116,17 @@ def test_cosine_zero_vector(spark):
     v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "id int, v array<float>")
     got = {r.id: r.cosine for r in retrieval.vector_scores(v, "id", "v", v.where("id = 2").select(F.lit(0).alias("query_id"), F.col("v").alias("vector"))).collect()}
     assert got == {1: 0.0, 2: 1.0}
+
+
+def test_vector_top_k_against_model(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [(n, [rng.uniform(-1, 1) for _ in range(4)]) for n in range(60)] + [(60, [0.0] * 4), (61, None)]
+    rows += [(62, rows[3][1])]
+    df = spark.createDataFrame(rows, "id int, v array<float>")
+    q = df.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
+    got = {(r.query_id, r["rank"]): (r.id, r.cosine) for r in retrieval.vector_top_k(df, "id", "v", q, 5, exclude_same=True, query_block=2, vector_block=16).collect()}
+    full = retrieval.vector_scores(df.where("v is not null"), "id", "v", q).where("query_id <> id").withColumn("cosine", F.round("cosine", 6))
+    want = {(r.query_id, r["rank"]): (r.id, r.cosine) for r in retrieval.top_k(full, "id", "cosine", 5).collect()}
+    assert got == want
