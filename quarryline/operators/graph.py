@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.session import cut_lineage
@@ -154,15 +154,16 @@ def schema_histogram(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").groupBy("from_type", "type", "to_type").agg(F.count("*").alias("n"))
 
 
-def resolve_first(references: DataFrame, ref: str, candidates: list[tuple[DataFrame, Column | str, int]], keys: list[str], seq: str = "seq") -> DataFrame:
+def resolve_first(references: DataFrame, ref: str, candidates: list[tuple[DataFrame, str | list[str], int]], keys: list[str], seq: str = "seq") -> DataFrame:
     """Priority resolution: each reference gets the candidate of least priority, then least ``seq``.
 
-    candidates: (rows with id and seq, join condition or key column name, priority); a condition is an equality on a
-    key, so every level is a hash or sort-merge join and the choice is one window over the matches.
+    candidates: (rows with id and seq, key columns, priority); every level is an equality join, and the choice is one
+    window over the matches.
     """
     found = []
     for rows, on, priority in candidates:
-        hit = references.join(rows, on) if isinstance(on, (str, list)) else references.join(rows, on)
+        shared = [on] if isinstance(on, str) else on
+        hit = references.join(rows.select(*shared, "id", seq), shared)
         found.append(hit.select(*keys, ref, F.col("id").alias("target"), F.col(seq).alias("_seq"), F.lit(priority).alias("priority")))
     w = Window.partitionBy(*keys, ref).orderBy("priority", "_seq", "target")
     return reduce(DataFrame.unionByName, found).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_seq")

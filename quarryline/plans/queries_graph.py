@@ -9,6 +9,7 @@ from quarryline.operators import graph, tracebacks
 from quarryline.operators.retrieval import first_seen
 from quarryline.plans import render
 from quarryline.plans.fixtures import EDGE_TYPES, NODE_TYPES, SQL_EDGES, SQL_NODES, edges, nodes, of_type
+from quarryline.plans.index_job import GraphBuild
 from quarryline.session import table
 
 _WITH = f"WITH RECURSIVE {SQL_NODES}, {SQL_EDGES}"
@@ -152,6 +153,12 @@ def match_frames(spark, d):
     return tracebacks.match_frames(_frames(spark, d).select("traceback_id", "pos", "file_path"), rows, "traceback_id")
 
 
+def indexed_graph(spark, d):
+    """Node and edge counts of the graph that the indexing job builds of all source files."""
+    rows = table(spark, d, "search_results").where("entity_type = 'File'").select(repository_name(F.col("entity_id")).alias("repository"), "file_path", "content").distinct()
+    return GraphBuild(rows).stats()
+
+
 def schema_diagram(spark, d):
     return render.schema_graph(schema_histogram(spark, d))
 
@@ -182,7 +189,7 @@ QUERIES = {
     "find_nodes": find_nodes, "find_edges": find_edges, "type_counts": type_counts, "schema_histogram": schema_histogram, "neighbours_out": neighbours_out, "neighbours_both": neighbours_both, "sibling_files": sibling_files,
     "induced_subgraph": induced_subgraph, "upsert_edges": upsert_edges, "upsert_nodes": upsert_nodes, "delete_repository": delete_repository, "reach_out": reach_out, "reach_in": reach_in, "paths_to_components": paths_to_components,
     "call_fan_in": call_fan_in, "shortest_paths": shortest_paths, "containment_closure": containment_closure, "link_calls": link_calls, "orphan_calls": orphan_calls, "resolve_frames": resolve_frames, "match_frames": match_frames,
-    "schema_diagram": schema_diagram,
+    "schema_diagram": schema_diagram, "indexed_graph": indexed_graph,
 }
 ORACLES = {
     "find_nodes": f"{_WITH} SELECT * FROM nodes WHERE type = 'Component' ORDER BY id LIMIT 100",
