@@ -179,3 +179,18 @@ def hash_embeddings(rows: DataFrame, key: str, text: str, dimension: int = 64) -
     raw = maps.select(key, dense.alias("_v"))
     norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
     return raw.select(key, F.transform("_v", lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float")).alias("embedding"))
+
+
+def cap_per_source(context: DataFrame, score: str, caps: dict[str, int], small: int = 8) -> DataFrame:
+    """Context rows with at most ``caps[source]`` of a source by score; sources of up to ``small`` rows stay whole."""
+    w = Window.partitionBy("source")
+    ranked = context.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.col(score).desc(), "id")))
+    keep = F.col("_n") <= small
+    for source, most in caps.items():
+        keep = keep | ((F.col("source") == source) & (F.col("_r") <= most))
+    return ranked.where(keep | ~F.col("source").isin(*caps)).drop("_n", "_r")
+
+
+def source_counts(context: DataFrame) -> DataFrame:
+    """One row: rows of context by source."""
+    return context.agg(*(F.count(F.when(F.col("source") == s, 1)).alias(s) for s in ("primary", "graph", "grep", "cypher")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarryline.functions import code_text as ct
+from quarryline.functions import expansion
 from quarryline.operators import lines, retrieval
 from quarryline.plans.fixtures import GREP_TOKENS, QUESTIONS
 from quarryline.session import cut_lineage, table
@@ -144,6 +145,10 @@ def question_routing(spark, d):
     return _asked(spark, d).select("id", ct.detect_strategy(q).alias("strategy"), s["scope"].alias("scope"), F.round(s["confidence"], 6).alias("scope_confidence"), ct.detect_task(q).alias("task"), c["kind"].alias("kind"), c["confidence"].alias("kind_confidence"), ct.diagram_type(q).alias("diagram"))
 
 
+def question_expansions(spark, d):
+    return expansion.expand(table(spark, d, "chat_logs").select("id", "question").distinct(), "id", "question")
+
+
 def structural_questions(spark, d):
     return _asked(spark, d).where(ct.is_structural(F.col("question"))).select("id")
 
@@ -209,7 +214,7 @@ _EDGE = r"(?:^|[^\p{L}\p{N}_])"
 QUERIES = {
     "grep_context": grep_context, "grep_counts": grep_counts, "line_counts": line_counts, "source_slices": source_slices, "sub_chunks": sub_chunks, "bm25_top": bm25_top, "cosine_top": cosine_top, "semantic_cache": semantic_cache,
     "hybrid_top": hybrid_top, "rank_fusion": rank_fusion, "diversified": diversified, "rerank_top": rerank_top, "exact_copies": exact_copies, "searchable_content": searchable_content, "node_names": node_names, "repository_urls": repository_urls,
-    "metadata_fields": metadata_fields, "normalized_urls": normalized_urls, "question_identifiers": question_identifiers, "question_routing": question_routing, "structural_questions": structural_questions, "case_variants": case_variants,
+    "metadata_fields": metadata_fields, "normalized_urls": normalized_urls, "question_identifiers": question_identifiers, "question_routing": question_routing, "structural_questions": structural_questions, "question_expansions": question_expansions, "case_variants": case_variants,
     "document_types": document_types, "document_sections": document_sections, "ignored_files": ignored_files, "indexed_files": indexed_files,
 }
 
@@ -265,6 +270,10 @@ ORACLES = {
     "structural_questions": f"""SELECT DISTINCT id FROM chat_logs WHERE question IS NOT NULL AND (regexp_matches(question, '(?i)\\b(?:how\\s+many|count|number\\s+of|total)\\b|\\b(?:inherits?|extends?|subclass|parent\\s+class|derived\\s+from)\\b|\\b(?:calls?|uses?|invokes?|imports?|renders?|depends?\\s+on)\\b|/(?:api|backend|v\\d+)/[\\p{{L}}\\p{{N}}_\\-/{{}}<>:?]+|\\b(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\\s+/')
       OR regexp_matches(question, '(?i){_EDGE}(?:наследу|подклас|базовый\\s+класс|родитель|вызывает|использует|связан|зависит|импортирует|рендерит)') OR regexp_matches(question, '(?i){_EDGE}(?:сколько|количество)(?:$|[^\\p{{L}}\\p{{N}}_])')
       OR regexp_matches(question, '\\b(?:Endpoint|Component|Model|Route|ApiCall|Function|Method|Class)s?\\b|\\b[A-Z][a-z]+[A-Z][A-Za-z0-9]*\\b'))""",
+    "question_expansions": f"""WITH dict AS (SELECT * FROM (VALUES {', '.join(f"({_q(t)}, {_q(r)}, {str(w).lower()})" for t, r, w in expansion.dictionary())}) t(term, replacement, whole)), q AS (SELECT DISTINCT id, question, lower(question) AS l FROM chat_logs WHERE question IS NOT NULL),
+      v AS (SELECT DISTINCT id, question, replace(l, term, replacement) AS v FROM q JOIN dict ON CASE WHEN whole THEN list_contains(regexp_split_to_array(l, '\\s+'), term) ELSE contains(l, term) END),
+      r AS (SELECT id, v, row_number() OVER (PARTITION BY id, question ORDER BY v) AS pos FROM v WHERE v <> question)
+      SELECT id, 0 AS pos, question AS variant FROM q UNION ALL SELECT id, pos::INTEGER, v FROM r WHERE pos <= 4""",
     "case_variants": """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(question, '[A-Za-z_][A-Za-z0-9_]{2,}')) AS word FROM chat_logs WHERE question IS NOT NULL)
       SELECT word, CASE WHEN regexp_matches(word, '[a-z][A-Z]') THEN lower(regexp_replace(word, '([a-z])([A-Z])', '\\1_\\2', 'g')) END AS snake,
         CASE WHEN contains(word, '_') THEN string_split(word, '_')[1] || array_to_string(list_transform(string_split(word, '_')[2:], lambda p: upper(p[1:1]) || lower(p[2:])), '') END AS camel FROM w WHERE regexp_matches(word, '[a-z][A-Z]') OR contains(word, '_')""",

@@ -62,3 +62,16 @@ def call_tree(found: DataFrame, limit: int = 40) -> list[str]:
     for r in roots:
         walk(r, 0)
     return [*out[:limit], "…"] if len(out) > limit else out
+
+
+def sequence_diagram(steps: DataFrame, limit: int = 200) -> DataFrame:
+    """A sequence diagram of steps (pos, src, dst, text)."""
+    line = F.concat(F.lit("    "), label(F.col("src")), F.lit("->>"), label(F.col("dst")), F.lit(": "), F.col("text"))
+    return joined(steps, line, [F.col("pos")], "sequenceDiagram", limit)
+
+
+def entity_diagram(edges: DataFrame, limit: int = 200) -> DataFrame:
+    """An entity-relationship diagram of model edges (src_name, type, dst_name)."""
+    mark = F.when(F.col("type") == "MANY_TO_MANY", "}o--o{").when(F.col("type") == "ONE_TO_ONE", "||--||").otherwise("}o--||")
+    line = F.concat(F.lit("    "), label(F.col("src_name")), F.lit(" "), mark, F.lit(" "), label(F.col("dst_name")), F.lit(" : "), F.lower("type"))
+    return joined(edges.where(F.col("type").isin("FOREIGN_KEY", "MANY_TO_MANY", "ONE_TO_ONE")), line, [F.col("src_name"), F.col("dst_name")], "erDiagram", limit)

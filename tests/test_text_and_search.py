@@ -130,3 +130,23 @@ def test_vector_top_k_against_model(spark):
     full = retrieval.vector_scores(df.where("v is not null"), "id", "v", q).where("query_id <> id").withColumn("cosine", F.round("cosine", 6))
     want = {(r.query_id, r["rank"]): (r.id, r.cosine) for r in retrieval.top_k(full, "id", "cosine", 5).collect()}
     assert got == want
+
+
+def test_context_caps_and_diagrams(spark):
+    from quarryline.plans import render
+
+    rows = [(str(n), "grep", float(n)) for n in range(12)] + [("p", "primary", 1.0)]
+    df = spark.createDataFrame(rows, "id string, source string, score double")
+    kept = {r.id for r in retrieval.cap_per_source(df, "score", {"grep": 3}).collect()}
+    assert kept == {"11", "10", "9", "p"} and retrieval.source_counts(df).first().grep == 12
+    steps = spark.createDataFrame([(2, "B", "C", "y"), (1, "A", "B", "x")], "pos int, src string, dst string, text string")
+    assert render.sequence_diagram(steps).first().text == "sequenceDiagram\n    A->>B: x\n    B->>C: y"
+    e = spark.createDataFrame([("Post", "FOREIGN_KEY", "User")], "src_name string, type string, dst_name string")
+    assert render.entity_diagram(e).first().text == "erDiagram\n    Post }o--|| User : foreign_key"
+
+
+def test_expansion(spark):
+    from quarryline.functions.expansion import expand
+
+    got = [r.variant for r in expand(texts(spark, "delete via api", None), "id", "text", most=3).orderBy("pos").collect()]
+    assert got == ["delete via api", "delete via application programming interface", "destroy via api"]
