@@ -47,7 +47,7 @@ class Parser:
     def __init__(self, src: str, ts: bool = False, jsx: bool = False):
         self.src, self.ts, self.jsx = src, ts, jsx
         self.pos, self.functions, self.comments = 0, [], []
-        self.depth_fn = self.depth_loop = self.depth_break = self.nest = 0
+        self.depth_fn = self.depth_loop = self.depth_break = self.nest = self.ambient = 0
         self.cover = -1
         self.not_arrow: set[int] = set()
         if src.startswith("#!"):
@@ -247,7 +247,7 @@ class Parser:
                     self.functions.append((name, where))
             elif in_for and (self.word("of") or self.word("in")):
                 return
-            elif not in_for and not self.ts and (kind == "const" or not simple):
+            elif not in_for and not self.ambient and (kind == "const" or not simple):
                 self.fail("missing initialiser")
             if not self.eat(","):
                 break
@@ -1253,7 +1253,9 @@ class Parser:
             self.class_(True)
         elif v == "declare" and t == NAME and not nl:
             self.next()
+            self.ambient += 1
             self.statement_(True)
+            self.ambient -= 1
         else:
             return False
         return True
