@@ -12,7 +12,7 @@ VALID = {
                    "export default async (a, {b}) => ({...a, b}); export * as n from 'm'; import d, {x as y} from './z.js'", "`a ${`b ${c}`} d`", "label: for (;;) break label", "x = a ? b : c => d, e => ({}); [a, b] = [b, a]; ({a} = b)", "try { f() } catch { g() } finally {}",
                    "const f = async function* () {}; new A; new A.B(1)?.c?.[d]; a ??= b ** c; if (a) ; else b()", "let async = 1; async(); var of = 2; x = y\n++z"],
     "jsx": ["const A = () => <><b.c d='1' {...e} f={g => <i/>}>text {/* c */} &amp; {x}</b.c></>", "x = a < b; y = <p>{' '}</p>"],
-    "typescript": ["interface A<T extends B = C> extends D { a?: string; readonly [k: string]: any; m<T>(x: T): void; new (x): A }", "type X = { [K in keyof T]?: T[K] } | 'a' | -1 | `x${string}` | (a: number, b?: string) => asserts a is B", "enum E { A = 1, B } declare module 'x' { export const a: number }",
+    "typescript": ["interface A<T extends B = C> extends D { a?: string; readonly [k: string]: any; m<T>(x: T): void; new (x): A }", "type X = { [K in keyof T]?: T[K] } | 'a' | -1 | `x${string}` | (a: number, b?: string) => asserts a is B", "declare const q: number; enum E { A = 1, B } declare module 'x' { export const a: number }",
                    "function f<T>(this: A, x?: number, ...r: T[]): x is string { return <any>x as unknown as T }", "abstract class A<T> implements B, C { private readonly x!: number = 1; constructor(public a: string) { super() } abstract m(): void }", "const x = f<Map<string, Array<number>>>(y)!; let t: [a: string, b?: number]; import type { A } from 'a'",
                    "type C<T> = T extends (infer U)[] ? U : never; export type { C }; let v = a satisfies B; const f = <T,>(x: T) => x"],
     "tsx": ["const A: FC<P> = ({ a }: P): JSX.Element => <B<string> x={1}>{a as string}</B>; const g = <T,>(x: T) => x"],
@@ -22,7 +22,7 @@ VALID = {
 INVALID = {
     "javascript": ["const a = ;", "f(", "if (a) {", "x = 'abc", "`abc", "a b", "<<<<<<< HEAD\nx\n=======\ny\n>>>>>>> b", "return 1", "interface A { x: string }", "x = <p/>", "const x: number = 1", "3x", "1 = 2", "({a = 1})", "for (;;", "import {a} form 'b'", "break", "/* open", "x = /a", "class { }", "const a"],
     "jsx": ["x = <a><b></a></b>", "x = <a>", "x = <a b=c/>"],
-    "typescript": ["type X = ", "interface A { x: }", "x = <p>a</p>", "let x: = 1", "enum E { A = }"],
+    "typescript": ["type X = ", "interface A { x: }", "x = <p>a</p>", "let x: = 1", "enum E { A = }", "const x: number;"],
     "tsx": ["const A = () => <b></c>", "type X = {"],
     "json": ["", "{'a': 1}", '{"a": 1,}', "NaN", '{"a": 1'],
     "python": ["def f(:\n", "x = (", "print 'a'", "  x\n y"],
