@@ -41,14 +41,30 @@ _STOP = {
 }
 _STOPS = {w: lang for lang, words in _STOP.items() for w in words.split()}
 _AMBIGUOUS = {"es", "die", "a", "in", "no", "as", "me", "he", "son", "si", "so", "an", "was", "am", "des", "den", "le", "lo", "bei"}
-_CODE = re.compile(r"```[\s\S]*?(?:```|\Z)|`[^`\n]*`?|\S*[\w)]\.[A-Za-z_]\w*(?:\(\))?|\b\w*_\w*\b|\b[A-Za-z]*[a-z][A-Z]\w*\b|\S*[/\\@]\S*|\b\w*(?:Error|Exception)\b|\d[\d.:]*")
-_LETTERS = re.compile(r"[^\W\d_]+")
+_SPANS = re.compile(r"```[\s\S]*?(?:```|\Z)|`[^`\n]*`?")
+_EDGES = ".,;:!?()[]{}<>\"'«»“”„…¿¡*-–—"
+
+
+def _prose_words(text: str) -> list[str]:
+    """The words of a text in lower case, without code spans, paths, numbers and identifiers."""
+    out = []
+    for token in (_SPANS.sub(" ", text) if "`" in text else text).split():
+        core = token.strip(_EDGES)
+        if not core or core[0].isdigit() or "_" in core or "." in core or "/" in core or "@" in core or "\\" in core:
+            continue
+        low = core.casefold()
+        if core[1:] != low[1:] and not core.isupper():
+            continue  # a capital inside: camel case
+        out.append(low)
+    return out
+
+
 _CYRILLIC, _UMLAUT, _ACCENT = re.compile("[а-яё]"), re.compile("[äöüß]"), re.compile("[ñáíóú]")
 
 
 def language(text: str) -> str | None:
     """ru, en, de or es, by script and function words; None where nothing tells."""
-    words = _LETTERS.findall(_CODE.sub(" ", text).casefold())
+    words = _prose_words(text)
     if not words:
         return None
     joined = "".join(words)
@@ -173,14 +189,16 @@ _PREFIX = re.compile(r"^\s*(?:>+\s*|(?:question|вопрос|frage|pregunta|q|yo
 _TOKEN = re.compile(r"\w+")
 
 #: Patterns, and substrings one of which any of their matches holds (None: no such list).
+_PERSONS = frozenset("i we this the as my я мне меня мы нам мой этот ich mir mich wir uns yo me mi puedo tengo dispongo voy debo siento lamento не".split())
 _TESTS = {
     "negative": (_NEGATIVE, ("not", "n't", "n’t", "unable", "won", "must", "decline", "refuse", "no ", "insufficient", "не ", "нельзя", "нет ", "запрещено", "отказываюсь", "недостаточно", "nicht", "kein", "niego")),
     "first": (_FIRST, None),
-    "help": (_HELP, None),
+    "help": (_HELP, ("help", "answer", "assist", "discuss", "share", "provide", "comment", "tell", "say", "access", "disclose", "talk", "respond", "reply", "information", "request", "question", "show", "reveal", "помо", "отве", "обсужд", "показ", "сообщ", "предостав", "информаци", "рассказ", "комментир", "раскры",
+                     "вопрос", "запрос", "helfen", "beantwort", "antwort", "zugriff", "auskunft", "sagen", "besprechen", "teilen", "zeigen", "anfrage", "kommentieren", "ayudar", "hablar", "compartir", "comentar", "informaci", "mostrar", "contestar", "consulta", "pregunta", "solicitud", "revelar")),
     "apology": (_APOLOGY, ("sorry", "unfort", "apolog", "regret", "извин", "сожал", "прости", "leider", "leid", "entsch", "bedau", "siento", "lamen", "disculp", "desgracia", "perdon")),
     "scope": (_SCOPE, ("outside", "beyond", "выход", "вне", "разрешено", "außerhalb", "ausserhalb", "fuera", "something")),
-    "courtesy": (_COURTESY, None),
-    "greeting": (_GREETING, None),
+    "courtesy": (_COURTESY, ("please", "thank", "try ", "contact", "ask ", "пожалуйста", "переформулируйте", "обратитесь", "спасибо", "bitte", "danke", "por favor", "gracias", "hope", "good question", "is there", "feel free")),
+    "greeting": (_GREETING, ("sorry", "short", "good", "looked", "извините", "коротко", "kurz", "entschuldig", "breve", "perd", "disculp", "hello", "hi", "hallo", "hola", "привет", "sure", "of course", "конечно", "gern", "claro")),
     "sources": (_SOURCES, (":",)),
 }
 FEATURES = (
@@ -207,16 +225,17 @@ def featurize(question: str | None, answer: str) -> tuple[list[tuple[str, str]],
         if kind in ("code", "open"):
             on.append(kind)
         else:
-            quote = bool(_QUOTE.search(text))
+            quote = ('"' in text or "“" in text or "«" in text or "„" in text) and bool(_QUOTE.search(text))
             bare = _QUOTE.sub(" ", text) if quote else text
             low = bare.casefold()
-            got = {k for k, (p, signs) in _TESTS.items() if (signs is None or any(x in low for x in signs)) and p.search(bare)}
+            words = _TOKEN.findall(low)
+            got = {k for k, (p, signs) in _TESTS.items() if (any(x in low for x in signs) if signs is not None else not _PERSONS.isdisjoint(words)) and p.search(bare)}
             if "greeting" in got:
                 got -= {"apology", "negative", "help"}
             on += got
             if quote:
                 on.append("quote")
-            stand = bool(_STAND.search(text))
+            stand = ("`" in text or "_" in text) and bool(_STAND.search(text))
             if stand:
                 on.append("stand")
             for combo in ("negative+help", "negative+first", "negative+first+help", "apology+negative"):
@@ -224,7 +243,8 @@ def featurize(question: str | None, answer: str) -> tuple[list[tuple[str, str]],
                     on.append(combo)
             if stand and "negative" in got:
                 on.append("stand+negative")
-            words = _TOKEN.findall(_PREFIX.sub("", text).casefold())
+            if quote or low[:1] == ">" or ":" in low[:20] or low[:1].isspace():
+                words = _TOKEN.findall(_PREFIX.sub("", text).casefold())
             on.append("short" if len(words) <= 14 else "long")
             if kind == "item":
                 on.append("item")
