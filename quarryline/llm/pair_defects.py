@@ -99,6 +99,9 @@ _ASKS = re.compile(
 
 def asked_languages(question: str) -> set[str]:
     """Languages the question asks the answer to be in."""
+    low = question.casefold()
+    if not any(x in low for x in ("engl", "англ", "ingl", "german", "deutsch", "немец", "alem", "span", "испан", "espa", "castell", "russ", "русск", "ruso")):
+        return set()
     return {k for m in _ASKS.finditer(question) for k, v in m.groupdict().items() if v}
 
 
@@ -248,7 +251,9 @@ def featurize(question: str | None, answer: str) -> tuple[list[tuple[str, str]],
             on.append("short" if len(words) <= 14 else "long")
             if kind == "item":
                 on.append("item")
-            if _PATH.fullmatch(_ITEM.sub("", text).strip()) or "sources" in got and _PATH.search(text.strip()):
+            item = _ITEM.match(text)
+            rest = text[item.end() :].strip() if item else text.strip()
+            if _PATH.fullmatch(rest) or "sources" in got and _PATH.search(text.strip()):
                 on.append("path")
             if q and len(words) >= 2:
                 left = dict(have)
@@ -272,7 +277,7 @@ def featurize(question: str | None, answer: str) -> tuple[list[tuple[str, str]],
                 complete = False
             if re.search(r"[,(\[{/\\]$", tail):
                 complete = False
-            if kind == "item" and not _ITEM.sub("", text).strip():
+            if kind == "item" and not rest:
                 complete = False
             on.append("complete" if complete else "bias")
             if last and not complete:
