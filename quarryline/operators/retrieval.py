@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.operators.sized import small_side
-from quarryline.session import spread
+from quarryline.session import cut_lineage, spread
 
 
 def tokens(text: Column) -> Column:
@@ -27,7 +27,7 @@ def bm25(documents: DataFrame, key: str, text: str, queries: DataFrame, k1: floa
     doc = spread(documents.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))).select("_key", tokens(F.col("_text")).alias("_tokens"))
     doc = doc.select("_key", F.size("_tokens").alias("len"), "_tokens")
     corpus = doc.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    posting = doc.select("_key", "len", F.explode("_tokens").alias("term")).join(small_side(terms.select("term").distinct()), "term", "left_semi").groupBy("term", "_key").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    posting = cut_lineage(doc.select("_key", "len", F.explode("_tokens").alias("term")).join(small_side(terms.select("term").distinct()), "term", "left_semi").groupBy("term", "_key").agg(F.count("*").alias("tf"), F.first("len").alias("len")))  # used twice: texts are split once for it
     df = posting.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
