@@ -128,10 +128,21 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, t)) / F.size(q)).otherwise(0.0)
 
 
-def rerank(rows: DataFrame, query: Column, text: str, key: str, k: int, scorer: Callable[[Column, Column], Column] = overlap_score, budget: int = 8_000) -> DataFrame:
-    """Rows by the score of a pluggable pair scorer (a column function or a pandas UDF), best k of each query."""
-    scored = rows.withColumn("rerank_score", scorer(query, F.substring(F.col(text), 1, budget)))
-    return top_k(scored, key, "rerank_score", k)
+def rerank(rows: DataFrame, query: Column, text: str, key: str, k: int, scorer: Callable[[Column, Column], Column] = overlap_score, budget: int | None = None) -> DataFrame:
+    """Rows by the score of a pluggable pair scorer (a column function or a pandas UDF), best k of each query.
+
+    The whole text is scored.  ``budget`` is for a model with an input window: a longer text is then scored in windows
+    of so many characters that overlap by a quarter, and the best of them counts.  A key stands once in a query.
+    """
+    if budget is None:
+        return top_k(rows.withColumn("rerank_score", scorer(query, F.col(text))), key, "rerank_score", k)
+    overlap = budget // 4
+    step, length = budget - overlap, F.length(F.col(text))
+    last = F.when(length > budget, F.ceil((length - overlap) / step) - 1).otherwise(0).cast("int")
+    windows = F.transform(F.sequence(F.lit(0), last), lambda n: F.substring(F.col(text), n * step + 1, F.lit(budget)))
+    scored = rows.select("*", F.posexplode(windows).alias("_at", "_window")).withColumn("rerank_score", scorer(query, F.col("_window")))
+    best = Window.partitionBy("query_id", key).orderBy(F.col("rerank_score").desc(), "_at")
+    return top_k(scored.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r", "_at", "_window"), key, "rerank_score", k)
 
 
 def diversity_caps(rows: DataFrame, group: str, pos: str, file: str, name: str, per_file: int, per_name: int) -> DataFrame:

@@ -112,6 +112,14 @@ def test_hybrid_and_rerank(spark):
     assert abs(sum(x * x for x in emb[0]) - 1) < 1e-5 and emb[1] == [0.0] * 8
 
 
+def test_rerank_reads_whole_texts(spark):
+    rows = texts(spark, "pad " * 5000 + "needle hay", "needle", "hay " * 10, None).where("text is not null").selectExpr("0 as query_id", "'needle hay' as query", "id", "text")
+    ranked = lambda **k: [(r.id, r.rerank_score) for r in retrieval.rerank(rows, F.col("query"), "text", "id", 3, **k).orderBy("rank").collect()]
+    assert ranked() == [(0, 1.0), (1, 0.5), (2, 0.5)]
+    # In windows of a budget every place of the text is seen, also one on the border of two windows.
+    assert ranked(budget=64) == ranked() and ranked(budget=19_999) == ranked()
+
+
 def test_cosine_zero_vector(spark):
     v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "id int, v array<float>")
     got = {r.id: r.cosine for r in retrieval.vector_scores(v, "id", "v", v.where("id = 2").select(F.lit(0).alias("query_id"), F.col("v").alias("vector"))).collect()}
