@@ -18,21 +18,114 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def bm25(documents: DataFrame, key: str, text: str, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, key, bm25) for queries (query_id, query).
+def _terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+
+
+def _weights(documents: DataFrame, key: str, text: str, terms: DataFrame, k1: float, b: float) -> DataFrame:
+    """(term, _key, weight): the BM25 weight of each posting of the terms (term, or term and its number t, which then stands for it).
 
     Only postings of query terms leave the scan; document lengths and the corpus mean are counted over all rows.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     doc = spread(documents.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))).select("_key", tokens(F.col("_text")).alias("_tokens"))
     doc = doc.select("_key", F.size("_tokens").alias("len"), "_tokens")
     corpus = doc.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    posting = cut_lineage(doc.select("_key", "len", F.explode("_tokens").alias("term")).join(small_side(terms.select("term").distinct()), "term", "left_semi").groupBy("term", "_key").agg(F.count("*").alias("tf"), F.first("len").alias("len")))  # used twice: texts are split once for it
-    df = posting.groupBy("term").agg(F.count("*").alias("df"))
+    words, known = doc.select("_key", "len", F.explode("_tokens").alias("term")), small_side(terms.distinct())
+    hits = words.join(known, "term").select("_key", "len", F.col("t").alias("term")) if "t" in terms.columns else words.join(known, "term", "left_semi")
+    posting = cut_lineage(hits.groupBy("term", "_key").agg(F.count("*").alias("tf"), F.first("len").alias("len")))  # used twice: texts are split once for it
+    df = small_side(cut_lineage(posting.groupBy("term").agg(F.count("*").alias("df"))))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    scored = posting.join(df, "term").crossJoin(F.broadcast(corpus)).join(small_side(terms), "term")
-    return scored.groupBy("query_id", F.col("_key").alias(key)).agg(F.sum(weight).alias("bm25"))
+    return posting.join(df, "term").crossJoin(F.broadcast(corpus)).select("term", "_key", weight.alias("weight"))
+
+
+def bm25(documents: DataFrame, key: str, text: str, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, key, bm25) for a few queries (query_id, query); many go through ``bm25_top_k``."""
+    terms = _terms(queries)
+    scored = _weights(documents, key, text, terms.select("term"), k1, b).join(small_side(terms), "term")
+    return scored.groupBy("query_id", F.col("_key").alias(key)).agg(F.sum("weight").alias("bm25"))
+
+
+def _bm25_blocks(documents: DataFrame, key: str, text: str, queries: DataFrame, choose: Callable, paired: tuple[DataFrame, DataFrame] | None, k1: float, b: float, query_block: int, document_block: int) -> DataFrame:
+    """(query_id, key, bm25) of the hits that ``choose`` takes from each pair of a query block and a document block.
+
+    choose(scores, hits, pairs, terms): positions for one query; pairs marks documents that ``paired`` (query ids, keys)
+    asks for, terms is the number of the query's words.
+    """
+    types = dict(documents.dtypes)
+    terms = cut_lineage(_terms(queries).distinct())
+    vocabulary = cut_lineage(terms.select("term").distinct().withColumn("t", F.monotonically_increasing_id()))
+    posting = _weights(documents, key, text, vocabulary, k1, b).select(F.col("_key").cast("bigint").alias("i"), F.col("term").alias("t"), "weight")
+    asked = terms.join(small_side(vocabulary), "term").select(F.col("query_id").cast("bigint").alias("i"), "t")
+
+    def packed(df: DataFrame, count: int, size: int, marked: DataFrame | None, name: str, *values: str) -> DataFrame:
+        blocks = max(1, -(-count // size))
+        flagged = df.join(small_side(marked.select(F.col(marked.columns[0]).cast("bigint").alias("i"), F.lit(True).alias("m")).distinct()), "i", "left") if marked is not None else df.withColumn("m", F.lit(False))
+        row = F.struct("i", F.coalesce("m", F.lit(False)).alias("m"), *values)
+        return flagged.groupBy(F.pmod(F.xxhash64("i"), F.lit(blocks)).alias("_b")).agg(F.collect_list(row).alias("_r")).select(*(F.col(f"_r.{c}").alias(f"{name}_{c}") for c in ("i", "m", *values)))
+
+    left = packed(posting, documents.count(), document_block, paired and paired[1], "d", "t", "weight")
+    right = packed(asked, queries.count(), query_block, paired and paired[0], "q", "t")
+
+    def product(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                di, dm, dt, dw, qi, qm, qt = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in range(7))
+                ids, first, d = np.unique(di, return_index=True, return_inverse=True)
+                asks, of, q = np.unique(qi, return_index=True, return_inverse=True)
+                marks, q_marks, count = dm[first].astype(bool), qm[of].astype(bool), np.bincount(q)
+                common = np.intersect1d(dt, qt)
+                scores = np.zeros((len(asks), len(ids)))
+                for c in range(0, len(common), 1024):
+                    part = common[c : c + 1024]
+                    x, y = np.isin(dt, part), np.isin(qt, part)
+                    w, has = np.zeros((len(part), len(ids))), np.zeros((len(asks), len(part)))
+                    w[np.searchsorted(part, dt[x]), d[x]] = dw[x]
+                    has[q[y], np.searchsorted(part, qt[y])] = 1
+                    scores += has @ w
+                out: list[list] = [[], [], []]
+                for n, line in enumerate(scores):
+                    if len(hits := np.flatnonzero(line > 0)):
+                        value, taken = choose(line[hits], marks[hits] & q_marks[n], count[n])
+                        out[0].append(np.full(len(taken), asks[n]))
+                        out[1].append(ids[hits[taken]])
+                        out[2].append(value[taken])
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], ["query_id", "i", "bm25"])
+
+    found = left.crossJoin(right).mapInArrow(product, "query_id bigint, i bigint, bm25 double")
+    return found.select(F.col("query_id").cast(dict(queries.dtypes)["query_id"]).alias("query_id"), F.col("i").cast(types[key]).alias(key), "bm25")
+
+
+def bm25_top_k(documents: DataFrame, key: str, text: str, queries: DataFrame, k: int, digits: int = 6, k1: float = 1.2, b: float = 0.75, query_block: int = 256, document_block: int = 2048) -> DataFrame:
+    """(query_id, key, bm25, rank): the k best documents of each of many queries, exactly, ties by key.
+
+    As in ``vector_top_k`` blocks meet in one product each; scores are rounded before they are ranked.
+    """
+
+    def choose(scores, pairs, terms):
+        scores = np.round(scores, digits)
+        return scores, np.argsort(-scores, kind="stable")[:k]  # in order of the keys
+
+    return top_k(_bm25_blocks(documents, key, text, queries, choose, None, k1, b, query_block, document_block), key, "bm25", k)
+
+
+def bm25_for_fusion(documents: DataFrame, key: str, text: str, queries: DataFrame, k: int, vectors: DataFrame, vector_queries: DataFrame, k1: float = 1.2, b: float = 0.75, query_block: int = 256, document_block: int = 2048) -> DataFrame:
+    """(query_id, key, bm25): the rows of ``bm25`` that the k best of ``hybrid`` can depend on.
+
+    These are each query's least score and its k best (both of every block), and all pairs of a query of
+    ``vector_queries`` (first column: ids) and a row of ``vectors`` (first column: keys).  Another hit has no cosine to be
+    added to, and at least k hits with a better score stand before it.  What rounding the fused score to 6 digits can
+    make equal goes on too: a score is at most (k1 + 1) * 45 a word.
+    """
+
+    def choose(scores, pairs, terms):
+        best = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+        taken = pairs | (scores >= best - 1e-5 * (k1 + 1) * 45 * terms)
+        taken[scores.argmin()] = True
+        return scores, np.flatnonzero(taken)
+
+    return _bm25_blocks(documents, key, text, queries, choose, (vector_queries, vectors), k1, b, query_block, document_block)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -53,12 +146,8 @@ def vector_scores(vectors: DataFrame, key: str, vector: str, queries: DataFrame)
     return vectors.select(key, F.col(vector).alias("_v")).crossJoin(q).select("query_id", key, cosine(F.col("_v"), F.col("_q")).alias("cosine"))
 
 
-def vector_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, exclude_same: bool = False, digits: int = 6, query_block: int = 1024, vector_block: int = 8192) -> DataFrame:
-    """(query_id, key, cosine, rank): the k nearest vectors of each stated query, exactly, ties by key.
-
-    Both sides are packed into blocks of bounded size; each pair of blocks is one matrix product, of which only the k
-    best of each query go on.  Scores are rounded to ``digits`` before they are ranked.
-    """
+def _vector_blocks(vectors: DataFrame, key: str, vector: str, queries: DataFrame, score: Callable, query_block: int, vector_block: int) -> DataFrame:
+    """(query_id, key, cosine) from pairs of bounded blocks: score(query ids, vector ids, cosines) yields their columns."""
     types = dict(vectors.dtypes)
 
     def packed(df: DataFrame, id_column: str, value: str, size: int, name: str) -> DataFrame:
@@ -71,28 +160,52 @@ def vector_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame,
 
     def product(batches):
         for b in batches:
-            out: list[list] = [[], [], []]
             for row in range(b.num_rows):
                 vi, vv, qi, qv = (b.column(c)[row].values.to_numpy(zero_copy_only=False) for c in range(4))
                 v, q = (x.reshape(len(i), -1).astype(np.float64) for x, i in ((vv, vi), (qv, qi)))
                 unit = lambda x: np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=np.linalg.norm(x, axis=1, keepdims=True) > 0)
                 order = np.argsort(vi)
                 vi, v = vi[order], v[order]
-                scores = np.round(unit(q) @ unit(v).T, digits) + 0.0
-                if exclude_same:
-                    scores[qi[:, None] == vi[None, :]] = -9
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                for n, cols in enumerate(best):
-                    cols = cols[scores[n, cols] > -9]
-                    out[0] += [qi[n]] * len(cols)
-                    out[1] += vi[cols].tolist()
-                    out[2] += scores[n, cols].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "i", "cosine"])
+                for out in score(qi, vi, unit(q) @ unit(v).T):
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "i", "cosine"])
 
     # A stated query set against all rows, block by block.
     pairs = left.crossJoin(right).select("v_ids", "v_values", "q_ids", "q_values").mapInArrow(product, "query_id bigint, i bigint, cosine double")
-    found = pairs.select(F.col("query_id").cast(dict(queries.dtypes)["query_id"]).alias("query_id"), F.col("i").cast(types[key]).alias(key), "cosine")
-    return top_k(found, key, "cosine", k)
+    return pairs.select(F.col("query_id").cast(dict(queries.dtypes)["query_id"]).alias("query_id"), F.col("i").cast(types[key]).alias(key), "cosine")
+
+
+def vector_block_scores(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_block: int = 1024, vector_block: int = 8192) -> DataFrame:
+    """(query_id, key, cosine) of all pairs, as ``vector_scores`` but for any number of queries."""
+
+    def score(qi, vi, scores):
+        for n in range(0, len(qi), 32):
+            part = scores[n : n + 32]
+            yield np.repeat(qi[n : n + 32], len(vi)), np.tile(vi, len(part)), part.ravel()
+
+    return _vector_blocks(vectors, key, vector, queries, score, query_block, vector_block)
+
+
+def vector_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, exclude_same: bool = False, digits: int = 6, query_block: int = 1024, vector_block: int = 8192) -> DataFrame:
+    """(query_id, key, cosine, rank): the k nearest vectors of each stated query, exactly, ties by key.
+
+    Both sides are packed into blocks of bounded size; each pair of blocks is one matrix product, of which only the k
+    best of each query go on.  Scores are rounded to ``digits`` before they are ranked.
+    """
+
+    def score(qi, vi, scores):
+        out: list[list] = [[], [], []]
+        scores = np.round(scores, digits) + 0.0
+        if exclude_same:
+            scores[qi[:, None] == vi[None, :]] = -9
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        for n, cols in enumerate(best):
+            cols = cols[scores[n, cols] > -9]
+            out[0] += [qi[n]] * len(cols)
+            out[1] += vi[cols].tolist()
+            out[2] += scores[n, cols].tolist()
+        yield out
+
+    return top_k(_vector_blocks(vectors, key, vector, queries, score, query_block, vector_block), key, "cosine", k)
 
 
 def top_k(scores: DataFrame, key: str, score: str, k: int) -> DataFrame:

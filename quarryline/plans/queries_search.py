@@ -64,23 +64,25 @@ def semantic_cache(spark, d):
     return retrieval.vector_top_k(table(spark, d, "embeddings"), "vec_id", "embedding", _vector_queries(spark, d), 1, exclude_same=True).where("cosine >= 0.3").drop("rank")
 
 
-def _both(spark, d):
-    lexical = retrieval.bm25(_documents(spark, d), "doc_id", "text", _questions(spark))
-    queries = table(spark, d, "embeddings").where("vec_id < 5").select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("vector"))
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return lexical, retrieval.vector_scores(vectors, "doc_id", "embedding", queries)
+def _logged_questions(spark, d):
+    """The lexical half of the stated query set: logged questions whose id is divisible by 50."""
+    return cut_lineage(_asked(spark, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("question").alias("query")))
+
+
+def _document_vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
 
 
 def hybrid_top(spark, d):
-    lexical, vector = _both(spark, d)
-    fused = retrieval.hybrid(lexical, vector, "doc_id", 0.7).withColumn("score", F.round("score", 6))
+    vectors, queries = _document_vectors(spark, d), _vector_queries(spark, d)
+    lexical = retrieval.bm25_for_fusion(_documents(spark, d), "doc_id", "text", _logged_questions(spark, d), 20, vectors, queries)
+    fused = retrieval.hybrid(lexical, retrieval.vector_block_scores(vectors, "doc_id", "embedding", queries), "doc_id", 0.7).withColumn("score", F.round("score", 6))
     return retrieval.top_k(fused, "doc_id", "score", 20)
 
 
 def rank_fusion(spark, d):
-    lexical, vector = _both(spark, d)
-    a = retrieval.top_k(lexical.withColumn("bm25", F.round("bm25", 6)), "doc_id", "bm25", 50)
-    b = retrieval.top_k(vector.withColumn("cosine", F.round("cosine", 6)), "doc_id", "cosine", 50)
+    a = retrieval.bm25_top_k(_documents(spark, d), "doc_id", "text", _logged_questions(spark, d), 50)
+    b = retrieval.vector_top_k(_document_vectors(spark, d), "doc_id", "embedding", _vector_queries(spark, d), 50)
     fused = retrieval.reciprocal_rank_fusion([a, b], "doc_id").withColumn("score", F.round("score", 9))
     return retrieval.top_k(fused, "doc_id", "score", 20)
 

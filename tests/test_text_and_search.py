@@ -95,6 +95,36 @@ def test_bm25_against_model(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_fusion_takes_every_fiftieth_id(spark):
+    import random
+    import tempfile
+
+    from quarryline.plans import queries_search as qs
+
+    rng = random.Random(3)
+    words = [f"w{n}" for n in range(40)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    documents = [(n, say(rng.randint(1, 30))) for n in range(160)] + [(160, None), (161, "w1"), (162, "w1")]
+    vectors = [(n, [rng.uniform(-1, 1) for _ in range(4)]) for n in range(110)]
+    chats = [(n, say(4)) for n in (0, 1, 50, 50, 150, 151)]
+    d = tempfile.mkdtemp()
+    for name, rows, columns in (("documents", documents, "doc_id bigint, text string"), ("embeddings", vectors, "vec_id bigint, embedding array<float>"), ("chat_logs", chats, "id bigint, question string")):
+        spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{d}/{name}.parquet")
+    docs, asked = spark.createDataFrame(documents, "doc_id bigint, text string"), spark.createDataFrame(list({q: t for q, t in chats if q % 50 == 0 and q != 50}.items()) + [(50, " ".join(t for q, t in chats if q == 50))], "query_id bigint, query string")
+    lexical = retrieval.bm25(docs, "doc_id", "text", asked)
+    stated = spark.createDataFrame([v for v in vectors if v[0] % 50 == 0], "query_id bigint, vector array<float>")
+    cosines = retrieval.vector_scores(spark.createDataFrame(vectors, "doc_id bigint, embedding array<float>"), "doc_id", "embedding", stated)
+    rows = lambda df, c: sorted((r.query_id, r["rank"], r.doc_id, round(r[c], 6)) for r in df.collect())
+    want = rows(retrieval.top_k(retrieval.hybrid(lexical, cosines, "doc_id", 0.7).withColumn("score", F.round("score", 6)), "doc_id", "score", 20), "score")
+    assert rows(qs.hybrid_top(spark, d), "score") == want and {r[0] for r in want} == {0, 50, 100, 150}
+    a, b = (retrieval.top_k(x.withColumn(c, F.round(c, 6)), "doc_id", c, 50) for x, c in ((lexical, "bm25"), (cosines, "cosine")))
+    want = rows(retrieval.top_k(retrieval.reciprocal_rank_fusion([a, b], "doc_id").withColumn("score", F.round("score", 9)), "doc_id", "score", 20), "score")
+    assert rows(qs.rank_fusion(spark, d), "score") == want
+    # Small blocks change nothing.
+    blocks = {(r.query_id, r["rank"]): r.doc_id for r in retrieval.bm25_top_k(docs, "doc_id", "text", asked, 5, query_block=2, document_block=16).collect()}
+    assert blocks == {(r.query_id, r["rank"]): r.doc_id for r in retrieval.top_k(lexical.withColumn("bm25", F.round("bm25", 6)), "doc_id", "bm25", 5).collect()}
+
+
 def test_diversity_caps_greedy(spark):
     rows = [(0, n, f, name) for n, (f, name) in enumerate([("1", "a"), ("2", "a"), ("3", "a"), ("3", "b"), ("f", "c"), ("3", ""), ("3", "")])]
     df = spark.createDataFrame(rows, "q int, pos int, file string, name string")
