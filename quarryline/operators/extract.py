@@ -212,9 +212,9 @@ def extract_entities(files: DataFrame, key: str = "entity_id", path: str = "file
     return rows.mapInArrow(run, f"key string, file_path string, {ENTITY}")
 
 
-def framework_vote(text):
-    """Column: django or fastapi by marks in the first 5 000 characters, else python."""
-    head = F.substring(text, 1, 5000)
+def framework_vote(text, chars: int | None = None):
+    """Column: django or fastapi by marks in the text (the reference looks at its first ``chars`` = 5 000), else python."""
+    head = text if chars is None else F.substring(text, 1, chars)
     count = lambda marks: sum((F.when(head.contains(m), 1).otherwise(0) for m in marks), F.lit(0))
     d = count(("from django", "import django", "models.Model", "django.db", "rest_framework", "urlpatterns"))
     f = count(("from fastapi", "import fastapi", "FastAPI(", "APIRouter", "pydantic", "BaseModel"))

@@ -139,6 +139,15 @@ def test_stream(spark, tmp_path):
     assert seen == [["r1"]]
 
 
+def test_framework_vote_reads_whole_files(spark):
+    from quarryline.operators.extract import framework_vote
+
+    df = spark.createDataFrame([("# head\n" * 1000 + "from fastapi import FastAPI\napp = FastAPI()\n",), ("x = 1",)], "content string")
+    assert [r[0] for r in df.select(framework_vote(df.content)).collect()] == ["fastapi", "python"]
+    assert [r[0] for r in df.select(framework_vote(df.content, 5000)).collect()] == ["python", "python"]
+
+
+
 def test_entry_contract():
     import __spark_entry__ as e
 
