@@ -10,7 +10,7 @@ Defined cases
   characters that overlap by ``OVERLAP`` lines, and is read whole.
 * A line is reported once however many credentials begin on it; repeated rows of an entity_id count once.
 * Redaction replaces the credential's characters alone, within its quotes, so that the code still parses; a private key
-  keeps its BEGIN and END lines.  Empty tables give empty results; other columns aren't read.
+  keeps its BEGIN and END lines; one without END ends before the first line that isn't base64 or a PEM header.  Empty tables give empty results; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -81,6 +81,22 @@ def usable(rule: str, value: str) -> bool:
 
 
 _PEM_END = re.compile(r"-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----")
+_PEM_BEGIN = re.compile(RULES["pem"])
+#: A line of a key as it stands in files, comments and string literals; the first is what follows BEGIN on its line.
+_PEM_LINE = re.compile(r"[ \t]*+(?:(?:#|//|\*)[ \t]*+)?+[\"'`]?+(?:(?:Proc-Type|DEK-Info|Version|Comment|MessageID|Hash|Charset):[^\r\n\"'`\\]*+|[A-Za-z0-9+/]*+={0,2}+)(?:(?:\\[nr])++(?:[A-Za-z0-9+/]++={0,2}+)?+)*+[\"'`]?+[ \t+,;()\\]*+\r?+(?=\n|\Z)")
+
+
+def key_end(text: str, begun: int) -> tuple[int, int]:
+    """Where the body of the private key ends whose BEGIN ends at ``begun``, and where its END does (or the body again)."""
+    after = _PEM_BEGIN.search(text, begun)
+    limit = after.start() if after else len(text)
+    if m := _PEM_END.search(text, begun, limit):
+        return m.start(), m.end()
+    at = begun
+    while at < limit and (m := _PEM_LINE.match(text, at, limit)):
+        at = m.end() + 1
+    at = min(max(begun, at - 1), limit)
+    return at, at
 
 
 class Scanner:
@@ -113,8 +129,7 @@ class Scanner:
         keys = [(s, e) for s, e, r in found if r == "pem"]
         spans = []
         for s, e in keys:
-            m = _PEM_END.search(text, e)
-            spans.append((s, m.end() if m else len(text)))
+            spans.append((s, key_end(text, e)[1]))
         for s, e, rule in sorted(found, key=lambda x: (x[0], -x[1])):
             if rule != "pem" and any(a <= s < b for a, b in spans):
                 continue
@@ -149,8 +164,7 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     parts, last = [], 0
     for s, e, rule in spans:
         if rule == "pem":
-            m = _PEM_END.search(text, e)
-            stop = m.start() if m else len(text)
+            stop, _ = key_end(text, e)
             parts += [text[last:e], re.sub(r"[^\s\"'`\\,;]+", MASK, text[e:stop])]
             last = stop
         else:

@@ -140,6 +140,20 @@ def test_redaction_keeps_the_code():
     assert "r7uLMHEla5f" not in out and "abc" not in out and out.count("\n") == text.count("\n") and 'db_password = "REDACTED"' in out
 
 
+def test_keys_without_end():
+    begin, end, body, word = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "MIIEow" + "Ab3/" * 14, 'password = "hunter2X9!q"\n'
+    scan = secrets.Scanner().scan
+    for cut in (f"{begin}\n{body}\n{body}\n", f'if text.startswith("{begin}"):\n', f'K = "{begin}\\n{body}\\n"\n', f"{begin}\nProc-Type: 4,ENCRYPTED\n\n{body}\n"):
+        for rest in (word, word + f"{begin}\n{body}\n{end}\n" + word):
+            spans = scan([cut + "x = 1\n" + rest])[0]
+            assert [r for *_, r in spans] == ["pem", "assigned"] + ["pem", "assigned"] * (rest != word)
+            out = secrets.redact(cut + "x = 1\n" + rest, spans)
+            assert body not in out and "hunter2" not in out and "x = 1\npassword" in out and out.count("\n") == (cut + rest).count("\n") + 1
+    # A key with its END is masked to there.
+    whole = f"{begin}\n{body}\n{end}\n" + word
+    assert secrets.redact(whole, scan([whole])[0]) == f'{begin}\nREDACTED\n{end}\npassword = "REDACTED"\n'
+
+
 def test_secrets_of_a_table(spark):
     df = spark.createDataFrame([("a", 'x\napi_key = "9PTM7JZ9J3CO2UU46C0Y"', 1), ("a", 'x\napi_key = "9PTM7JZ9J3CO2UU46C0Y"', 2), ("b", None, 3), ("c", "", 4)], "entity_id string, content string, rule int")
     assert [(r.entity_id, r.line_no) for r in secrets.secret_lines(df).distinct().collect()] == [("a", 2)]
