@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of narrow keys (at most some 32 bytes each) up to which a side is broadcast; beyond it, a shuffle join.
 BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a side with rows of any width is broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Members of a group that meet in one task when pairs are built.
 BLOCK = 512
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows; ``df`` should be materialised."""
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows; ``df`` should be materialised and narrow."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def pairs_in_groups(rows: DataFrame, group: str, member: str, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs (a < b) of members that share a group.
+def small_bytes(df: DataFrame, row_bytes: Column, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, ``row_bytes`` each, take at most ``max_bytes``; it should be materialised."""
+    total = df.agg(F.sum(row_bytes.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if total <= max_bytes else df
+
+
+def pairs_in_groups(rows: DataFrame, group: str, member: str, block: int = BLOCK, carry: str | None = None) -> DataFrame:
+    """Pairs (a < b) of members that share a group: distinct, or with ``carry`` one row a group and both values of that column.
 
     A group of n members is cut into ceil(n / block) blocks by the member's hash, and each pair of blocks is joined by
     itself, so that a hot group is spread over many tasks and no group is collected.
@@ -27,8 +35,9 @@ def pairs_in_groups(rows: DataFrame, group: str, member: str, block: int = BLOCK
     mine = parts.withColumn("_mine", F.pmod(F.xxhash64(member), F.col("_parts")).cast("int"))
     cells = mine.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     lo, hi = F.least("_mine", "_other"), F.greatest("_mine", "_other")
-    left = cells.select(F.col(group).alias("_g"), lo.alias("_i"), hi.alias("_j"), F.col("_mine").alias("_ma"), F.col(member).alias("a"))
-    right = cells.select(F.col(group).alias("_g"), lo.alias("_i"), hi.alias("_j"), F.col("_mine").alias("_mb"), F.col(member).alias("b"))
+    more = lambda side: [F.col(carry).alias(f"{carry}_{side}")] if carry else []
+    left = cells.select(F.col(group).alias("_g"), lo.alias("_i"), hi.alias("_j"), F.col("_mine").alias("_ma"), F.col(member).alias("a"), *more("a"))
+    right = cells.select(F.col(group).alias("_g"), lo.alias("_i"), hi.alias("_j"), F.col("_mine").alias("_mb"), F.col(member).alias("b"), *more("b"))
     # Within the cell (i, j), one member comes from block i and the other from block j.
     joined = left.join(right, ["_g", "_i", "_j"]).where((F.col("a") < F.col("b")) & (F.col("_i") == F.least("_ma", "_mb")) & (F.col("_j") == F.greatest("_ma", "_mb")))
-    return joined.select("a", "b").distinct()
+    return joined.select("a", "b", f"{carry}_a", f"{carry}_b") if carry else joined.select("a", "b").distinct()
