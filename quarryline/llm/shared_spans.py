@@ -1,262 +1,375 @@
 """Long exact spans that stand verbatim in more than one document.
 
-Method: content-defined chunking with a gear rolling hash.  The gear hash of the last ``GEAR`` characters is taken at
-every position; cut points are the positions whose hash is the least of some ``REACH`` neighbouring ones, so they
-depend on near content alone and move along with it when text is inserted before them.  At each cut point begins a
-chunk of ``CHUNK`` characters, and chunks are deduplicated by digest.  Within any common span of ``MIN_SPAN``
-characters at least one cut point is decided by the span alone and leaves room for its whole chunk:
-the first is at most at 2 * REACH - 2, and 2 * REACH - 2 + CHUNK <= MIN_SPAN, 3 * REACH <= MIN_SPAN - GEAR + 3.
-So every pair with a common span meets in some chunk.  Chunks that stand in one text only are dropped.  A chunk left
-over is widened to each of ``WIDER`` windows of MIN_SPAN - slack / WIDER characters around it (slack = MIN_SPAN - CHUNK),
-one of which lies in any common span that holds the chunk; texts that share a widened chunk are candidates, and an
-exact check of the two texts decides.
+Method: content-defined chunking with a gear rolling hash.  The gear hash of ``GEAR`` characters is taken at every
+position; cut points are the positions whose hash is the least of some window of ``reach`` neighbouring ones, so they
+depend on near content alone, move along with it when text is inserted before them, and are never further apart than
+``reach``.  A chunk runs from a cut point to the first cut point at least ``least`` characters on, so its length varies;
+chunks are deduplicated by digest.  Within a common span of ``span`` characters the cut points at reach - 1 from both
+ends on are decided by the span alone, the first lies within 2 * reach - 2, and a chunk is at most least + reach - 1
+long, so with least <= span - GEAR - 4 * reach + 4 some chunk of both texts lies in the span: no pair is missed.
+
+Chunks of one text only are dropped.  A window of ``span`` characters can be shared only if every chunk whose cut
+points it decides is shared; that leaves few places (``candidate_starts``).  Two results are made of them:
+
+* ``document_pairs``: the candidate places are chunked again with a small reach, so that chunks are nearly as long as
+  the span.  Chunks with one and the same set of texts are one class.  Each member of a class is compared with the
+  class's representative, which tells how far the two agree around the chunk; two members that both agree with it far
+  enough are a pair without being compared, and only the other pairs of a class are compared themselves.
+* ``portions``: every candidate window has a 128-bit digest; windows of more than one text are shared, and a text's
+  shared portion is their union.  No pairs are made: the work grows with the characters in candidate places.
 
 Defined cases
 -------------
-* Null, empty, blank texts and texts under ``MIN_SPAN`` characters share nothing and have a shared portion of 0.
-* Copies of one text are one class: their pairs come from the class, their shared portion is the whole text.
+* Null, empty, blank texts and texts shorter than the span share nothing and have a shared portion of 0.
+* Copies of one text (128-bit hash) are one class: their pairs come from the class, their shared portion is the whole
+  text.  If rows of one doc_id differ in text, the text of least hash counts.
 * Characters are Unicode code points; blanks and case count.  Very long texts are read whole, in overlapping pieces.
 * A repeated row of one doc_id isn't another document.  Empty tables give empty results; other columns aren't read.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.operators.sized import BROADCAST_ROWS, pairs_in_groups, small_side
+from quarryline.operators.sized import pairs_in_groups, small_bytes, small_side
 from quarryline.session import cut_lineage, spread
 
 MIN_SPAN = 200
-GEAR, REACH, CHUNK, WIDER = 8, 64, 70, 5
+GEAR = 6
+#: Reach of the second chunking, whose chunks are nearly as long as the span.
+FINE = 8
 #: Characters that are chunked at once; a longer text is cut into pieces that overlap by a span.
 PIECE = 400_000
 
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+
+
+def reach_of(span: int) -> int:
+    """The reach of the first chunking: chunks are then at least a quarter of the span long."""
+    if span < 40:
+        raise ValueError("a span has at least 40 characters")
+    return max(2, span * 9 // 50)
+
 
+def least_of(span: int, reach: int) -> int:
+    return span - GEAR - 4 * reach + 4
 
-def _gear_table(codes: np.ndarray) -> np.ndarray:
+
+def _words(codes: np.ndarray, salt: int = 0) -> np.ndarray:
     """A fixed pseudo-random 64-bit word for each code point (the splitmix finaliser)."""
-    x = codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = codes.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 + salt * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def _windows(x: np.ndarray, width: int, join) -> np.ndarray:
-    """``join`` over every window of ``width``, by doubling; join(left, right, length of right)."""
-    out, have, power, done = None, 0, x, 1
-    while True:
-        if width & done:
-            out = power if out is None else join(out[: len(power) - have] if len(power) - have > 0 else out[:0], power[have:], done)
-            have += done
-        done *= 2
-        if done > width:
-            return out
-        power = join(power[: -(done // 2)], power[done // 2 :], done // 2)
-
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
-def _least(a, b, _):
-    n = min(len(a), len(b))
-    return np.minimum(a[:n], b[:n])
 
+def _sliding(x: np.ndarray, width: int, join) -> np.ndarray:
+    """Least or greatest of every window of ``width``, by doubling."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = join(x[:-step], x[step:])
+        done += step
+    return x
+
+
+class Hashed:
+    """Prefix sums of a stretch of code points, from which the digest of any part is read."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        self._sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def digest(self, start: np.ndarray, stop: np.ndarray, which: int = 0) -> np.ndarray:
+        if which not in self._sums:
+            n, base = len(self.codes), _BASES[which]
+            up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_words(self.codes, which) * up[:-1], out=sums[1:], dtype=np.uint64)
+            self._sums[which] = sums, down
+        sums, down = self._sums[which]
+        x = (sums[stop] - sums[start]) * down[start]
+        return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+    def cuts(self, reach: int) -> np.ndarray:
+        """The cut points, ascending."""
+        n = len(self.codes)
+        if n < GEAR:
+            return np.zeros(0, np.int64)
+        table = _words(self.codes)
+        gear = np.zeros(n - GEAR + 1, np.uint64)
+        for i in range(GEAR):
+            gear = (gear << np.uint64(1)) + table[i : n - GEAR + 1 + i]
+        gear ^= gear >> np.uint64(29)
+        edge = np.full(reach - 1, _MAX)
+        low = _sliding(np.concatenate([edge, gear, edge]), reach, np.minimum)  # of each window that meets the text
+        most = _sliding(low, reach, np.maximum)
+        return np.flatnonzero(most == gear)
+
+    def chunks(self, reach: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and stop of each chunk."""
+        cuts = self.cuts(reach)
+        at = np.searchsorted(cuts, cuts + least)
+        keep = at < len(cuts)
+        return cuts[keep], cuts[at[keep]]
+
+
+def candidate_starts(n: int, start: np.ndarray, stop: np.ndarray, shared: np.ndarray, span: int, reach: int) -> np.ndarray:
+    """Starts of the windows of ``span`` characters all of whose decided chunks are shared."""
+    count = n - span + 1
+    if count <= 0 or not shared.any():
+        return np.zeros(0, np.int64)
+    bad = ~shared
+    first = np.clip(stop[bad] - span + GEAR + reach - 1, 0, count)
+    last = np.clip(start[bad] - reach + 2, 0, count)  # exclusive
+    there = first < last
+    steps = np.zeros(count + 1, np.int32)
+    np.add.at(steps, first[there], 1)
+    np.add.at(steps, last[there], -1)
+    return np.flatnonzero(np.cumsum(steps[:-1]) == 0)
+
+
+def pieces(text: str, span: int):
+    """(offset, code points) of the pieces of a text; every window of ``span`` characters lies in exactly one."""
+    codes = _codes(text)
+    for at in range(0, max(1, len(codes) - span + 1), PIECE):
+        yield at, codes[at : at + PIECE + span - 1]
+
+
+def _flat(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _first_chunks(span: int):
+    reach = reach_of(span)
+    least = least_of(span, reach)
+
+    def run(batches):
+        for batch in batches:
+            owners, digests = [], []
+            for cid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                mine = []
+                for _, codes in pieces(text.as_py(), span):
+                    h = Hashed(codes)
+                    mine.append(h.digest(*h.chunks(reach, least)))
+                found = np.unique(_flat(mine, np.uint64))
+                digests.append(found)
+                owners.append(np.full(len(found), cid, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(_flat(owners, np.int64)), pa.array(_flat(digests, np.uint64).view(np.int64))], ["cid", "digest"])
+
+    return run
+
+
+def _places(text: str, known: np.ndarray, span: int):
+    """(offset, hashed piece, candidate starts) of the pieces of a text, given its shared digests."""
+    reach = reach_of(span)
+    least = least_of(span, reach)
+    for at, codes in pieces(text, span):
+        h = Hashed(codes)
+        a, b = h.chunks(reach, least)
+        yield at, h, candidate_starts(len(codes), a, b, np.isin(h.digest(a, b), known), span, reach)
+
+
+def _known(column) -> list[np.ndarray]:
+    return [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in column]
+
+
+def _fine_chunks(span: int):
+    """(cid, digest, at, size) of the fine chunks in candidate places, each digest once a text."""
+    least = least_of(span, FINE)
+
+    def run(batches):
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for cid, text, known in zip(batch.column(0).to_pylist(), batch.column(1), _known(batch.column(2))):
+                mine: list[list[np.ndarray]] = [[], [], []]
+                for at, h, starts in _places(text.as_py(), known, span):
+                    if not len(starts):
+                        continue
+                    a, b = h.chunks(FINE, least)
+                    # Chunks within a candidate window: the last candidate start at or before a reaches b.
+                    before = np.searchsorted(starts, a, "right") - 1
+                    inside = (before >= 0) & (b <= starts[before] + span)
+                    after = np.searchsorted(starts, b - span)
+                    inside |= (after < len(starts)) & (starts[np.minimum(after, len(starts) - 1)] <= a)
+                    a, b = a[inside], b[inside]
+                    for column, x in zip(mine, (h.digest(a, b), a + at, b - a)):
+                        column.append(x)
+                digest, first = np.unique(_flat(mine[0], np.uint64), return_index=True)
+                for column, x in zip(out, (np.full(len(digest), cid, np.int64), digest.view(np.int64), _flat(mine[1], np.int64)[first], _flat(mine[2], np.int64)[first])):
+                    column.append(x)
+            arrays = [pa.array(_flat(x, np.int64), t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["cid", "digest", "at", "size"])
+
+    return run
+
+
+def _window_digests(span: int):
+    """(cid, at, d, e) of every candidate window."""
+
+    def run(batches):
+        for batch in batches:
+            for cid, text, known in zip(batch.column(0).to_pylist(), batch.column(1), _known(batch.column(2))):
+                for at, h, starts in _places(text.as_py(), known, span):
+                    if len(starts):
+                        d, e = (h.digest(starts, starts + span, which) for which in (0, 1))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), cid, np.int64)), pa.array((starts + at).astype(np.int32)), pa.array(d.view(np.int64)), pa.array(e.view(np.int64))], ["cid", "at", "d", "e"])
+
+    return run
+
+
+def share_span(a: str, b: str, span: int = MIN_SPAN) -> bool:
+    """Whether two texts have a common span: digests of all windows, then the characters themselves."""
+    if len(a) < span or len(b) < span:
+        return False
+    ha, hb = Hashed(_codes(a)), Hashed(_codes(b))
+    sa, sb = np.arange(len(a) - span + 1), np.arange(len(b) - span + 1)
+    da, db = ha.digest(sa, sa + span), hb.digest(sb, sb + span)
+    return any(a[i : i + span] in b for i in np.flatnonzero(np.isin(da, db)).tolist())
 
-def _most(a, b, _):
-    n = min(len(a), len(b))
-    return np.maximum(a[:n], b[:n])
 
+def agreement(a: str, i: int, b: str, j: int, size: int, span: int) -> tuple[int, int]:
+    """How far a and b agree left and right of a chunk that begins at i and j, at most ``span`` each; (-1, -1): not even there."""
+    if a[i : i + size] != b[j : j + size]:
+        return -1, -1
+    left = 0
+    while left < span and i > left and j > left and a[i - left - 1] == b[j - left - 1]:
+        left += 1
+    right, u, v = 0, i + size, j + size
+    while right < span and u + right < len(a) and v + right < len(b) and a[u + right] == b[v + right]:
+        right += 1
+    return left, right
 
-def _poly(a, b, length):
-    n = min(len(a), len(b))
-    return a[:n] * np.uint64(pow(_BASE, length, 1 << 64)) + b[:n]
 
+def _compare_with_first(span: int):
+    """Rows of (class, cid, at, size, text, first text, first at): how far each member agrees with the representative."""
 
-def _gear(a, b, length):
-    n = min(len(a), len(b))
-    return (a[:n] << np.uint64(length)) + b[:n]
+    def run(batches):
+        for batch in batches:
+            group, cid, at, size, _, _, first_at = (batch.column(i).to_pylist() if i not in (4, 5) else None for i in range(7))
+            far = [agreement(x.as_py(), i, y.as_py(), j, n, span) for x, i, y, j, n in zip(batch.column(4), at, batch.column(5), first_at, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(cid, pa.int64()), pa.array(size, pa.int32()), pa.array([x for x, _ in far], pa.int32()), pa.array([x for _, x in far], pa.int32())], ["class", "cid", "size", "left", "right"])
 
+    return run
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
+def _compare_pairs(span: int):
+    def run(batches):
+        for batch in batches:
+            keep = pa.array([share_span(x.as_py(), y.as_py(), span) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-def chunk_digests(texts: list[str], keep: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the text, digest of the chunk) of every chunk of texts, each text at least ``MIN_SPAN`` long.
-
-    With ``keep``, the digests to keep of each text: (number of the text, digest of the widened chunk) of those.
-    """
-    gap = np.zeros(GEAR + REACH, np.uint32)
-    codes = [_codes(t) for t in texts]
-    lengths = [len(c) + len(gap) for c in codes]
-    first = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-    flat = np.concatenate([x for c in codes for x in (c, gap)])
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    starts = np.repeat(first, lengths)
-    ends = np.repeat(first + [len(c) for c in codes], lengths)
-    table = _gear_table(flat)
-    gear = _windows(table, GEAR, _gear)
-    place = np.arange(len(flat))
-    gear = np.where(place[: len(gear)] + GEAR <= ends[: len(gear)], gear, _MAX)
-    low = _windows(gear, REACH, _least)  # low[s]: least of the window that begins at s
-    padded = np.concatenate([np.full(REACH - 1, low[0], low.dtype), low, np.full(REACH - 1, low[-1], low.dtype)])
-    cut = _windows(padded, REACH, _most)[: len(gear)] == gear
-    digest = _windows(table, CHUNK, _poly)
-    at = np.flatnonzero(cut[: len(digest)] & (place[: len(digest)] + CHUNK <= ends[: len(digest)]))
-    if keep is None:
-        return owner[at], digest[at]
-    at = at[np.concatenate([np.isin(digest[part], k) for part, k in zip(np.split(at, np.searchsorted(at, first[1:])), keep)])]
-    step = (MIN_SPAN - CHUNK) // WIDER
-    wide = MIN_SPAN - step
-    digest = _windows(table, wide, _poly)
-    owners, digests = [], []
-    for k in range(WIDER):
-        left = at - k * step
-        left = left[(left >= starts[at]) & (left + wide <= ends[at])]
-        owners.append(owner[left])
-        digests.append(digest[left])
-    return np.concatenate(owners), np.concatenate(digests)
-
-
-def common_cover(a: str, b: str, span: int = MIN_SPAN) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """The parts of a and of b that lie in common spans of at least ``span`` characters."""
-    if len(a) < span or len(b) < span:
-        return [], []
-    ha, hb = (_windows(_gear_table(_codes(t)), span, _poly) for t in (a, b))
-    return _cover(a, b, ha, hb, span), _cover(b, a, hb, ha, span)
-
-
-def _cover(a: str, b: str, ha: np.ndarray, hb: np.ndarray, span: int) -> list[tuple[int, int]]:
-    hits = np.flatnonzero(np.isin(ha, hb))
-    out: list[tuple[int, int]] = []
-    if not len(hits):
-        return out
-    for run in np.split(hits, np.flatnonzero(np.diff(hits) > 1) + 1):
-        start, stop = int(run[0]), int(run[-1]) + span
-        if a[start : start + span] not in b:  # equal digests of unequal text
-            continue
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], stop)
-        else:
-            out.append((start, stop))
-    return out
-
-
-def _digest_rows(batches):
-    """Distinct (tid, digest) rows of tid and text, and of the digests to keep if there is a third column."""
-    seen: set[int] = set()
-    for batch in batches:
-        wanted = batch.column(2) if batch.num_columns > 2 else None
-        ids, texts, keep, size = [], [], [], 0
-
-        def flush():
-            owner, digest = chunk_digests(texts, keep if wanted is not None else None)
-            pairs = np.unique(np.stack([np.array(ids, np.int64)[owner], digest.view(np.int64)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["tid", "digest"])
-
-        for row, tid in enumerate(batch.column(0).to_pylist()):
-            if tid in seen:
-                continue
-            if len(seen) < 500_000:
-                seen.add(tid)
-            text = batch.column(1)[row].as_py()
-            mine = None if wanted is None else wanted[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for i in range(0, max(1, len(text) - MIN_SPAN + 1), PIECE):
-                piece = text[i : i + PIECE + MIN_SPAN]
-                ids.append(tid)
-                texts.append(piece)
-                keep.append(mine)
-                size += len(piece)
-                if size >= PIECE:
-                    yield flush()
-                    ids, texts, keep, size = [], [], [], 0
-        if texts:
-            yield flush()
-
-
-_SPANS = "array<struct<start:int,stop:int>>"
-
-
-def _verify(batches):
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-    for batch in batches:
-        a, b, sa, sb = [], [], [], []
-        last, hashed = None, None
-        for x, y, tx, ty in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-            if x != last:
-                text = tx.as_py()
-                last, hashed = x, _windows(_gear_table(_codes(text)), MIN_SPAN, _poly)
-            other = ty.as_py()
-            theirs = _windows(_gear_table(_codes(other)), MIN_SPAN, _poly)
-            ca = _cover(text, other, hashed, theirs, MIN_SPAN)
-            if ca:
-                a.append(x)
-                b.append(y)
-                sa.append([{"start": i, "stop": j} for i, j in ca])
-                sb.append([{"start": i, "stop": j} for i, j in _cover(other, text, theirs, hashed, MIN_SPAN)])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sa, kind), pa.array(sb, kind)], ["a", "b", "spans_a", "spans_b"])
+    return run
 
 
 class SharedSpans:
-    """The shared spans of a corpus: text classes, links between classes, and the two results made of them."""
-
-    def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text"):
-        self.rows = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-        self.long = self.rows.where(F.length("text") >= MIN_SPAN).select("doc_id", F.xxhash64("text").alias("tid"), "text")
-        digests = spread(self.long.select("tid", "text")).mapInArrow(_digest_rows, "tid bigint, digest bigint")
-        chunks = cut_lineage(digests)
-        # Digests of more than one text: partial sums before the shuffle, so that a hot chunk is one row a task.
-        shared = cut_lineage(chunks.groupBy("digest").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo < hi").select("digest"))
-        hits = chunks.join(small_side(shared), "digest").distinct().groupBy("tid").agg(F.collect_list("digest").alias("digests"))
-        again = self.long.join(small_side(cut_lineage(hits), BROADCAST_ROWS // 4), "tid").select("tid", "text", "digests")
-        wide = cut_lineage(again.mapInArrow(_digest_rows, "tid bigint, digest bigint").distinct())
-        # Widened chunks of one and the same set of texts give the same pairs: one is kept (128-bit digest of the set).
-        sets = wide.groupBy("digest").agg(F.count("*").alias("n"), F.sum(F.xxhash64("tid").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("tid", F.lit(1))).alias("x"))
-        kept = sets.where("n > 1").groupBy("n", "s", "x").agg(F.min("digest").alias("digest")).select("digest")
-        self.pairs = cut_lineage(pairs_in_groups(wide.join(kept, "digest"), "digest", "tid"))
-        wanted = self.pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
-        texts = self.long.join(small_side(cut_lineage(wanted)), "tid").groupBy("tid").agg(F.min_by("text", "doc_id").alias("text"))
-        texts = cut_lineage(texts)
+    """The shared spans of a corpus of at least ``span`` characters: links between text classes, and portions."""
+
+    def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = MIN_SPAN):
+        reach_of(span)
+        self.span = span
+        self.rows = spread(documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
+        long = self.rows.where(F.length("text") >= span).withColumn("hash", F.unhex(F.md5("text")))
+        # A text class is named by its least doc_id; only narrow rows are shuffled to find it.
+        each = long.groupBy("doc_id").agg(F.min("hash").alias("hash"))
+        first = each.groupBy("hash").agg(F.min("doc_id").alias("cid"))
+        self.members = cut_lineage(each.join(first, "hash").select("doc_id", "cid"))
+        named = long.select("doc_id", "hash").distinct()
+        kept = each.join(first, "hash").where("doc_id = cid").select("doc_id", "hash")
+        surplus = cut_lineage(named.join(kept, ["doc_id", "hash"], "left_anti"))
+        #: One row a class (repeated rows of it aside): cid, text.
+        self.texts = long.join(small_side(surplus), ["doc_id", "hash"], "left_anti").select(F.col("doc_id").alias("cid"), "text")
+        chunks = self.texts.mapInArrow(_first_chunks(span), "cid bigint, digest bigint")
+        # Partial sums before the shuffle: a hot chunk is one row a task.
+        shared = cut_lineage(chunks.groupBy("digest").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("digest"))
+        hits = cut_lineage(chunks.join(small_side(shared), "digest").distinct().groupBy("cid").agg(F.collect_list("digest").alias("digests")))
+        #: Texts with shared chunks, and their shared digests.
+        self.open = self.texts.join(small_bytes(hits, F.size("digests") * 8 + 32), "cid").select("cid", "text", "digests")
+
+    @cached_property
+    def classes(self) -> DataFrame:
+        """(class, cid, at, size) of the members of each set of texts that share a fine chunk; the chunk of least digest stands for a set."""
+        fine = cut_lineage(self.open.mapInArrow(_fine_chunks(self.span), "cid bigint, digest bigint, at int, size int").dropDuplicates(["digest", "cid"]))
+        marks = fine.groupBy("digest").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("x"))
+        kept = marks.where("n > 1").groupBy("n", "s", "x").agg(F.min("digest").alias("digest")).select("digest")
+        return cut_lineage(fine.join(small_side(cut_lineage(kept)), "digest").select(F.col("digest").alias("class"), "cid", "at", "size"))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """(a < b) of text classes with a common span."""
+        first = self.classes.groupBy("class").agg(F.min(F.struct("cid", "at")).alias("f")).select("class", F.col("f.cid").alias("first"), F.col("f.at").alias("first_at"))
+        rows = self.classes.join(first, "class")
+        wanted = cut_lineage(rows.select("cid").distinct())
+        texts = cut_lineage(self.texts.join(small_side(wanted), "cid", "left_semi").groupBy("cid").agg(F.first("text").alias("text")))
         both = (
-            self.pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("tid").alias("b"), F.col("text").alias("tb")), "b")
+            rows.where("cid <> first")
+            .join(texts, "cid")
+            .join(texts.select(F.col("cid").alias("first"), F.col("text").alias("first_text")), "first")
+            .select("class", "cid", "at", "size", "text", "first_text", "first_at")
+        )
+        far = both.mapInArrow(_compare_with_first(self.span), "class bigint, cid bigint, size int, left int, right int")
+        own = rows.where("cid = first").select("class", "cid", "size", F.lit(self.span).alias("left"), F.lit(self.span).alias("right"))
+        members = cut_lineage(far.unionByName(own).withColumn("far", F.struct("size", "left", "right")))
+        pairs = pairs_in_groups(members, "class", "cid", carry="far")
+        known = (F.least("far_a.left", "far_b.left") >= 0) & (F.col("far_a.size") + F.least("far_a.left", "far_b.left") + F.least("far_a.right", "far_b.right") >= self.span)
+        pairs = cut_lineage(pairs.groupBy("a", "b").agg(F.max(known).alias("known")))
+        open_pairs = pairs.where(~F.col("known")).select("a", "b")
+        compared = (
+            open_pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
+            .join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
             .select("a", "b", "ta", "tb")
+            .mapInArrow(_compare_pairs(self.span), "a bigint, b bigint")
         )
-        #: Links between different texts: a < b, with the spans of each.
-        self.links = cut_lineage(both.mapInArrow(_verify, f"a bigint, b bigint, spans_a {_SPANS}, spans_b {_SPANS}"))
-        self.members = self.long.select("tid", "doc_id").distinct()
+        return pairs.where("known").select("a", "b").unionByName(compared)
 
     def document_pairs(self) -> DataFrame:
         """(doc_id_a < doc_id_b) of all documents that share a span, copies expanded."""
         m = self.members
         across = (
-            self.links.select("a", "b")
-            .join(m.select(F.col("tid").alias("a"), F.col("doc_id").alias("x")), "a")
-            .join(m.select(F.col("tid").alias("b"), F.col("doc_id").alias("y")), "b")
+            self.links.join(m.select(F.col("cid").alias("a"), F.col("doc_id").alias("x")), "a")
+            .join(m.select(F.col("cid").alias("b"), F.col("doc_id").alias("y")), "b")
             .select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
         )
-        copies = pairs_in_groups(m, "tid", "doc_id").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+        copies = pairs_in_groups(m, "cid", "doc_id").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
         return across.unionByName(copies).distinct()
 
     def portions(self) -> DataFrame:
-        """Per document: its length, its class, the characters it shares with others, and its number of links."""
-        spans = self.links.select(F.col("a").alias("tid"), F.col("spans_a").alias("spans")).unionByName(self.links.select(F.col("b").alias("tid"), F.col("spans_b").alias("spans")))
-        # Distinct spans first: boilerplate gives the same span for each of its links.
-        links = spans.groupBy("tid").agg(F.count("*").alias("links"))
-        each = spans.select("tid", F.explode("spans").alias("s")).select("tid", "s.*").groupBy("tid", "start").agg(F.max("stop").alias("stop"))
-        w = Window.partitionBy("tid").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-        reach = F.coalesce(F.max("stop").over(w), F.lit(0))
-        covered = each.select("tid", F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), reach)).alias("c")).groupBy("tid").agg(F.sum("c").alias("covered"))
-        classes = self.members.groupBy("tid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("class_id")).join(links, "tid", "left").join(covered, "tid", "left")
-        all_rows = self.rows.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), F.when(F.length("text") >= MIN_SPAN, F.xxhash64("text")).alias("tid")).distinct()
+        """Per document: its class, length, characters it shares with others, links and copies.
+
+        ``links`` counts, over the sets of texts that share a passage with the document's text, their other members: a
+        partner is counted once a set, so that no pairs have to be made.
+        """
+        windows = self.open.mapInArrow(_window_digests(self.span), "cid bigint, at int, d bigint, e bigint")
+        shared = cut_lineage(windows.groupBy("d", "e").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("d", "e"))
+        w = Window.partitionBy("cid").orderBy("at")
+        fresh = F.least(F.lit(self.span), F.coalesce(F.col("at") - F.lag("at").over(w), F.lit(self.span)))
+        covered = windows.join(small_side(shared), ["d", "e"], "left_semi").select("cid", fresh.alias("fresh")).groupBy("cid").agg(F.sum("fresh").alias("covered"))
+        sizes = self.classes.groupBy("class").agg((F.count("*") - 1).alias("others"))
+        links = self.classes.join(sizes, "class").groupBy("cid").agg(F.sum("others").alias("links"))
+        about = self.members.groupBy("cid").agg(F.count("*").alias("copies")).join(links, "cid", "left").join(covered, "cid", "left")
+        chars = self.rows.groupBy("doc_id").agg(F.min_by(F.coalesce(F.length("text"), F.lit(0)), F.coalesce(F.md5("text"), F.lit(""))).alias("chars"))
         whole = F.when(F.col("copies") > 1, F.col("chars").cast("bigint")).otherwise(F.coalesce("covered", F.lit(0)))
-        return all_rows.join(classes, "tid", "left").select(
-            "doc_id",
-            F.coalesce("class_id", "doc_id").alias("class_id"),
-            "chars",
-            F.coalesce(whole, F.lit(0)).cast("bigint").alias("shared_chars"),
-            F.coalesce("links", F.lit(0)).alias("links"),
-            F.coalesce("copies", F.lit(1)).alias("copies"),
+        return (
+            chars.join(self.members, "doc_id", "left")
+            .join(about, "cid", "left")
+            .select(
+                "doc_id",
+                F.coalesce("cid", "doc_id").alias("class_id"),
+                "chars",
+                F.coalesce(whole, F.lit(0)).cast("bigint").alias("shared_chars"),
+                F.when(F.col("covered") > 0, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).alias("links"),
+                F.coalesce("copies", F.lit(1)).alias("copies"),
+            )
         )

@@ -96,15 +96,58 @@ def test_shared_spans_against_brute_force(spark):
     assert part[110].class_id == 3 and part[110].copies == 3
 
 
-def test_long_texts_in_pieces(monkeypatch):
+def test_long_texts_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(shared_spans, "PIECE", 700)
     rng = random.Random(5)
     text = "".join(rng.choice("abcdefgh ") for _ in range(5000))
+    assert [len(c) for _, c in shared_spans.pieces("x" * 899, 200)] == [899] and [len(c) for _, c in shared_spans.pieces("x" * 900, 200)] == [899, 200]
+    docs = [(1, text)] + [(k, "y" * k + text[at : at + 200] + "x" * 50) for k, at in enumerate((0, 501, 690, 1399, 4800), 2)]
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text[2000:2300] + "x" * 50])], ["tid", "text"])
-    rows = [t for b in shared_spans._digest_rows([batch]) for t in zip(*(c.to_pylist() for c in b.columns))]
-    assert {d for t, d in rows if t == 1} & {d for t, d in rows if t == 2}
+    chunk = shared_spans._first_chunks(200)
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in docs]), pa.array([t for _, t in docs])], ["cid", "text"])
+    rows = [t for b in chunk([batch]) for t in zip(*(c.to_pylist() for c in b.columns))]
+    mine = {d for c, d in rows if c == 1}
+    for k, _ in docs[1:]:
+        assert mine & {d for c, d in rows if c == k}, k
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 10**6), st.integers(40, 400), st.sampled_from(["ab", "abcdefgh ", "aaaaaaab", "a"]))
+def test_every_common_span_holds_a_common_chunk(seed, span, alphabet):
+    rng = random.Random(seed)
+    text = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    common, found = text(span), []
+    for _ in range(2):
+        before = text(rng.randint(0, 300))
+        whole = before + common + text(rng.randint(0, 300))
+        for reach in {shared_spans.reach_of(span), min(shared_spans.FINE, shared_spans.reach_of(span))}:
+            h = shared_spans.Hashed(shared_spans._codes(whole))
+            a, b = h.chunks(reach, shared_spans.least_of(span, reach))
+            inside = (a >= len(before)) & (b <= len(before) + span)
+            found.append((reach, {whole[i:j] for i, j in zip(a[inside], b[inside])}))
+            assert len(before) in shared_spans.candidate_starts(len(whole), a, b, inside, span, reach)
+    for reach in {r for r, _ in found}:
+        x, y = (c for r, c in found if r == reach)
+        assert x & y
+
+
+@pytest.mark.parametrize("span", [60, 500])
+def test_other_lengths(spark, span):
+    docs = corpus()
+    s = shared_spans.SharedSpans(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), span=span)
+    assert {(r.doc_id_a, r.doc_id_b) for r in s.document_pairs().collect()} == brute(docs, span)
+    with pytest.raises(ValueError):
+        shared_spans.SharedSpans(s.rows, span=10)
+
+
+def test_boilerplate_makes_no_pairs_in_portions(spark):
+    """A passage in 20 000 texts: 2 * 10^8 pairs, but portions take a row a text."""
+    head = "".join(random.Random(1).choice("abcdefghij klm") for _ in range(260))
+    s = shared_spans.SharedSpans(spark.range(20_000).selectExpr("id doc_id", f"concat('{head}', sha2(cast(id as string), 256), '{head[:230]}', id) text"))
+    assert s.classes.groupBy("class").count().agg({"count": "max"}).first()[0] == 20_000
+    rows = s.portions().selectExpr("min(shared_chars) lo", "max(shared_chars) hi", "count(*) n", "min(links) links").first()
+    assert rows.n == 20_000 and rows.lo >= 490 and rows.hi < 560 and rows.links >= 19_999
 
 
 def test_empty_corpus(spark):
