@@ -1,15 +1,16 @@
 """Source files that do not parse.
 
-Method: each file is parsed by the grammar of its extension and, where that fails, by all other grammars in the order
-of a token-based language ranking.  A foreign success tells a wrong extension, universal failure a corrupted file
-(truncated, with merge conflict marks, or otherwise).
+Method: each file is parsed by every supported grammar, in the order of a token-based language ranking.  The grammar of
+its extension decides; where that one fails, a foreign success tells a wrong extension, and universal failure a corrupted
+file (truncated, with merge conflict marks, or otherwise).
 
 Defined cases
 -------------
 * Only rows of type File with one of the extensions of ``grammars.GRAMMARS`` are judged; others give no row.
 * A null content can't be judged and gives no row.  An empty text is a valid module, but no JSON value.
 * Repeated rows of an entity_id give one row.  Very long texts are parsed whole.  Empty tables give empty results.
-* Nesting beyond what the parser can follow counts as invalid.  Other columns aren't read.
+* Neither nesting nor the length of numbers makes a JavaScript, TypeScript or JSON text invalid; Python is what its own
+  parser accepts.  Other columns aren't read.
 """
 
 from __future__ import annotations

@@ -188,3 +188,53 @@ def test_assignment_against_enumeration():
 def test_documented_functions_of_a_table(spark):
     df = results(spark, [("a", "File", "a.py", PY), ("a", "File", "a.py", PY), ("b", "File", "b.py", None), ("c", "File", "c.js", "(")])
     assert doc_pairs.documented_functions(df).count() == 2
+
+
+def test_causes():
+    cause = lambda path, text: grammars.judge(path, text)[3]
+    for path, text in [("a.js", 'const a = "abc'), ("a.ts", "const a = `abc\nx"), ("a.js", "f(); /* cut"), ("a.py", "def f():\n    x = (1,\n"), ("a.py", "x = 1\ndef f():\n"), ("a.py", 'x = """abc\n'), ("a.json", '{"a": [1, 2'), ("a.json", '{"a": "b')]:
+        assert cause(path, text) == "truncated", text
+    for path, text in [("a.js", 'const a = "(abc";\nlet let = 3 3;\n'), ("a.py", 'x = "(abc"\ny = = 3\nz = 1\n'), ("a.json", '{"a" 1}')]:
+        assert cause(path, text) == "corrupt", text
+
+
+@pytest.mark.parametrize(
+    "path, text",
+    [
+        ("a.js", "x = " + "[" * 20_000 + "]" * 20_000),
+        ("a.js", "if (a) {}" + " else if (a) {}" * 5_000),
+        ("a.ts", "x = " + "a ? b : " * 5_000 + "c"),
+        ("a.jsx", "x = " + "<a>" * 3_000 + "</a>" * 3_000),
+        ("a.ts", "type A = " + "Array<" * 3_000 + "b" + ">" * 3_000),
+        ("a.json", "[" * 20_000 + "]" * 20_000),
+        ("a.json", '{"a":' * 20_000 + "1" + "}" * 20_000),
+        ("a.json", "1" * 5_000),
+        ("a.py", "x = " + "1" * 5_000),
+        ("a.js", "x = " + "1" * 5_000),
+    ],
+)
+def test_no_bound_of_depth_or_digits(path, text):
+    assert grammars.judge(path, text)[1]
+    assert not grammars.judge(path, text + " 1 2")[1]
+
+
+def test_json_scan_against_the_library():
+    import json
+    import random
+
+    rng, parts = random.Random(3), ["{", "}", "[", "]", ",", ":", '"a"', "1", "-0.5e3", "null", " ", '"', "01", "tru", "\n", '"\\u12"']
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+        try:
+            json.loads(text)
+            good = True
+        except ValueError:
+            good = False
+        assert grammars.read_json(text)[0] == good, text
+
+
+def test_every_grammar_is_tried():
+    assert {g for g, (ok, _) in grammars.accepted("x = 1").items() if ok} == {"python", "javascript", "jsx", "typescript", "tsx"}
+    assert {g for g, (ok, _) in grammars.accepted("a = <b>c</b>;").items() if ok} == {"jsx", "tsx"}
+    for text in ("let x: number = 1", "f(a, b)", "{}", "[1]", "def f(): pass", "class A { b() {} }"):
+        assert {g: grammars.accepts(g, text) for g in grammars.GRAMMARS.values()} == {g: ok for g, (ok, _) in grammars.accepted(text).items()}
