@@ -83,62 +83,98 @@ def _sliding(x: np.ndarray, width: int, join) -> np.ndarray:
     return x
 
 
-class Hashed:
-    """Prefix sums of a stretch of code points, from which the digest of any part is read."""
+def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, at least n + 1 of each."""
+    known = _POWERS.get(which)
+    if known is None or len(known[0]) <= n:
+        size = max(n + 1, 2 * PIECE)
+        up, down = np.full(size, _BASES[which], np.uint64), np.full(size, pow(_BASES[which], -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        known = _POWERS[which] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    return known
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self._sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+class Stretch:
+    """Pieces of texts laid end to end, with gaps between; every position below is one of the whole stretch.
+
+    owner[i], offset[i]: of piece i its text and its place in that; first[i], last[i]: where it begins and ends here.
+    """
+
+    def __init__(self, parts: list[tuple[int, int, np.ndarray]], gap: int):
+        self.owner = np.array([o for o, _, _ in parts], np.int64)
+        self.offset = np.array([o for _, o, _ in parts], np.int64)
+        sizes = np.array([len(c) for _, _, c in parts], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(sizes + gap)])[:-1].astype(np.int64)
+        self.last = self.first + sizes
+        blank = np.zeros(gap, np.uint32)
+        self.codes = np.concatenate([x for _, _, c in parts for x in (c, blank)]) if parts else np.zeros(0, np.uint32)
+        self._words: dict[int, np.ndarray] = {}
+        self._sums: dict[int, np.ndarray] = {}
+
+    def words(self, which: int) -> np.ndarray:
+        if which not in self._words:
+            self._words[which] = _words(self.codes, which)
+        return self._words[which]
+
+    def piece(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, at, "right") - 1
 
     def digest(self, start: np.ndarray, stop: np.ndarray, which: int = 0) -> np.ndarray:
+        """Digests of parts, from prefix sums."""
+        up, down = _powers(len(self.codes), which)
         if which not in self._sums:
-            n, base = len(self.codes), _BASES[which]
-            up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
-            up[0] = down[0] = 1
-            up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_words(self.codes, which) * up[:-1], out=sums[1:], dtype=np.uint64)
-            self._sums[which] = sums, down
-        sums, down = self._sums[which]
+            sums = np.zeros(len(self.codes) + 1, np.uint64)
+            np.cumsum(self.words(which) * up[: len(self.codes)], out=sums[1:], dtype=np.uint64)
+            self._sums[which] = sums
+        sums = self._sums[which]
         x = (sums[stop] - sums[start]) * down[start]
         return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
     def cuts(self, reach: int) -> np.ndarray:
         """The cut points, ascending."""
-        n = len(self.codes)
-        if n < GEAR:
+        n = len(self.codes) - GEAR + 1
+        if n <= 0:
             return np.zeros(0, np.int64)
-        table = _words(self.codes)
-        gear = np.zeros(n - GEAR + 1, np.uint64)
+        table = self.words(0)
+        gear = np.zeros(n, np.uint64)
         for i in range(GEAR):
-            gear = (gear << np.uint64(1)) + table[i : n - GEAR + 1 + i]
+            gear = (gear << np.uint64(1)) + table[i : n + i]
         gear ^= gear >> np.uint64(29)
+        inside = np.zeros(n + 1, np.int8)
+        inside[self.first[self.first < n]] += 1
+        ends = np.minimum(np.maximum(self.last - GEAR + 1, self.first), n)
+        np.subtract.at(inside, ends, 1)
+        outside = np.cumsum(inside[:-1]) <= 0
+        gear[outside] = _MAX
         edge = np.full(reach - 1, _MAX)
-        low = _sliding(np.concatenate([edge, gear, edge]), reach, np.minimum)  # of each window that meets the text
+        low = _sliding(np.concatenate([edge, gear, edge]), reach, np.minimum)  # of each window that meets the stretch
         most = _sliding(low, reach, np.maximum)
-        return np.flatnonzero(most == gear)
+        return np.flatnonzero((most == gear) & ~outside)
 
     def chunks(self, reach: int, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Start and stop of each chunk."""
         cuts = self.cuts(reach)
         at = np.searchsorted(cuts, cuts + least)
         keep = at < len(cuts)
-        return cuts[keep], cuts[at[keep]]
-
-
-def candidate_starts(n: int, start: np.ndarray, stop: np.ndarray, shared: np.ndarray, span: int, reach: int) -> np.ndarray:
-    """Starts of the windows of ``span`` characters all of whose decided chunks are shared."""
-    count = n - span + 1
-    if count <= 0 or not shared.any():
-        return np.zeros(0, np.int64)
-    bad = ~shared
-    first = np.clip(stop[bad] - span + GEAR + reach - 1, 0, count)
-    last = np.clip(start[bad] - reach + 2, 0, count)  # exclusive
-    there = first < last
-    steps = np.zeros(count + 1, np.int32)
-    np.add.at(steps, first[there], 1)
-    np.add.at(steps, last[there], -1)
-    return np.flatnonzero(np.cumsum(steps[:-1]) == 0)
+        start, stop = cuts[keep], cuts[at[keep]]
+        same = self.piece(start) == self.piece(stop)
+        return start[same], stop[same]
+
+    def candidates(self, start: np.ndarray, stop: np.ndarray, shared: np.ndarray, span: int, reach: int) -> np.ndarray:
+        """Starts of the windows of ``span`` characters all of whose decided chunks are shared."""
+        bad = ~shared
+        piece = self.piece(start[bad])
+        first = np.maximum(stop[bad] - span + GEAR + reach - 1, self.first[piece])
+        last = np.minimum(start[bad] - reach + 2, self.last[piece] - span + 1)  # exclusive
+        there = first < last
+        n = len(self.codes) + 1
+        steps = np.bincount(first[there], minlength=n) - np.bincount(last[there], minlength=n)
+        wide = self.last - self.first >= span
+        steps -= np.bincount(self.first[wide], minlength=n) - np.bincount(self.last[wide] - span + 1, minlength=n)
+        return np.flatnonzero(np.cumsum(steps) == -1)
 
 
 def pieces(text: str, span: int):
@@ -148,8 +184,18 @@ def pieces(text: str, span: int):
         yield at, codes[at : at + PIECE + span - 1]
 
 
-def _flat(parts: list[np.ndarray], kind) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
+def stretches(cids: list[int], texts, span: int):
+    """Stretches of about ``PIECE`` characters of a batch of texts."""
+    parts, size = [], 0
+    for cid, text in zip(cids, texts):
+        for at, codes in pieces(text.as_py(), span):
+            parts.append((cid, at, codes))
+            size += len(codes)
+            if size >= PIECE:
+                yield Stretch(parts, span)
+                parts, size = [], 0
+    if parts:
+        yield Stretch(parts, span)
 
 
 def _first_chunks(span: int):
@@ -158,60 +204,46 @@ def _first_chunks(span: int):
 
     def run(batches):
         for batch in batches:
-            owners, digests = [], []
-            for cid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                mine = []
-                for _, codes in pieces(text.as_py(), span):
-                    h = Hashed(codes)
-                    mine.append(h.digest(*h.chunks(reach, least)))
-                found = np.unique(_flat(mine, np.uint64))
-                digests.append(found)
-                owners.append(np.full(len(found), cid, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(_flat(owners, np.int64)), pa.array(_flat(digests, np.uint64).view(np.int64))], ["cid", "digest"])
+            for s in stretches(batch.column(0).to_pylist(), batch.column(1), span):
+                a, b = s.chunks(reach, least)
+                cid, digest = s.owner[s.piece(a)], s.digest(a, b).view(np.int64)
+                order = np.lexsort((digest, cid))
+                cid, digest = cid[order], digest[order]
+                new = np.ones(len(cid), bool)
+                new[1:] = (cid[1:] != cid[:-1]) | (digest[1:] != digest[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(cid[new]), pa.array(digest[new])], ["cid", "digest"])
 
     return run
 
 
-def _places(text: str, known: np.ndarray, span: int):
-    """(offset, hashed piece, candidate starts) of the pieces of a text, given its shared digests."""
+def _places(batch, span: int):
+    """Stretches of a batch of (cid, text, shared digests), and their candidate starts."""
     reach = reach_of(span)
     least = least_of(span, reach)
-    for at, codes in pieces(text, span):
-        h = Hashed(codes)
-        a, b = h.chunks(reach, least)
-        yield at, h, candidate_starts(len(codes), a, b, np.isin(h.digest(a, b), known), span, reach)
-
-
-def _known(column) -> list[np.ndarray]:
-    return [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in column]
+    # A digest that is shared at all is in the list of every text that has it: the lists of a batch can be one.
+    known = np.unique(batch.column(2).flatten().to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0, np.int64)
+    for s in stretches(batch.column(0).to_pylist(), batch.column(1), span):
+        a, b = s.chunks(reach, least)
+        yield s, s.candidates(a, b, np.isin(s.digest(a, b).view(np.int64), known), span, reach)
 
 
 def _fine_chunks(span: int):
-    """(cid, digest, at, size) of the fine chunks in candidate places, each digest once a text."""
+    """(cid, digest, at, size) of the fine chunks in candidate places."""
     least = least_of(span, FINE)
 
     def run(batches):
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for cid, text, known in zip(batch.column(0).to_pylist(), batch.column(1), _known(batch.column(2))):
-                mine: list[list[np.ndarray]] = [[], [], []]
-                for at, h, starts in _places(text.as_py(), known, span):
-                    if not len(starts):
-                        continue
-                    a, b = h.chunks(FINE, least)
-                    # Chunks within a candidate window: the last candidate start at or before a reaches b.
-                    before = np.searchsorted(starts, a, "right") - 1
-                    inside = (before >= 0) & (b <= starts[before] + span)
-                    after = np.searchsorted(starts, b - span)
-                    inside |= (after < len(starts)) & (starts[np.minimum(after, len(starts) - 1)] <= a)
-                    a, b = a[inside], b[inside]
-                    for column, x in zip(mine, (h.digest(a, b), a + at, b - a)):
-                        column.append(x)
-                digest, first = np.unique(_flat(mine[0], np.uint64), return_index=True)
-                for column, x in zip(out, (np.full(len(digest), cid, np.int64), digest.view(np.int64), _flat(mine[1], np.int64)[first], _flat(mine[2], np.int64)[first])):
-                    column.append(x)
-            arrays = [pa.array(_flat(x, np.int64), t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["cid", "digest", "at", "size"])
+            for s, starts in _places(batch, span):
+                if not len(starts):
+                    continue
+                a, b = s.chunks(FINE, least)
+                # Chunks within a candidate window: the last candidate start at or before a reaches b.
+                before = np.searchsorted(starts, a, "right") - 1
+                inside = (before >= 0) & (b <= starts[before] + span)
+                a, b = a[inside], b[inside]
+                piece = s.piece(a)
+                at = a - s.first[piece] + s.offset[piece]
+                yield pa.RecordBatch.from_arrays([pa.array(s.owner[piece]), pa.array(s.digest(a, b).view(np.int64)), pa.array(at.astype(np.int32)), pa.array((b - a).astype(np.int32))], ["cid", "digest", "at", "size"])
 
     return run
 
@@ -221,11 +253,12 @@ def _window_digests(span: int):
 
     def run(batches):
         for batch in batches:
-            for cid, text, known in zip(batch.column(0).to_pylist(), batch.column(1), _known(batch.column(2))):
-                for at, h, starts in _places(text.as_py(), known, span):
-                    if len(starts):
-                        d, e = (h.digest(starts, starts + span, which) for which in (0, 1))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), cid, np.int64)), pa.array((starts + at).astype(np.int32)), pa.array(d.view(np.int64)), pa.array(e.view(np.int64))], ["cid", "at", "d", "e"])
+            for s, starts in _places(batch, span):
+                if len(starts):
+                    piece = s.piece(starts)
+                    at = starts - s.first[piece] + s.offset[piece]
+                    d, e = (s.digest(starts, starts + span, which) for which in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(s.owner[piece]), pa.array(at.astype(np.int32)), pa.array(d.view(np.int64)), pa.array(e.view(np.int64))], ["cid", "at", "d", "e"])
 
     return run
 
@@ -234,7 +267,7 @@ def share_span(a: str, b: str, span: int = MIN_SPAN) -> bool:
     """Whether two texts have a common span: digests of all windows, then the characters themselves."""
     if len(a) < span or len(b) < span:
         return False
-    ha, hb = Hashed(_codes(a)), Hashed(_codes(b))
+    ha, hb = Stretch([(0, 0, _codes(a))], 0), Stretch([(0, 0, _codes(b))], 0)
     sa, sb = np.arange(len(a) - span + 1), np.arange(len(b) - span + 1)
     da, db = ha.digest(sa, sa + span), hb.digest(sb, sb + span)
     return any(a[i : i + span] in b for i in np.flatnonzero(np.isin(da, db)).tolist())
@@ -283,18 +316,17 @@ class SharedSpans:
         self.rows = spread(documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
         long = self.rows.where(F.length("text") >= span).withColumn("hash", F.unhex(F.md5("text")))
         # A text class is named by its least doc_id; only narrow rows are shuffled to find it.
-        each = long.groupBy("doc_id").agg(F.min("hash").alias("hash"))
+        named = cut_lineage(long.select("doc_id", "hash"))
+        each = named.groupBy("doc_id").agg(F.min("hash").alias("hash"))
         first = each.groupBy("hash").agg(F.min("doc_id").alias("cid"))
-        self.members = cut_lineage(each.join(first, "hash").select("doc_id", "cid"))
-        named = long.select("doc_id", "hash").distinct()
-        kept = each.join(first, "hash").where("doc_id = cid").select("doc_id", "hash")
-        surplus = cut_lineage(named.join(kept, ["doc_id", "hash"], "left_anti"))
+        self.members = cut_lineage(each.join(first, "hash"))
+        surplus = named.join(self.members.where("doc_id = cid").select("doc_id", "hash"), ["doc_id", "hash"], "left_anti").distinct()
         #: One row a class (repeated rows of it aside): cid, text.
-        self.texts = long.join(small_side(surplus), ["doc_id", "hash"], "left_anti").select(F.col("doc_id").alias("cid"), "text")
+        self.texts = long.join(small_side(cut_lineage(surplus)), ["doc_id", "hash"], "left_anti").select(F.col("doc_id").alias("cid"), "text")
         chunks = self.texts.mapInArrow(_first_chunks(span), "cid bigint, digest bigint")
         # Partial sums before the shuffle: a hot chunk is one row a task.
         shared = cut_lineage(chunks.groupBy("digest").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("digest"))
-        hits = cut_lineage(chunks.join(small_side(shared), "digest").distinct().groupBy("cid").agg(F.collect_list("digest").alias("digests")))
+        hits = cut_lineage(chunks.join(small_side(shared), "digest").groupBy("cid").agg(F.collect_set("digest").alias("digests")))
         #: Texts with shared chunks, and their shared digests.
         self.open = self.texts.join(small_bytes(hits, F.size("digests") * 8 + 32), "cid").select("cid", "text", "digests")
 
@@ -336,7 +368,7 @@ class SharedSpans:
 
     def document_pairs(self) -> DataFrame:
         """(doc_id_a < doc_id_b) of all documents that share a span, copies expanded."""
-        m = self.members
+        m = self.members.select("doc_id", "cid")
         across = (
             self.links.join(m.select(F.col("cid").alias("a"), F.col("doc_id").alias("x")), "a")
             .join(m.select(F.col("cid").alias("b"), F.col("doc_id").alias("y")), "b")
@@ -362,7 +394,7 @@ class SharedSpans:
         chars = self.rows.groupBy("doc_id").agg(F.min_by(F.coalesce(F.length("text"), F.lit(0)), F.coalesce(F.md5("text"), F.lit(""))).alias("chars"))
         whole = F.when(F.col("copies") > 1, F.col("chars").cast("bigint")).otherwise(F.coalesce("covered", F.lit(0)))
         return (
-            chars.join(self.members, "doc_id", "left")
+            chars.join(self.members.select("doc_id", "cid"), "doc_id", "left")
             .join(about, "cid", "left")
             .select(
                 "doc_id",

@@ -122,11 +122,13 @@ def test_every_common_span_holds_a_common_chunk(seed, span, alphabet):
         before = text(rng.randint(0, 300))
         whole = before + common + text(rng.randint(0, 300))
         for reach in {shared_spans.reach_of(span), min(shared_spans.FINE, shared_spans.reach_of(span))}:
-            h = shared_spans.Hashed(shared_spans._codes(whole))
+            h = shared_spans.Stretch([(1, 0, shared_spans._codes("abc" * 90)), (2, 0, shared_spans._codes(whole)), (3, 0, shared_spans._codes(common))], span)
             a, b = h.chunks(reach, shared_spans.least_of(span, reach))
+            at = 270 + span
+            a, b = a - at, b - at
             inside = (a >= len(before)) & (b <= len(before) + span)
             found.append((reach, {whole[i:j] for i, j in zip(a[inside], b[inside])}))
-            assert len(before) in shared_spans.candidate_starts(len(whole), a, b, inside, span, reach)
+            assert at + len(before) in h.candidates(a + at, b + at, inside, span, reach)
     for reach in {r for r, _ in found}:
         x, y = (c for r, c in found if r == reach)
         assert x & y
