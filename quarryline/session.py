@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,16 +29,24 @@ def local_session(cpus: int = 8, name: str = "quarryline") -> SparkSession:
     return ship_package(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only for a local master without it, as in tests."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named:
+        return named
+    if getattr(context, "_quarryline_folder", None) is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context._quarryline_folder = tempfile.mkdtemp(prefix="quarryline-")
+    return context._quarryline_folder
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary one is set only where the
-    session names none, as in tests.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarryline-"))
-    return df.checkpoint(eager=True)
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to a table in the shared folder and read from there: it survives lost executors and isn't computed again."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/quarryline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
