@@ -2,10 +2,17 @@
 
 Method: soft-membership mixing.  A classifier fitted on a bounded table of labelled documents gives each document a
 posterior over the sources; the written label, normalised, is evidence with a known error rate.  Nonnegative document
-rates are then fitted by projected gradient least squares, so that the expected tokens of each source meet the targets:
-each step sums rates x tokens x posteriors over all documents (partial sums in each task, one row to the driver) and
-moves every rate along its document's memberships, cut at 0 and at the repeats its source allows.  Rates become whole
-repeats by carrying the remainder from document to document.
+rates r are then fitted by distributed projected-gradient least squares, so that the expected tokens of each source meet
+the targets: with t the tokens and p the posterior of a document, the error is e = sum(r t p) - goal, and its gradient in
+the metric that weighs documents by their tokens is p . e; it is taken after scaling by the inverse of M = sum(t p p'),
+for which 1 is the greatest safe step.  Each step sums r t p over all documents (partial sums in each task, k rows to the
+driver) and moves every rate by -p . inv(M) e, cut at 0 and at the repeats its source allows.  ``converged``, ``steps``
+and ``error`` tell how the fit ended.
+
+Rates become whole repeats by systematic rounding: the documents of a source stand in one order (classes of length, then
+a hash of the key), the fractions are summed along it as whole numbers, and a document gets one more repeat where the sum
+passes a whole.  The order doesn't depend on partitions, and neither does the mixture.  Sums go from cells of bounded
+size to their prefix sums, so that no source is walked through by one task.
 
 The size of the mixture is ``ROOM`` of the largest at which no source has to be repeated more than its ``max_repeats``; targets of
 sources without a document can't be met, and the others keep their proportions.
@@ -25,21 +32,26 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.tokenizer import encoder, vocabulary
 from quarryline.session import cut_lineage, spread
 
-#: Labelled documents the classifier is fitted on, at most: those with the least hash of their key.
+#: Labelled documents the classifier is fitted on: about as many of each source, those with the least hash of their key,
+#: so that rare sources are in it.  The corpus's own label counts correct for the even sampling.
 LABELLED_ROWS = 20_000
 #: Share of written labels that are taken to be wrong.
 LABEL_ERROR = 0.03
 #: Steps of the projected gradient, at most, and the relative error at which they end.
-STEPS, TOLERANCE = 15, 1e-3
+STEPS, TOLERANCE = 30, 1e-3
 #: Share of the largest possible size that is aimed at, so that rates have room below their bounds.
 ROOM = 0.97
 FIRST_BUCKETS = 32
+#: Documents of a cell of the rounding, on average at most.
+CELL_ROWS = 50_000
+#: Whole numbers that stand for 1 in the rounding.
+ONE = 1 << 20
 
 _MARKS = [
     re.compile(p, re.M)
@@ -85,9 +97,9 @@ def fit_classifier(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 400,
     return w
 
 
-def posteriors(w: np.ndarray, prior: np.ndarray, x: np.ndarray, label: np.ndarray, error: float = LABEL_ERROR) -> np.ndarray:
-    """Rows of membership: classifier times the evidence of the label (-1: none)."""
-    s = x @ w
+def posteriors(w: np.ndarray, prior: np.ndarray, x: np.ndarray, label: np.ndarray, error: float = LABEL_ERROR, shift: np.ndarray | float = 0.0) -> np.ndarray:
+    """Rows of membership: classifier times the evidence of the label (-1: none); ``shift``: the corpus's log prior over the sample's."""
+    s = x @ w + shift
     s -= s.max(1, keepdims=True)
     p = np.exp(s) * (prior > 0)
     p /= np.maximum(p.sum(1, keepdims=True), 1e-300)
@@ -108,106 +120,104 @@ class Mixture:
         goal = sorted((r.s, float(r.t or 0.0), int(r.m if r.m is not None else 1)) for r in targets.select(normal_label(F.col("source")).alias("s"), F.col("target_share").alias("t"), F.col("max_repeats").alias("m")).where("s is not null").collect())
         self.names = names = [s for s, _, _ in goal]
         share, most = np.array([t for _, t, _ in goal]), np.array([m for _, _, m in goal], float)
+        self.targets = [(s, float(a), int(m)) for s, a, m in goal]
+        self.spark = documents.sparkSession
+        k = len(names)
         number = F.create_map(*[F.lit(v) for i, s in enumerate(names or [""]) for v in (s, i if names else -1)])
         rows = documents.select(F.col(key).alias("doc_id"), F.coalesce(number[normal_label(F.col(source))], F.lit(-1)).alias("label"), F.col(text).alias("text"))
         kind = dict(rows.dtypes)["doc_id"]
+        self.schema = f"doc_id {kind}, source string, n_tokens bigint, rate double, repeats int"
+        counts = np.zeros(k)
+        if k:
+            for r in rows.where("label >= 0 and length(text) > 0").groupBy("label").count().collect():
+                counts[r.label] = r["count"]
 
-        def measure(batches):
+        def featured(batches):
             e = encoder(path)
             for b in batches:
-                counts, feats = [], []
-                for t in b.column(2):
-                    t = t.as_py() or ""
-                    ids = e.encode(t)
-                    counts.append(len(ids))
-                    feats.append(features(t, ids))
-                flat = pa.array(np.concatenate(feats) if feats else np.zeros(0, np.float32), pa.float32())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(feats) + 1, dtype=np.int32) * N_FEATURES), flat)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), lists], ["doc_id", "label", "n_tokens", "x"])
-
-        measured = cut_lineage(spread(rows).mapInArrow(measure, f"doc_id {kind}, label int, n_tokens bigint, x array<float>"))
-        sample = measured.where("label >= 0 and n_tokens > 0").select("label", "x").orderBy(F.xxhash64("doc_id")).limit(LABELLED_ROWS).toPandas()
-        y = sample["label"].to_numpy()
-        if len(y):
-            xs = np.stack(sample["x"].to_list()).astype(np.float64)
-            w = fit_classifier(xs, y, len(names))
-            prior = np.bincount(y, minlength=len(names)) / len(y)
-        else:
-            w, prior = np.zeros((N_FEATURES, len(names))), np.zeros(len(names))
+                x = [features(t, e.encode(t)).tobytes() for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], ["label", "x"])
+
+        w, shift = np.zeros((N_FEATURES, max(1, k))), np.zeros(max(1, k))
+        if counts.any():
+            quota = LABELLED_ROWS / max(1, int((counts > 0).sum()))
+            part = F.create_map(*[F.lit(v) for i in range(k) for v in (i, float(quota / max(counts[i], 1.0)))])
+            chance = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)) < part[F.col("label")]
+            sample = spread(rows.where("label >= 0 and length(text) > 0").where(chance).select("label", "text")).mapInArrow(featured, "label int, x binary").limit(2 * LABELLED_ROWS).toPandas()
+            y = sample["label"].to_numpy()
+            if len(y):
+                w = fit_classifier(np.stack([np.frombuffer(v, np.float32) for v in sample["x"]]).astype(np.float64), y, k)
+                seen = np.bincount(y, minlength=k)
+                shift = np.where(seen > 0, np.log(np.maximum(counts, 1e-9)) - np.log(np.maximum(seen, 1)), 0.0)
         self.weights = w
+        there = counts > 0
 
         def member(batches):
+            e = encoder(path)
             for b in batches:
-                x = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES).astype(np.float64)
-                p = posteriors(w, prior, x, b.column(1).to_numpy()).astype(np.float32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(names)), pa.array(p.reshape(-1), pa.float32()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), lists], ["doc_id", "n_tokens", "p"])
-
-        members = cut_lineage(measured.where("n_tokens > 0").mapInArrow(member, f"doc_id {kind}, n_tokens bigint, p array<float>").dropDuplicates(["doc_id"])) if names else None
-        self._fit(members, share, most, kind, documents.sparkSession)
-
-    def _fit(self, members, share, most, kind, spark):
+                sizes, feats = [], []
+                for t in b.column(2).to_pylist():
+                    ids = e.encode(t or "")
+                    sizes.append(len(ids))
+                    feats.append(features(t or "", ids))
+                x = np.stack(feats).astype(np.float64) if feats else np.zeros((0, N_FEATURES))
+                p = posteriors(w, there, x, b.column(1).to_numpy(), shift=shift).astype(np.float32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * k), pa.array(p.reshape(-1), pa.float32()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), lists], ["doc_id", "n_tokens", "p"])
+
+        members = cut_lineage(spread(rows).mapInArrow(member, f"doc_id {kind}, n_tokens bigint, p array<float>").where("n_tokens > 0").dropDuplicates(["doc_id"])) if k else None
+        self._fit(members, share, most)
+
+    def _fit(self, members, share, most):
         names, k = self.names, len(self.names)
-        schema = f"doc_id {kind}, source string, n_tokens bigint, rate double, repeats int"
 
-        def totals(history: np.ndarray, start: np.ndarray) -> np.ndarray:
-            """Expected tokens of each source under the rates after the steps of ``history``."""
+        def sums(width: int, of) -> np.ndarray:
+            """``of(tokens, memberships)``, ``width`` numbers, summed over all documents."""
 
             def run(batches):
-                out = np.zeros(2 * k)
+                out = np.zeros(width)
                 for b in batches:
                     t = b.column(1).to_numpy().astype(float)
-                    p = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, k).astype(float)
-                    out[:k] += (t * rates(p, history, start, most)) @ p
-                    out[k:] += t @ p
-                yield pa.RecordBatch.from_arrays([pa.array(range(2 * k)), pa.array(out)], ["i", "v"])
-
-            rows = members.mapInArrow(run, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-            out = np.zeros(2 * k)
-            for r in rows:
+                    out += of(t, b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, k).astype(float))
+                yield pa.RecordBatch.from_arrays([pa.array(range(width)), pa.array(out)], ["i", "v"])
+
+            out = np.zeros(width)
+            for r in members.mapInArrow(run, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
                 out[r.i] = r.v
             return out
 
-        history = np.zeros((0, k))
-        start = np.zeros(k)
-        mass = totals(history, start)[k:] if k and members is not None else np.zeros(k)
-        self.mass = mass
+        first = sums(k + k * k, lambda t, p: np.concatenate([t @ p, ((t[:, None] * p).T @ p).reshape(-1)])) if k else np.zeros(0)
+        self.mass = mass = first[:k]
+        metric = first[k:].reshape(k, k)
         there = (mass >= 1) & (share > 0)
+        history, start = np.zeros((0, k)), np.zeros(k)
+        self.size, self.goal, self.error = 0.0, np.zeros(k), 0.0
         if there.any():
             part = np.where(there, share, 0) / share[there].sum()
-            size = float((most[there] * mass[there] / part[there]).min()) * ROOM
-            goal = part * size
+            self.size = size = float((most[there] * mass[there] / part[there]).min()) * ROOM
+            self.goal = goal = part * size
             start = np.where(there, np.minimum(goal / np.maximum(mass, 1e-9), most), 0.0)
-            for _ in range(STEPS):
-                got = totals(history, start)[:k]
-                error = got - goal
-                if np.abs(error).max() <= TOLERANCE * size:
+            inverse = np.linalg.pinv(metric, rcond=1e-9, hermitian=True)
+            while True:
+                error = sums(k, lambda t, p: (t * rates(p, history, start, most)) @ p) - goal
+                self.error = float(np.abs(error).max() / size)
+                if self.error <= TOLERANCE or len(history) == STEPS:
                     break
-                history = np.vstack([history, np.where(there, error / np.maximum(mass, 1e-9), 0.0)])
-            self.size, self.goal = size, goal
-        else:
-            self.size, self.goal = 0.0, np.zeros(k)
-        self.steps = len(history)
-
-        def choose(batches):
-            left = np.zeros(k)
+                history = np.vstack([history, inverse @ error])
+        self.steps, self.converged = len(history), self.error <= TOLERANCE
+        if not there.any():
+            self.documents = self.spark.createDataFrame([], self.schema)
+            return
+
+        def rate(batches):
             for b in batches:
-                t = b.column(1).to_numpy()
                 p = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, k).astype(float)
                 r, s = rates(p, history, start, most), p.argmax(1)
-                n = np.floor(r).astype(int)
-                part = (r - n) * t
-                # The remainder of a source's tokens goes on to its next document, so that it never adds up.
-                for i in range(len(t)):
-                    left[s[i]] += part[i]
-                    if left[s[i]] >= t[i] / 2 and n[i] + 1 <= most[s[i]] and part[i] > 0:
-                        n[i] += 1
-                        left[s[i]] -= t[i]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[x] for x in s], pa.string()), b.column(1), pa.array(r), pa.array(n, pa.int32())], ["doc_id", "source", "n_tokens", "rate", "repeats"])
-
-        self.documents = members.mapInArrow(choose, schema) if there.any() else spark.createDataFrame([], schema)
-        self.targets = [(s, float(a), int(m)) for s, a, m in zip(names, share, most)]
-        self.spark = spark
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.int32()), b.column(1), pa.array(r)], ["doc_id", "s", "n_tokens", "rate"])
+
+        kind = self.schema.split(",")[0]
+        rated = members.mapInArrow(rate, f"{kind}, s int, n_tokens bigint, rate double")
+        self.documents = whole_repeats(rated, most).select("doc_id", F.element_at(F.array(*map(F.lit, names)), F.col("s") + 1).alias("source"), "n_tokens", "rate", "repeats")
 
     def mixture(self) -> DataFrame:
         """The documents of the mixture and how often each is taken."""
@@ -230,9 +240,27 @@ class Mixture:
             "max_repeats",
             *(F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "tokens", "mixed_tokens", "most_repeats")),
             F.coalesce(F.round(F.col("mixed_tokens") / F.col("all"), 6), F.lit(0.0)).alias("reached_share"),
+            F.lit(bool(self.converged)).alias("converged"),
         )
 
 
+def whole_repeats(rated: DataFrame, most: np.ndarray) -> DataFrame:
+    """``rated`` (doc_id, s, n_tokens, rate) with whole ``repeats``, by systematic rounding along one order of each source."""
+    hashed = rated.withColumn("_f", F.floor(F.col("rate") * ONE + 0.5).cast("bigint")).withColumn("_h", F.xxhash64("doc_id")).withColumn("_class", F.floor(8 * F.log2("n_tokens")).cast("int"))
+    cells = max(1, math.ceil(rated.count() / CELL_ROWS))
+    placed = hashed.withColumn("_cell", F.pmod("_h", F.lit(cells)))
+    cell = ["s", "_class", "_cell"]
+    sums = placed.groupBy(*cell).agg(F.sum(F.col("_f") % ONE).alias("_sum"))
+    before = Window.partitionBy("s").orderBy("_class", "_cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*cell, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    along = Window.partitionBy(*cell).orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = F.col("_before") + F.sum(F.col("_f") % ONE).over(along) + ONE // 2
+    extra = F.floor(after / ONE) - F.floor((after - F.col("_f") % ONE) / ONE)
+    top = F.element_at(F.array(*[F.lit(int(m)) for m in most]), F.col("s") + 1)
+    joined = placed.join(offsets, cell)
+    return joined.withColumn("repeats", F.least(F.floor(F.col("_f") / ONE) + extra, top).cast("int")).drop("_f", "_h", "_class", "_cell", "_before")
+
+
 def rates(p: np.ndarray, history: np.ndarray, start: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Rates of documents with memberships ``p``: the start, moved by each step and cut to what is allowed."""
     top = most[p.argmax(1)]

@@ -287,7 +287,7 @@ def agreement(a: str, i: int, b: str, j: int, size: int, span: int) -> tuple[int
 
 
 def _compare_with_first(span: int):
-    """Rows of (class, cid, at, size, text, first text, first at): how far each member agrees with the representative."""
+    """Rows of (class, cid, at, size, surroundings, those of the representative, place in them): how far each member agrees with the representative."""
 
     def run(batches):
         for batch in batches:
@@ -341,16 +341,15 @@ class SharedSpans:
     @cached_property
     def links(self) -> DataFrame:
         """(a < b) of text classes with a common span."""
-        first = self.classes.groupBy("class").agg(F.min(F.struct("cid", "at")).alias("f")).select("class", F.col("f.cid").alias("first"), F.col("f.at").alias("first_at"))
-        rows = self.classes.join(first, "class")
-        wanted = cut_lineage(rows.select("cid").distinct())
-        texts = cut_lineage(self.texts.join(small_side(wanted), "cid", "left_semi").groupBy("cid").agg(F.first("text").alias("text")))
-        both = (
-            rows.where("cid <> first")
-            .join(texts, "cid")
-            .join(texts.select(F.col("cid").alias("first"), F.col("text").alias("first_text")), "first")
-            .select("class", "cid", "at", "size", "text", "first_text", "first_at")
-        )
+        first = self.classes.groupBy("class").agg(F.min("cid").alias("first"))
+        # Of each member the surroundings of the chunk, cut out before anything is shuffled.
+        start = F.greatest(F.lit(0), F.col("at") - self.span)
+        near = F.substring("text", start + 1, F.col("at") - start + F.col("size") + self.span)
+        around = self.texts.join(small_side(self.classes), "cid").select("class", "cid", (F.col("at") - start).alias("at"), "size", near.alias("near"))
+        around = cut_lineage(around.dropDuplicates(["class", "cid"]).join(first, "class"))
+        heads = around.where("cid = first").select("class", F.col("near").alias("first_near"), F.col("at").alias("first_at"))
+        rows = around.select("class", "cid", "size", "first")
+        both = around.where("cid <> first").join(heads, "class").select("class", "cid", "at", "size", "near", "first_near", "first_at")
         far = both.mapInArrow(_compare_with_first(self.span), "class bigint, cid bigint, size int, left int, right int")
         own = rows.where("cid = first").select("class", "cid", "size", F.lit(self.span).alias("left"), F.lit(self.span).alias("right"))
         members = cut_lineage(far.unionByName(own).withColumn("far", F.struct("size", "left", "right")))
@@ -358,6 +357,8 @@ class SharedSpans:
         known = (F.least("far_a.left", "far_b.left") >= 0) & (F.col("far_a.size") + F.least("far_a.left", "far_b.left") + F.least("far_a.right", "far_b.right") >= self.span)
         pairs = cut_lineage(pairs.groupBy("a", "b").agg(F.max(known).alias("known")))
         open_pairs = pairs.where(~F.col("known")).select("a", "b")
+        wanted = cut_lineage(open_pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+        texts = self.texts.join(small_side(wanted), "cid", "left_semi").dropDuplicates(["cid"])
         compared = (
             open_pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")

@@ -128,3 +128,46 @@ def test_mixture_of_nothing(spark):
     m = mixing.Mixture(_documents(spark).limit(0), targets)
     assert m.mixture().count() == 0 and [r.reached_share for r in m.shares().collect()] == [0.0]
     assert mixing.Mixture(_documents(spark), targets.limit(0)).mixture().count() == 0
+
+
+def test_rounding_is_the_same_for_any_partitions(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.integers(0, 3)), int(rng.lognormal(4, 1.5)) + 1, float(rng.choice([0.04, 0.37, 1.6, 2.0]))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, s int, n_tokens bigint, rate double")
+    got = [{(r.doc_id, r.repeats) for r in mixing.whole_repeats(df.repartition(n), np.array([3.0, 3.0, 2.0])).collect()} for n in (1, 64, 512)]
+    assert got[0] == got[1] == got[2]
+    size, rate, most = {r[0]: r[2] for r in rows}, {r[0]: r[3] for r in rows}, (3, 3, 2)
+    for s in range(3):
+        mine = {r[0] for r in rows if r[1] == s}
+        meant, reached = sum(size[i] * rate[i] for i in mine), sum(size[i] * n for i, n in got[0] if i in mine)
+        assert abs(reached / meant - 1) < 0.02
+    assert all(rate[i] // 1 <= n <= most[rows[i][1]] for i, n in got[0])
+
+
+@pytest.mark.parametrize("cell", [50, 1000])
+def test_rounding_in_cells(spark, monkeypatch, cell):
+    import numpy as np
+
+    monkeypatch.setattr(mixing, "CELL_ROWS", cell)
+    df = spark.range(2000).selectExpr("id doc_id", "0 s", "100L n_tokens", "0.013 rate")
+    assert mixing.whole_repeats(df, np.array([1.0])).agg({"repeats": "sum"}).first()[0] == 26
+
+
+@pytest.mark.parametrize("parts", [1, 64, 512])
+def test_shares_for_any_partitions(spark, parts):
+    """All of the corpus's sources, rare ones of few long documents included, within a point of their targets."""
+    import random
+
+    rng, words = random.Random(2), ["alpha", "beta", "gamma", "delta", "load", "table"]
+    rows = []
+    for i in range(1500):
+        kind = rng.choices(["readme", "issue", "sop_docx", "changelog"], [0.6, 0.3, 0.02, 0.08])[0]
+        mark = {"readme": "# Title\n\n", "issue": "Steps to reproduce?\n", "sop_docx": "1. Step\n2. Step\n", "changelog": "## 1.2.3\n- fix: "}[kind]
+        n = {"readme": 60, "issue": 40, "sop_docx": 400, "changelog": 30}[kind]
+        rows.append((i, mark + " ".join(rng.choice(words) for _ in range(rng.randint(n // 2, n * 2))), kind.upper() if i % 7 else None))
+    targets = spark.createDataFrame([("readme", 0.4, 2), ("issue", 0.3, 2), ("sop_docx", 0.2, 4), ("changelog", 0.1, 4)], "source string, target_share double, max_repeats int")
+    m = mixing.Mixture(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(parts), targets)
+    assert m.converged and m.error <= mixing.TOLERANCE
+    assert all(abs(r.reached_share - r.target_share) < 0.01 and r.most_repeats <= r.max_repeats for r in m.shares().collect())
