@@ -28,7 +28,6 @@ Defined cases
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -40,25 +39,21 @@ from quarryline.session import cut_lineage, spread
 
 #: Labelled documents the classifier is fitted on: about as many of each source, those with the least hash of their key,
 #: so that rare sources are in it.  The corpus's own label counts correct for the even sampling.
-LABELLED_ROWS = 20_000
+LABELLED_ROWS = 10_000
 #: Share of written labels that are taken to be wrong.
 LABEL_ERROR = 0.03
 #: Steps of the projected gradient, at most, and the relative error at which they end.
 STEPS, TOLERANCE = 30, 1e-3
 #: Share of the largest possible size that is aimed at, so that rates have room below their bounds.
 ROOM = 0.97
-FIRST_BUCKETS = 32
+#: Buckets of the features: tokens, openings of lines, the first and the last token.
+TOKENS, OPENINGS, EDGES = 256, 256, 32
 #: Documents of a cell of the rounding, on average at most.
 CELL_ROWS = 50_000
 #: Whole numbers that stand for 1 in the rounding.
 ONE = 1 << 20
 
-_MARKS = [
-    re.compile(p, re.M)
-    for p in (r"^#{1,6} ", r"^[-*] ", r"^\d+[.)] ", r"^\s*$", r"```", r"`[^`\n]+`", r"^Traceback", r'^  File "', r"\b(?:GET|POST|PUT|PATCH|DELETE) /", r"\bv?\d+\.\d+\.\d+\b", r"\b\d{4}-\d{2}-\d{2}\b",
-              r"^## ", r"\?", r"^(?:feat|fix|chore|docs|refactor|test|style|perf)\b", r"^(?:Args|Returns|Raises):", r"\|", r":\s*$", r"[А-Яа-я]", r"^>", r"^[a-z]", r"@\w", r"^(?:Steps|Expected|Actual)", r"!", r"#\d+")
-]
-N_FEATURES = 8 + 2 * len(_MARKS) + 2 * FIRST_BUCKETS
+N_FEATURES = 8 + TOKENS + OPENINGS + 2 * EDGES
 
 
 def normal_label(label):
@@ -66,33 +61,42 @@ def normal_label(label):
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(label)), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
 
 
+def _bag(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    counts = np.log1p(np.bincount(hashes % buckets, minlength=buckets))
+    return 3 * counts / max(1e-9, float(np.sqrt(counts @ counts)))
+
+
 def features(text: str, ids: list[int]) -> np.ndarray:
-    """Shape and openings of a document."""
+    """Shape of a document, and hashed bags of its tokens and of the two bytes its lines open with."""
     x = np.zeros(N_FEATURES, np.float32)
-    lines = text.count("\n") + 1
-    n = len(ids)
+    lines, n = text.count("\n") + 1, len(ids)
     x[:8] = (1.0, math.log1p(n), math.log1p(lines), math.log1p(len(text) / lines), len(text) / max(1, n) / 4, math.log1p(n) ** 2 / 20, text[-1:].isalnum(), len(set(ids)) / max(1, n))
-    for k, p in enumerate(_MARKS):
-        c = sum(1 for _ in p.finditer(text))
-        x[8 + 2 * k], x[9 + 2 * k] = c > 0, math.log1p(c) / 3
-    base = 8 + 2 * len(_MARKS)
-    if ids:
-        x[base + (ids[0] * 2654435761 >> 7) % FIRST_BUCKETS] = 1
-        x[base + FIRST_BUCKETS + (ids[-1] * 2654435761 >> 7) % FIRST_BUCKETS] = 1
+    if not ids:
+        return x
+    tokens = np.array(ids, np.int64)
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
+    starts = np.flatnonzero(raw == 10) + 1
+    starts = np.concatenate([[0], starts[starts < len(raw)]])
+    at = 8
+    for part in (_bag(tokens * 2654435761 >> 13, TOKENS), _bag(raw[starts] * 31 + raw[np.minimum(starts + 1, len(raw) - 1)] * 7, OPENINGS)):
+        x[at : at + len(part)] = part
+        at += len(part)
+    x[at + (ids[0] * 2654435761 >> 7) % EDGES] = 1
+    x[at + EDGES + (ids[-1] * 2654435761 >> 7) % EDGES] = 1
     return x
 
 
-def fit_classifier(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 400, ridge: float = 1e-4) -> np.ndarray:
+def fit_classifier(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 250, ridge: float = 3e-4) -> np.ndarray:
     """Weights of a softmax regression (full-batch gradient with momentum)."""
-    w, v = np.zeros((x.shape[1], classes)), np.zeros((x.shape[1], classes))
-    one = np.eye(classes)[y]
+    w, v = np.zeros((x.shape[1], classes), x.dtype), np.zeros((x.shape[1], classes), x.dtype)
+    one = np.eye(classes, dtype=x.dtype)[y]
     for step in range(steps):
         s = x @ w
         s -= s.max(1, keepdims=True)
         p = np.exp(s)
         p /= p.sum(1, keepdims=True)
         g = x.T @ (p - one) / len(x) + ridge * w
-        v = 0.9 * v - (0.5 if step < steps * 0.7 else 0.15) * g
+        v = 0.9 * v - (0.2 if step < steps * 0.7 else 0.06) * g
         w += v
     return w
 
@@ -146,7 +150,7 @@ class Mixture:
             sample = spread(rows.where("label >= 0 and length(text) > 0").where(chance).select("label", "text")).mapInArrow(featured, "label int, x binary").limit(2 * LABELLED_ROWS).toPandas()
             y = sample["label"].to_numpy()
             if len(y):
-                w = fit_classifier(np.stack([np.frombuffer(v, np.float32) for v in sample["x"]]).astype(np.float64), y, k)
+                w = fit_classifier(np.stack([np.frombuffer(v, np.float32) for v in sample["x"]]), y, k).astype(np.float64)
                 seen = np.bincount(y, minlength=k)
                 shift = np.where(seen > 0, np.log(np.maximum(counts, 1e-9)) - np.log(np.maximum(seen, 1)), 0.0)
         self.weights = w

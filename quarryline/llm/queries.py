@@ -64,7 +64,7 @@ def p6_redacted(spark, d):
 
 
 def p7_found(spark, d):
-    return doc_pairs.documented_functions(table(spark, d, "search_results")).select("entity_id", "line_no").distinct()
+    return doc_pairs.documented_functions(table(spark, d, "search_results"), strict=True).select("entity_id", "line_no").distinct()
 
 
 def p7_pairs(spark, d):

@@ -70,6 +70,19 @@ def read_python(text: str) -> tuple[ast.Module | None, bool]:
             sys.set_int_max_str_digits(digits)
 
 
+def error_line(text: str) -> int | None:
+    """The line of a Python text's syntax error."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            ast.parse(text)
+        except SyntaxError as e:
+            return e.lineno
+        except (ValueError, RecursionError, MemoryError):
+            return None
+    return None
+
+
 _JSON = re.compile(r'[ \t\n\r]*(?:([\[{\]},:])|("(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null))')
 
 

@@ -165,11 +165,11 @@ JS = "/** Reads the row. */\nexport function f(a) {}\n\n/** far */\n\nfunction g
 
 
 def test_documented_functions():
-    assert [(n, line) for n, line, _ in sorted(doc_pairs.pairs("a.py", PY, True), key=lambda x: x[1])] == [("m", 3), ("inner", 15)]
-    assert [(n, line) for n, line, _ in doc_pairs.pairs("a.js", JS, True)] == [("f", 2), ("h", 9), ("m", 17)]
+    assert [(n, line) for n, line, *_ in sorted(doc_pairs.pairs("a.py", PY, True), key=lambda x: x[1])] == [("m", 3), ("inner", 15)]
+    assert [(n, line) for n, line, *_ in doc_pairs.pairs("a.js", JS, True)] == [("f", 2), ("h", 9), ("m", 17)]
     assert doc_pairs.pairs("a.js", JS + "(", True) == []
-    assert [(n, line) for n, line, _ in doc_pairs.pairs("a.ts", "  /** Joins the rows. */\n  async m<T>(a: T): Promise<void> {\n    return;\n  }\n", False)] == [("m", 2)]
-    assert [(n, line) for n, line, _ in doc_pairs.pairs("a.py", '    def m(self):\n        """Joins rows."""\n        return 1\n', False)] == [("m", 1)]
+    assert [(n, line) for n, line, *_ in doc_pairs.pairs("a.ts", "  /** Joins the rows. */\n  async m<T>(a: T): Promise<void> {\n    return;\n  }\n", False)] == [("m", 2)]
+    assert [(n, line) for n, line, *_ in doc_pairs.pairs("a.py", '    def m(self):\n        """Joins rows."""\n        return 1\n', False)] == [("m", 1)]
     assert doc_pairs.pairs("a.py", None, True) == doc_pairs.pairs("a.md", "x", True) == []
 
 
@@ -238,3 +238,31 @@ def test_every_grammar_is_tried():
     assert {g for g, (ok, _) in grammars.accepted("a = <b>c</b>;").items() if ok} == {"jsx", "tsx"}
     for text in ("let x: number = 1", "f(a, b)", "{}", "[1]", "def f(): pass", "class A { b() {} }"):
         assert {g: grammars.accepts(g, text) for g in grammars.GRAMMARS.values()} == {g: ok for g, (ok, _) in grammars.accepted(text).items()}
+
+
+def test_assignment_where_texts_and_functions_compete():
+    at = lambda path, text, whole=True: {(n, line): (doc.split("\n")[0], kind, d) for n, line, doc, kind, d, _ in doc_pairs.pairs(path, text, whole)}
+    # Two functions on one line under a comment: the tags tell which one it documents.
+    two = "/** Adds both.\n * @param left a\n * @param right b\n */\nconst f = () => 1, g = (left, right) => left + right;\n"
+    assert at("a.js", two) == {("g", 5): ("Adds both.", "comment", 1)}
+    # A blank line between: only tags or the name make the link plausible.
+    assert at("a.js", "/** Joins rows.\n * @param rows a\n */\n\nfunction join(rows) {}\n") == {("join", 5): ("Joins rows.", "comment", 2)}
+    assert at("a.js", "// A heading of the next part\n\nfunction join(rows) {}\n") == {}
+    assert at("a.js", "/** Joins rows.\n * @param rows a\n */\nconst n = 1;\nfunction join(rows) {}\n") == {}
+    # The nearer of two comments wins, although the farther one has the tags.
+    assert at("a.js", "/** Old words.\n * @param rows a\n */\n// Joins the rows quickly\nfunction join(rows) {}\n")["join", 5][0].strip() == "Joins the rows quickly"
+    # Docstring and comment compete for one function; a comment alone is the description of a function without one.
+    assert at("a.py", '# Not this one\ndef f(x):\n    """Reads x."""\n\n\n# Writes the row back\ndef g(y):\n    return y\n') == {("f", 2): ("Reads x.", "docstring", 0), ("g", 7): ("Writes the row back", "comment", 1)}
+    assert at("a.py", 'x = """\n# not a comment\n"""\ndef g(y):\n    return y\n') == {}
+
+
+def test_long_heads_and_cut_parts():
+    tags = "".join(f" * @param a{i} x\n" for i in range(80))
+    long = "/** Sums up.\n" + tags + " */\n\nfunction f(" + ", ".join(f"a{i}" for i in range(80)) + ") {}\n"
+    assert [n for n, *_ in doc_pairs.pairs("a.js", long, True)] == ["f"]
+    for bad in (1, 60, 500):
+        for head in ("", "    "):
+            part = f'{head}def m(self):\n{head}    """Joins rows."""\n{head}    return 1\n\n{head}def n(self):\n{head}    x = [\n' + f"{head}        3 4 5\n" * bad
+            assert [n for n, *_ in doc_pairs.pairs("a.py", part, False)] == ["m"], (bad, head)
+    odd = 'async \\\n \\\n \\\n \\\n \\\n \\\n \\\ndef name(a):\n    """Reads a."""\n'
+    assert [(n, line) for n, line, *_ in doc_pairs.pairs("a.py", odd, True)] == [("name", 8)]
