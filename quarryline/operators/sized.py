@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.session import cut_lineage
+
 #: Rows of narrow keys (at most some 32 bytes each) up to which a side is broadcast; beyond it, a shuffle join.
 BROADCAST_ROWS = 1_000_000
 #: Bytes up to which a side with rows of any width is broadcast.
@@ -24,6 +26,20 @@ def small_bytes(df: DataFrame, row_bytes: Column, max_bytes: int = BROADCAST_BYT
     return F.broadcast(df) if total <= max_bytes else df
 
 
+def distinct_wide(df: DataFrame, keys: list[str], wide: str) -> DataFrame:
+    """Distinct rows of ``keys`` and a wide text column, without shuffling the text of rows that aren't repeated.
+
+    Rows are counted by a 128-bit hash; only those that occur more than once are moved to drop their repeats.
+    """
+    columns = df.columns
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys]
+    hashed = df.withColumn("_h", F.unhex(F.md5(F.concat_ws("\u0001", *parts, F.coalesce(F.md5(wide), F.lit("null"))))))
+    repeated = small_side(cut_lineage(hashed.groupBy("_h").count().where("count > 1").select("_h")))
+    once = hashed.join(repeated, "_h", "left_anti")
+    more = hashed.join(repeated, "_h", "left_semi").dropDuplicates(["_h"])
+    return once.select(columns).unionByName(more.select(columns))
+
+
 def pairs_in_groups(rows: DataFrame, group: str, member: str, block: int = BLOCK, carry: str | None = None) -> DataFrame:
     """Pairs (a < b) of members that share a group: distinct, or with ``carry`` one row a group and both values of that column.
 
