@@ -194,7 +194,7 @@ _TOKEN = re.compile(r"\w+")
 #: Patterns, and substrings one of which any of their matches holds (None: no such list).
 _PERSONS = frozenset("i we this the as my я мне меня мы нам мой этот ich mir mich wir uns yo me mi puedo tengo dispongo voy debo siento lamento не".split())
 _TESTS = {
-    "negative": (_NEGATIVE, ("not", "n't", "n’t", "unable", "won", "must", "decline", "refuse", "no ", "insufficient", "не ", "нельзя", "нет ", "запрещено", "отказываюсь", "недостаточно", "nicht", "kein", "niego")),
+    "negative": (_NEGATIVE, ("not", "n't", "n’t", "unable", "won", "must", "decline", "refuse", "no ", "insufficient", "sorry, no", "couldn", "could n", "не ", "нельзя", "нет ", "запрещено", "отказываюсь", "недостаточно", "nicht", "kein", "niego")),
     "first": (_FIRST, None),
     "help": (_HELP, ("help", "answer", "assist", "discuss", "share", "provide", "comment", "tell", "say", "access", "disclose", "talk", "respond", "reply", "information", "request", "question", "show", "reveal", "помо", "отве", "обсужд", "показ", "сообщ", "предостав", "информаци", "рассказ", "комментир", "раскры",
                      "вопрос", "запрос", "helfen", "beantwort", "antwort", "zugriff", "auskunft", "sagen", "besprechen", "teilen", "zeigen", "anfrage", "kommentieren", "ayudar", "hablar", "compartir", "comentar", "informaci", "mostrar", "contestar", "consulta", "pregunta", "solicitud", "revelar")),

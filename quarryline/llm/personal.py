@@ -1,17 +1,23 @@
 """Personal information inside free text, and its replacement by typed placeholders.
 
-Method: format-preserving Feistel pseudonyms.  Numbers and dates that pass their format's check are permuted by a keyed
-Feistel network within that format (digits stay digits, letters letters, marks stay in place, check characters are
-made valid again), so that equal values get equal pseudonyms in every document and different values different ones.
-Values without a format (names, mail addresses, street addresses) get a keyed code.
+Method: format-preserving Feistel pseudonyms.  A number is brought to its canonical form first (a phone number to country
+code and national digits, an identity number to its digits and letters), checked by the rules of its format, permuted by
+a keyed Feistel network, and written back into the layout it was found in.  So every spelling of one value has one
+pseudonym in every document, and different values have different ones.  The permutation stays within the numbers that
+the format's rules judge alike: a valid number becomes a valid one (check characters included), one that fails them
+becomes one that fails.  Dates are permuted within the calendar.  Values without a format (names, mail addresses, street
+addresses) get a keyed 128-bit code.
 
 Defined cases
 -------------
 * Null, empty and blank texts hold nothing; the masked text of a null is null.  Very long texts are read whole.
 * One row for each kind that occurs in a text; repeated rows of a record give one.  Ties of overlapping finds go to
   the earlier, then the longer one, then in the order of ``KINDS``.
+* A number that fails its format's check is personal all the same: people mistype.
 * Technical identifiers, hosts, git remotes, versions, ticket and order numbers aren't personal.
-* First names are a parameter, taken from the users table: at most ``MAX_NAMES`` distinct ones, which is checked.
+* A national phone number without its country code can't be told to be the one with it, but for a leading Russian 8.
+* First names are a parameter, taken from the users table; a name is also found by initials, by its introduction and by
+  its title.  Up to ``MAX_NAMES`` names go to every task, beyond that the names in each text are found by a join.
 * Empty tables give empty results; other columns aren't read.
 """
 
@@ -25,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.session import spread
+from quarryline.operators.sized import distinct_wide
+from quarryline.session import cut_lineage, spread
 
 KINDS = ("email", "id_number", "phone", "address", "name", "date")
 MAX_NAMES = 500_000
@@ -77,6 +84,11 @@ _TURNED = re.compile(rf"(?<![\w.])(?P<v>[{_U}][{_A}'’-]{{2,}}\s(?:[{_U}]\.\s?)
 _PAIR = re.compile(rf"(?<![\w.@/\\-])({_WORD})(\s+|,\s+)(?=({_WORD})(?![\w@/\\(]|\.\w))")
 
 
+_WORDS2 = rf"[{_U}][{_L}'’-]+(?:\s[{_U}][{_L}'’-]+){{1,2}}"
+#: What introduces a person by name, whoever it is.
+_INTRODUCED = re.compile(rf"(?:(?i:\bmy name is|\bi am called|\bich heiße|\bmein name ist|\bme llamo|\bmi nombre es|меня зовут)\s+|\b(?:Mr|Mrs|Ms|Dr|Herrn?|Frau|Sr|Sra|Señora?|Prof)\.?\s+|(?<!\w)(?:г-н|г-жа|госпожа|господин)\s+)(?P<v>{_WORDS2})(?![\w@/\\(]|\.\w)")
+
+
 _GREETINGS = frozenset("thanks regards cheers best sincerely hi hello dear hey gruß grüße hallo danke saludos atentamente hola gracias уважением спасибо привет здравствуйте bitte please".split())
 
 
@@ -130,6 +142,7 @@ class Finder:
         for m in _INITIAL.finditer(text):
             if not re.search(r"\d[A-Za-z]?,? $", text[max(0, m.start() - 8) : m.start()]):
                 out.append((m.start("v"), m.end("v"), "name"))
+        out += [(m.start("v"), m.end("v"), "name") for m in _INTRODUCED.finditer(text)]
         if not self.first:
             return out
         for m in _PAIR.finditer(text):
@@ -182,8 +195,18 @@ class Pseudonyms:
                 a = (a + self._round(n, tweak, b, radix_a)) % radix_a
         return a * radix_b + b
 
-    def digits(self, text: str, tweak: str) -> str:
-        """The digits of ``text`` permuted as one number, the letters likewise; every other character stays."""
+    def within(self, text: str, tweak: str, alike) -> str:
+        """``text`` of digits and capital letters permuted among those of its shape for which ``alike`` says the same.
+
+        Walking the cycle of a permutation until the judgement is the same again permutes within the judged class.
+        """
+        judged, out = alike(text), text
+        while True:
+            out = self._turn(out, tweak)
+            if alike(out) == judged:
+                return out
+
+    def _turn(self, text: str, tweak: str) -> str:
         for alphabet in ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
             places = [i for i, c in enumerate(text) if c in alphabet]
             if not places:
@@ -201,6 +224,32 @@ class Pseudonyms:
             text = "".join(chars)
         return text
 
+    def number(self, text: str, tweak: str) -> str:
+        """The identity number in ``text`` permuted within its format, in the layout of ``text``."""
+        places, plain = canonical(text)
+        check = id_check(plain)
+        if check is None:
+            return laid_out(text, places, self.within(plain, tweak, lambda _: True))
+        name, body, complete, plausible = check
+        judged = complete(plain[:body]) == plain and plausible(plain)
+        if judged:
+            # The check characters follow from the rest: that is permuted, and they are made anew.
+            return laid_out(text, places, complete(self.within(plain[:body], f"{tweak}|{name}", lambda x: plausible(complete(x)))))
+        return laid_out(text, places, self.within(plain, f"{tweak}|{name}|fails", lambda x: (id_check(x) or ("",))[0] == name and not (complete(x[:body]) == x and plausible(x))))
+
+    def phone(self, text: str) -> str:
+        """The phone number in ``text`` permuted within its numbering plan, in the layout of ``text``."""
+        m = _EXTENSION.search(text)
+        main, tail = (text[: m.start()], m) if m else (text, None)
+        places = [i for i, c in enumerate(main) if c.isascii() and c.isdigit()]
+        plain = "".join(main[i] for i in places)
+        code, skip = phone_code(main.lstrip(), plain)
+        rest = plain[skip:]
+        american = code == "1" or not code and len(rest) == 10 and not rest.startswith("0")
+        alike = (lambda x: x[:1] > "1" and x[3:4] > "1") if american and len(rest) == 10 else (lambda x: x[:1] == "0")
+        out = laid_out(main, places[skip:], self.within(rest, f"phone|{code}", alike)) if rest else main
+        return out + (tail.group(1) + self.within(tail.group(2), "extension", lambda _: True) if tail else "")
+
     def day(self, text: str) -> str:
         """A calendar date permuted within 1900 to 2099, in its own notation."""
         parts = [int(x) for x in re.split(r"[-./]", text)]
@@ -208,7 +257,7 @@ class Pseudonyms:
         try:
             d = date(*parts) if iso else date(parts[2], parts[1], parts[0])
         except ValueError:
-            return self.digits(text, "date")
+            return self.number(text, "date")
         low, days = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
         v = d.toordinal() - low
         while True:  # cycle walking: the pair domain is a little larger than the days
@@ -220,28 +269,83 @@ class Pseudonyms:
 
     def code(self, text: str, kind: str) -> str:
         norm = " ".join(re.sub(r"[^\w@.+]+", " ", text.casefold()).split())
-        return hashlib.blake2b(f"{kind}|{norm}".encode(), key=self.key, digest_size=5).hexdigest()
+        return hashlib.blake2b(f"{kind}|{norm}".encode(), key=self.key, digest_size=16).hexdigest()
 
     def of(self, text: str, kind: str) -> str:
         if kind == "date":
             return self.day(text)
-        if kind in ("phone", "id_number"):
-            head = re.match(r"\+\d{1,2}(?=\D)|\+[17]|00\d\d(?=\D)|(?i:серия\s*)", text) if kind == "phone" else re.match(r"(?i:серия\s*)", text)
-            cut = head.end() if head else 0
-            return text[:cut] + self._valid(text[cut:], self.digits(text[cut:], kind))
+        if kind == "phone":
+            return self.phone(text)
+        if kind == "id_number":
+            return self.number(text, "id")
         return self.code(text, kind)
 
-    @staticmethod
-    def _valid(old: str, new: str) -> str:
-        """Makes the check character of ``new`` right where that of ``old`` was."""
-        letters = "TRWAGMYFPDXBNJZSQVHLCKE"
-        if re.fullmatch(r"\d{8}[A-Z]", old) and letters[int(old[:8]) % 23] == old[8]:
-            return new[:8] + letters[int(new[:8]) % 23]
-        if re.fullmatch(r"\d{3}-\d{3}-\d{3} \d{2}", old):
-            check = lambda s: sum(int(c) * k for c, k in zip(s.replace("-", "")[:9], range(9, 0, -1))) % 101 % 100
-            if check(old) == int(old[-2:]):
-                return f"{new[:-2]}{check(new):02d}"
-        return new
+
+def canonical(text: str) -> tuple[list[int], str]:
+    """Places and text of the digits and Latin letters of an identity number; words of a layout (``No``) aren't part of it."""
+    skip = {i for m in re.finditer(r"(?i)\b(?:no|nr|num|number|nummer)\b", text) for i in range(*m.span())}
+    places = [i for i, c in enumerate(text) if c.isascii() and c.isalnum() and i not in skip]
+    return places, "".join(text[i] for i in places).upper()
+
+
+def laid_out(text: str, places: list[int], plain: str) -> str:
+    chars = list(text)
+    for i, c in zip(places, plain):
+        chars[i] = c.lower() if text[i].islower() else c
+    return "".join(chars)
+
+
+_EXTENSION = re.compile(r"(\s*(?:ext\.?|x|доб\.?|extension|#)\s*)(\d{1,5})$", re.I)
+#: Country codes of one and two digits (fixed values of the numbering plan); all others have three.
+_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def phone_code(text: str, plain: str) -> tuple[str, int]:
+    """(country code, digits before the national number) of a phone number; "" and 0 where none is written."""
+    if text.startswith("+"):
+        skip = 0
+    elif plain.startswith("00"):
+        skip = 2
+    elif plain.startswith("8") and len(plain) == 11:
+        return "7", 1
+    else:
+        return "", 0
+    size = next((n for n in (1, 2) if plain[skip : skip + n] in _CODES), 3)
+    return plain[skip : skip + size], skip + size
+
+
+def _weighed(body: str, weights: tuple[int, ...]) -> int:
+    return sum(int(c) * w for c, w in zip(body, weights))
+
+
+def _insurance_account(body: str) -> str:
+    return body + f"{_weighed(body, (9, 8, 7, 6, 5, 4, 3, 2, 1)) % 101 % 100:02d}"
+
+
+def _person_letter(body: str) -> str:
+    digits = body if body[0].isdigit() else str("XYZ".find(body[0])) + body[1:]
+    return body + "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits) % 23]
+
+
+def _taxpayer(body: str) -> str:
+    first = body + str(_weighed(body, (7, 2, 4, 10, 3, 5, 9, 4, 6, 8)) % 11 % 10)
+    return first + str(_weighed(first, (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)) % 11 % 10)
+
+
+#: Formats with rules: pattern of the canonical form, characters before the check characters, the number completed by
+#: them, and what else must hold.
+_FORMATS = (
+    ("security", re.compile(r"\d{9}"), 9, lambda x: x, lambda x: x[:3] not in ("000", "666") and x[0] != "9" and x[3:5] != "00" and x[5:] != "0000"),
+    ("account", re.compile(r"\d{11}"), 9, _insurance_account, lambda x: True),
+    ("taxpayer", re.compile(r"\d{12}"), 10, _taxpayer, lambda x: True),
+    ("insurance", re.compile(r"[A-Z]{2}\d{6}[A-D]"), 9, lambda x: x, lambda x: x[0] not in "DFIQUV" and x[1] not in "DFIOQUV" and x[-1] in "ABCD" and x[:2] not in ("BG", "GB", "KN", "NK", "NT", "TN", "ZZ")),
+    ("person", re.compile(r"(?:\d{8}|[XYZ]\d{7})[A-Z]"), 8, _person_letter, lambda x: x[0].isdigit() or x[0] in "XYZ"),
+)
+
+
+def id_check(plain: str):
+    """(name, body, complete, plausible) of the format whose shape ``plain`` has, or None."""
+    return next(((name, body, complete, plausible) for name, shape, body, complete, plausible in _FORMATS if shape.fullmatch(plain)), None)
 
 
 def mask(text: str | None, spans: list[tuple[int, int, str]], names: Pseudonyms) -> str | None:
@@ -254,38 +358,49 @@ def mask(text: str | None, spans: list[tuple[int, int, str]], names: Pseudonyms)
     return "".join([*parts, text[last:]])
 
 
-def known_first_names(users: DataFrame) -> list[str]:
-    rows = users.select(F.trim("first_name").alias("n")).where("n is not null and n <> ''").distinct().limit(MAX_NAMES + 1).collect()
-    if len(rows) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} first names: pass a name list of your own")
-    return sorted(r.n for r in rows)
+def known_first_names(users: DataFrame, most: int = MAX_NAMES) -> list[str] | DataFrame:
+    """The distinct first names: a list of at most ``most``, or else a table of their lower-case forms (column n)."""
+    names = users.select(F.trim("first_name").alias("n")).where("n is not null and n <> ''").distinct()
+    rows = names.limit(most + 1).collect()
+    return sorted(r.n for r in rows) if len(rows) <= most else cut_lineage(names.select(F.lower("n").alias("n")).distinct())
+
+
+def _with_names(source: DataFrame, first_names: list[str] | DataFrame) -> DataFrame:
+    """``source`` with the known first names of each text in ``names`` (null: those every task has)."""
+    if isinstance(first_names, list):
+        return source.withColumn("names", F.lit(None).cast("array<string>"))
+    keyed = source.withColumn("_h", F.md5("text"))
+    words = keyed.select("_h", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}][\p{L}'’-]*)"), F.lit(1)))).alias("n"))
+    mine = words.join(first_names, "n").groupBy("_h").agg(F.collect_set("n").alias("names"))
+    return keyed.join(mine, "_h", "left").drop("_h").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+
+
+def _each(batches, first_names, emit):
+    everywhere = Finder(first_names) if isinstance(first_names, list) else None
+    for b in batches:
+        rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
+        yield emit(b, [(i, t, (everywhere if names is None and everywhere else Finder(names)).find(t)) for i, t, names in rows])
 
 
-def personal_kinds(rows: DataFrame, record_id: str, text: str, first_names: list[str]) -> DataFrame:
+def personal_kinds(rows: DataFrame, record_id: str, text: str, first_names: list[str] | DataFrame) -> DataFrame:
     """(record_id, kind) of each kind of personal data in each text."""
+    known = first_names if isinstance(first_names, list) else None
 
-    def run(batches):
-        finder = Finder(first_names)
-        for b in batches:
-            ids, kinds = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for kind in sorted({k for _, _, k in finder.find(t)} - {"date"}):
-                    ids.append(i)
-                    kinds.append(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(kinds, pa.string())], ["record_id", "kind"])
+    def emit(b, found):
+        pairs = [(i, kind) for i, _, spans in found for kind in sorted({k for _, _, k in spans} - {"date"})]
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], b.column(0).type), pa.array([k for _, k in pairs], pa.string())], ["record_id", "kind"])
 
-    source = rows.select(F.col(record_id).alias("record_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    return spread(source).mapInArrow(run, f"record_id {dict(source.dtypes)['record_id']}, kind string").distinct()
+    source = spread(rows.select(F.col(record_id).alias("record_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()))
+    return _with_names(source, first_names).mapInArrow(lambda b: _each(b, known, emit), f"record_id {dict(source.dtypes)['record_id']}, kind string").distinct()
 
 
-def masked_texts(rows: DataFrame, record_id: str, text: str, first_names: list[str], key: bytes) -> DataFrame:
+def masked_texts(rows: DataFrame, record_id: str, text: str, first_names: list[str] | DataFrame, key: bytes) -> DataFrame:
     """(record_id, text) of every distinct record, personal data replaced by typed placeholders."""
+    known = first_names if isinstance(first_names, list) else None
 
-    def run(batches):
-        finder, names = Finder(first_names), Pseudonyms(key)
-        for b in batches:
-            out = [mask(t, finder.find(t), names) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["record_id", "text"])
+    def emit(b, found):
+        names = Pseudonyms(key)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([mask(t, spans, names) for _, t, spans in found], pa.string())], ["record_id", "text"])
 
-    source = rows.select(F.col(record_id).alias("record_id"), F.col(text).alias("text")).distinct()
-    return source.mapInArrow(run, f"record_id {dict(source.dtypes)['record_id']}, text string")
+    source = distinct_wide(spread(rows.select(F.col(record_id).alias("record_id"), F.col(text).alias("text"))), ["record_id"], "text")
+    return _with_names(source, first_names).mapInArrow(lambda b: _each(b, known, emit), f"record_id {dict(source.dtypes)['record_id']}, text string")

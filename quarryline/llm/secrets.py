@@ -6,8 +6,9 @@ that chunk only, so each task indexes its own chunks and nothing is shuffled.
 
 Defined cases
 -------------
-* A null or empty content holds no credential.  A very long content is cut at line ends into chunks of ``CHUNK``
-  characters that overlap by ``OVERLAP`` lines, and is read whole.
+* A null or empty content holds no credential.  A very long content is read whole, in chunks of about ``CHUNK``
+  characters cut at line ends: what a pattern requires stands on the line a match begins on, and a match that begins in a
+  chunk is followed beyond its end.  Names and values may be of any length.
 * A line is reported once however many credentials begin on it; repeated rows of an entity_id count once.
 * Redaction replaces the credential's characters alone, within its quotes, so that the code still parses; a private key
   keeps its BEGIN and END lines; one without END ends before the first line that isn't base64 or a PEM header.  Empty tables give empty results; other columns aren't read.
@@ -22,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.trigrams import TrigramIndex
+from quarryline.operators.sized import distinct_wide
 from quarryline.session import spread
 
-CHUNK, OVERLAP = 4_000, 3
+CHUNK = 4_000
 MASK = "REDACTED"
 
 #: The end of a name that holds a credential.
@@ -38,7 +40,7 @@ RULES = {
     # the default of a lookup in the environment
     "default": r"(?i:" + _KEY + r")[\"'`]?\)?\s*(?:,|\|\||\?\?|:-|\bor\b)\s*(?:default\s*=\s*)?" + _QUOTED,
     "flag": r"(?i:--?" + _KEY + r")[ =]+[\"']?(?P<v>[^\s\"'`<>(),;{}\[\]$]{6,})",
-    "url": r"[a-zA-Z][a-zA-Z0-9+.-]{1,20}://[^\s/:@\"'`<>]{0,80}:(?P<v>[^\s/@\"'`<>]{3,200})@[\w.-]",
+    "url": r"[a-zA-Z0-9+.-]://[^\s/:@\"'`<>]*+:(?P<v>[^\s/@\"'`<>]{3,})@[\w.-]",
     "parameter": r"[?&](?i:[\w-]*(?:token|api_?key|secret|password|passwd|pwd|signature|sig|auth))=(?P<v>[^\s&\"'`<>#{}$]{8,})",
     "bearer": r"(?i:\bbearer|\bbasic|\btoken)[ ]+(?P<v>[A-Za-z0-9_\-.=+/~]{16,})",
     "jwt": r"(?P<v>eyJ[\w-]{8,}\.eyJ[\w-]{4,}\.[\w-]{8,})",
@@ -109,18 +111,20 @@ class Scanner:
         """Of each text the (start, end, rule) of its credentials, ascending and without overlaps."""
         chunks, origin = [], []
         for n, text in enumerate(texts):
-            for at, piece in split_chunks(text or ""):
-                chunks.append(piece)
-                origin.append((n, at))
+            for at, end in split_chunks(text or ""):
+                chunks.append(text[max(0, at - 1) : end])  # with the line end before it, which a pattern may begin on
+                origin.append((n, max(0, at - 1), end))
         found: list[set] = [set() for _ in texts]
         if chunks:
             for rule, hits in self.index.candidates(chunks).items():
                 pattern = self.index.rules[rule][0]
                 for c in hits.tolist():
-                    n, at = origin[c]
-                    for m in pattern.finditer(chunks[c]):
+                    n, at, end = origin[c]
+                    for m in pattern.finditer(texts[n], at, beyond(texts[n], end)):
+                        if m.start() >= end:
+                            break
                         if usable(rule, m.group("v")):
-                            found[n].add((at + m.start("v"), at + m.end("v"), rule))
+                            found[n].add((m.start("v"), m.end("v"), rule))
         return [self._settle(texts[n] or "", f) for n, f in enumerate(found)]
 
     @staticmethod
@@ -139,26 +143,26 @@ class Scanner:
         return out
 
 
-def split_chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, str]]:
-    """(offset, chunk) pieces of about ``size`` characters cut at line ends, each with ``overlap`` lines of the last."""
-    if len(text) <= size:
-        return [(0, text)] if text else []
+def split_chunks(text: str, size: int = CHUNK) -> list[tuple[int, int]]:
+    """Start and end of the pieces of about ``size`` characters of a text, cut at line ends."""
     out, at = [], 0
     while at < len(text):
         end = len(text) if at + size >= len(text) else (text.find("\n", at + size) + 1 or len(text))
-        out.append((at, text[at:end]))
-        if end == len(text):
-            break
-        back = end
-        for _ in range(overlap + 1):
-            back = text.rfind("\n", at, back - 1) + 1
-            if back <= at:
-                back = end
-                break
-        at = back
+        out.append((at, end))
+        at = end
     return out
 
 
+#: Lines with something on them that a match may go on over: a pattern has at most so many places for line breaks.
+_BREAKS = 6
+_LINES = re.compile(r"(?:\s*+\S[^\n]*+(?:\n|\Z)){0,%d}" % _BREAKS)
+
+
+def beyond(text: str, end: int) -> int:
+    """How far a match that begins before ``end`` can reach."""
+    return _LINES.match(text, end).end()
+
+
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     """The text with its credentials masked; everything else, line ends included, stays."""
     parts, last = [], 0
@@ -200,7 +204,7 @@ def secret_lines(results: DataFrame) -> DataFrame:
 
 def redacted(results: DataFrame) -> DataFrame:
     """(entity_id, content, n_redacted) of every distinct row, credentials masked."""
-    rows = results.select("entity_id", "content").distinct()
+    rows = distinct_wide(spread(results.select("entity_id", "content")), ["entity_id"], "content")
 
     def emit(part, texts, found):
         out = [None if t is None else redact(t, s) for t, s in zip(texts, found)]

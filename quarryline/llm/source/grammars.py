@@ -52,37 +52,24 @@ def parse_python(text: str) -> ast.Module | None:
     return read_python(text)[0]
 
 
-def read_python(text: str) -> tuple[ast.Module | None, bool]:
-    """(tree or None, whether it failed because the text ends while something is still open)."""
+def read_python(text: str) -> tuple[ast.Module | None, bool, int | None]:
+    """(tree or None, whether it failed because the text ends while something is still open, the line of the error)."""
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         digits = sys.get_int_max_str_digits()
         sys.set_int_max_str_digits(0)  # a long number is a number
         try:
-            return ast.parse(text), False
+            return ast.parse(text), False, None
         except SyntaxError as e:
             said, end = e.msg or "", text.rstrip()
             at_end = (e.lineno or 0) > end.count("\n") or e.lineno == end.count("\n") + 1 and (e.offset or 0) > len(end.rpartition("\n")[2])
-            return None, "never closed" in said or "unterminated triple" in said or "unterminated string" in said and e.lineno == end.count("\n") + 1 or at_end
+            return None, "never closed" in said or "unterminated triple" in said or "unterminated string" in said and e.lineno == end.count("\n") + 1 or at_end, e.lineno
         except (ValueError, RecursionError, MemoryError):
-            return None, False
+            return None, False, None
         finally:
             sys.set_int_max_str_digits(digits)
 
 
-def error_line(text: str) -> int | None:
-    """The line of a Python text's syntax error."""
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        try:
-            ast.parse(text)
-        except SyntaxError as e:
-            return e.lineno
-        except (ValueError, RecursionError, MemoryError):
-            return None
-    return None
-
-
 _JSON = re.compile(r'[ \t\n\r]*(?:([\[{\]},:])|("(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null))')
 
 
@@ -128,7 +115,7 @@ def accepts(grammar: str, text: str) -> bool:
 def attempt(grammar: str, text: str) -> tuple[bool, bool]:
     """(valid, whether the parser failed because the text ends while something is open)."""
     if grammar == "python":
-        tree, unfinished = read_python(text)
+        tree, unfinished, _ = read_python(text)
         return tree is not None, unfinished
     if grammar == "json":
         try:

@@ -120,12 +120,15 @@ class TrigramIndex:
     def candidates(self, chunks: list[str]) -> dict[str, np.ndarray]:
         """For each rule the chunks whose postings meet all its clauses."""
         lists = self.postings(chunks)
-        out = {}
+        out, met = {}, {}
         for name, (_, clauses) in self.rules.items():
             found = None
             for alternatives in clauses:
-                some = [self._all([lists[self.number[g]] for g in alt]) for alt in alternatives]
-                mine = np.unique(np.concatenate(some)) if len(some) > 1 else some[0]
+                clause = frozenset(alternatives)  # rules share clauses: each is met once
+                if clause not in met:
+                    some = [self._all([lists[self.number[g]] for g in alt]) for alt in alternatives]
+                    met[clause] = np.unique(np.concatenate(some)) if len(some) > 1 else some[0]
+                mine = met[clause]
                 found = mine if found is None else np.intersect1d(found, mine, assume_unique=True)
             out[name] = found
         return out

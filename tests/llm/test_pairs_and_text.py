@@ -80,7 +80,7 @@ def test_personal(text, want):
 def test_pseudonyms():
     p = personal.Pseudonyms(b"key")
     assert {p.permute(v, 7, 11, "t") for v in range(77)} == set(range(77))
-    assert len({p.digits(f"{n:03d}", "t") for n in range(1000)}) == 1000
+    assert len({p.within(f"{n:03d}", "t", lambda _: True) for n in range(1000)}) == 1000
     a, b = p.of("+34 600 000 240", "phone"), p.of("+34 600 000 241", "phone")
     assert a != b and a == p.of("+34 600 000 240", "phone") and [c.isdigit() for c in a] == [c.isdigit() for c in "+34 600 000 240"]
     new = p.of("12345678Z", "id_number")
@@ -92,6 +92,89 @@ def test_pseudonyms():
     assert personal.mask(None, [], p) is None
 
 
+DIGITS = lambda text: "".join(c for c in text if c.isdigit())
+
+
+@pytest.mark.parametrize(
+    "spellings",
+    [
+        ["+34 600 000 240", "+34-600-000-240", "+34600000240", "+34 (600) 000240", "0034 600 000 240"],
+        ["+7 912 345 67 89", "8 912 345 67 89", "8(912)345-67-89", "+79123456789"],
+        ["(212) 555-0148", "212-555-0148", "212.555.0148"],
+        ["+1 212 555 0148", "+1-212-555-0148", "001 212 555 0148"],
+        ["+380 44 123 4567", "+380441234567"],
+    ],
+)
+def test_spellings_of_a_phone_are_linked(spellings):
+    p = personal.Pseudonyms(b"key")
+    out = [p.of(x, "phone") for x in spellings]
+    national = lambda x: DIGITS(x)[personal.phone_code(x, DIGITS(x))[1] :]
+    assert len({national(x) for x in out}) == 1 and national(out[0]) != national(spellings[0])
+    assert len({personal.phone_code(x, DIGITS(x))[0] for x in out + spellings}) == 1
+    assert [[c.isdigit() or c for c in x] for x in out] == [[c.isdigit() or c for c in x] for x in spellings]
+
+
+@pytest.mark.parametrize("number", ["123-45-6789", "112-233-445 95", "500100732259", "AB123456C", "12345678Z", "X1234567L"])
+def test_valid_numbers_stay_valid_and_others_stay_apart(number):
+    p = personal.Pseudonyms(b"key")
+
+    def valid(text):
+        _, plain = personal.canonical(text)
+        _, body, complete, plausible = personal.id_check(plain)
+        return complete(plain[:body]) == plain and plausible(plain)
+
+    assert valid(number)
+    new = p.of(number, "id_number")
+    assert new != number and valid(new) and p.of(number.replace("-", " "), "id_number").replace(" ", "-") == new.replace(" ", "-")
+    places, plain = personal.canonical(number)
+    for wrong in ("000-00-0000", personal.laid_out(number, places, plain[:-1] + ("7" if plain[-1] != "7" else "8") if plain[-1].isdigit() else plain[:-1] + "A")):
+        if personal.id_check(personal.canonical(wrong)[1]) and not valid(wrong):
+            assert not valid(p.of(wrong, "id_number"))
+
+
+def test_pseudonyms_are_one_to_one():
+    p = personal.Pseudonyms(b"key")
+    kept = [f"{a:03d}-{g:02d}-0001" for a in range(100, 140) for g in range(1, 60)]
+    assert len({p.of(x, "id_number") for x in kept}) == len(kept)
+    phones = [f"+49 30 {n:06d}" for n in range(3000)]
+    assert len({p.of(x, "phone") for x in phones}) == len(phones)
+    assert len(p.of("Petra Halfeather", "name")) == 32 and p.of("Petra Halfeather", "name") == p.of("petra  halfeather", "name")
+
+
+def test_names_without_a_list():
+    f = personal.Finder([])
+    for text in ("My name is Petra Halfeather.", "Ich heiße Petra Halfeather", "Меня зовут Фёкла Вязунова.", "Ask Mrs. Petra Halfeather please", "Me llamo Ana Roble"):
+        assert [k for _, _, k in f.find(text)] == ["name"], text
+    assert f.find("My name is Config.Loader") == f.find("The Archive Column disagrees") == []
+
+
+def test_more_names_than_a_task_takes(spark):
+    users = spark.createDataFrame([(f"Name{n}",) for n in range(30)] + [("Petra",), ("Hugo",)], "first_name string")
+    rows = spark.createDataFrame([(1, "Thanks, Petra Halfeather"), (2, "hugo strandashe wrote"), (3, "Nora Ashfield"), (4, None), (1, "Thanks, Petra Halfeather")], "id bigint, t string")
+    few, many = personal.known_first_names(users, 100), personal.known_first_names(users, 10)
+    assert isinstance(few, list) and not isinstance(many, list)
+    got = [sorted(map(tuple, personal.personal_kinds(rows, "id", "t", x).collect())) for x in (few, many)]
+    assert got[0] == got[1] == [(1, "name"), (2, "name")]
+    texts = [sorted(map(tuple, personal.masked_texts(rows, "id", "t", x, b"k").collect()), key=str) for x in (few, many)]
+    assert texts[0] == texts[1] and len(texts[0]) == 4
+
+
+@pytest.mark.parametrize("name", [n for n, (_, signs) in pair_defects._TESTS.items() if signs])
+def test_gates_hold_for_every_match(name):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    pattern, signs = pair_defects._TESTS[name]
+
+    @settings(max_examples=400, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(pattern))
+    def check(text):
+        m = pattern.search(text)
+        assert any(x in m.group().casefold() for x in signs), m.group()
+
+    check()
+
+
 def test_personal_of_a_table(spark):
     long = "x " * 200_000 + "mail a@x.example"
     df = spark.createDataFrame([(1, long, "k"), (2, None, "k"), (2, None, "k"), (3, "no", "k")], "id bigint, question string, kind string")

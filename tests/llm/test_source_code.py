@@ -266,3 +266,18 @@ def test_long_heads_and_cut_parts():
             assert [n for n, *_ in doc_pairs.pairs("a.py", part, False)] == ["m"], (bad, head)
     odd = 'async \\\n \\\n \\\n \\\n \\\n \\\n \\\ndef name(a):\n    """Reads a."""\n'
     assert [(n, line) for n, line, *_ in doc_pairs.pairs("a.py", odd, True)] == [("name", 8)]
+
+
+def test_credentials_of_any_length_and_over_cuts():
+    s = secrets.Scanner()
+    long = "Zq7" + "k3J9w" * 200
+    for text in (f"postgres://{'u' * 300}:{long}@db.x.example/a", f"url = 'https://svc:{long}@host.example'", f"password = '{long}'", f"token: {long}\n"):
+        (spans,) = s.scan([text])
+        assert [text[a:b] for a, b, _ in spans] == [long], text[:40]
+    for gap in ("\n", "\n" * 9, " \n\t\n" * 7):
+        for before in range(secrets.CHUNK - 40, secrets.CHUNK + 12, 4):
+            text = "x" * 60 + "\n" + "y" * (before - 61) + f"\npassword ={gap}({gap}\"k3J9wQ7z!\")\n" + "z = 1\n" * 900
+            (spans,) = s.scan([text])
+            assert [text[a:b] for a, b, _ in spans] == ["k3J9wQ7z!"], (gap, before)
+    line = "a" * 9_000 + ' password="k3J9wQ7z!"\n'
+    assert len(s.scan([line * 3])[0]) == 3
