@@ -5,15 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Word lists and patterns that results depend on.
-FRONTEND_WORDS = "component, button, form, input, page, screen, view, modal, dialog, popup, menu, navigation, navbar, sidebar, header, footer, layout, template, react, jsx, tsx, hook, usestate, useeffect, usememo, props, render, virtual dom, css, style, styled, tailwind, bootstrap, theme, color, font, responsive, click, hover, scroll, animation, transition, display, show, hide, toggle, redux, zustand, context, state management, route, router, redirect, link, ui, ux, interface, user interface, frontend"
-BACKEND_WORDS = "api, endpoint, rest, graphql, http, request, response, get, post, put, delete, patch, database, db, query, model, table, schema, migration, orm, sql, nosql, postgres, mysql, mongo, django, view, viewset, serializer, queryset, admin, middleware, fastapi, pydantic, depends, dependency, backend, server, service, controller, repository, business logic, validation, authentication, authorization, permission, jwt, token, session, process, calculate, transform, aggregate, filter, pagination, cache, redis"
-HYBRID_WORDS = "как работает, поток данных, full flow, end to end, complete process, integration, connect, связь, from ui to database, from frontend to backend, whole system, entire flow"
-UI_WORDS = "ui, view, frontend, button, form, component, template, html, css, react, vue, angular, page, screen, widget, render, display, show"
-DATA_LINK_WORDS = "database, model, data, api, backend, server"
-DATA_WORDS = "database, model, table, schema, migration, orm, django model, sqlalchemy, entity, repository, dao"
-UI_USE_WORDS = "used, displayed, shown, view, frontend, ui"
-IDENTIFIER_STOPWORDS = ("self", "cls", "true", "false", "none", "null", "undefined")
+from quarryline.functions.fixed_values import BACKEND_WORDS, CODE_WORDS, DATA_LINK_WORDS, DATA_WORDS, DIAGRAM_WORDS, DOCUMENT_TYPES, DOCUMENT_WORDS, FRONTEND_WORDS, HYBRID_WORDS, IDENTIFIER_STOPWORDS, UI_USE_WORDS, UI_WORDS, VISUAL_WORDS
+
+# Patterns that results depend on.
 SNAKE = r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b"
 CAMEL = r"\b(?:[a-z]+(?:[A-Z][a-z0-9]+)+|[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b"
 CONSTANT = r"\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b"
@@ -26,37 +20,22 @@ TASK_PATTERNS = {
     "search": ["как (искать|найти)", "how (to|do i) search", "(поиск|фильтр)"],
     "navigate": ["как (попасть|перейти|зайти)", "где (находится|расположен)", "how (to|do i) (get to|navigate|go to)", "where is"],
 }
-DOCUMENT_WORDS = "документ, регламент, правил, инструкц, политик, document, regulation, policy, guideline"
-CODE_WORDS = "код, функци, класс, компонент, api, реализ, code, function, class, component, implement, how does"
-VISUAL_WORDS = "покажи, экран, кнопк, форм, ui, интерфейс, show, screen, button, form, interface, click"
-DIAGRAM_WORDS = [
-    ("sequence", "flow, поток, trace, трейс, journey"),
-    ("component", "architecture, архитектура, structure, структура, depends"),
-    ("er", "model, модел, data, данн, schema, схема"),
-    ("flow", "logic, логик, algorithm, алгоритм, decision"),
-]
 STRUCTURAL_ANY_CASE = [
     r"\bсколько\b|\bколичество\b", r"\b(?:how\s+many|count|number\s+of|total)\b", r"\b(?:наследу|подклас|базовый\s+класс|родитель)", r"\b(?:inherits?|extends?|subclass|parent\s+class|derived\s+from)\b",
     r"\b(?:вызывает|использует|связан|зависит|импортирует|рендерит)", r"\b(?:calls?|uses?|invokes?|imports?|renders?|depends?\s+on)\b", r"/(?:api|backend|v\d+)/[\w\-/{}<>:?]+", r"\b(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+/",
 ]
 STRUCTURAL_EXACT = [r"\b(?:Endpoint|Component|Model|Route|ApiCall|Function|Method|Class)s?\b", r"\b[A-Z][a-z]+[A-Z][A-Za-z0-9]*\b"]
-DOCUMENT_TYPES = [("Instruction", ("инструкц", "instruction")), ("SOP", ("соп", "sop")), ("Policy", ("политик", "policy")), ("Manual", ("руководств", "manual")), ("Procedure", ("процедур", "procedure"))]
 TRACE_PREFIXES = ("/app/", "/src/", "/code/", "app/", "src/", "code/", "./", "../")
 
 
-def words(text: str) -> list[str]:
-    """The terms of a comma-separated list."""
-    return sorted({t.strip() for t in text.split(",")})
-
-
-def _any(text: Column, terms: list[str]) -> Column:
+def _any(text: Column, terms: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for t in terms:
         out = out | text.contains(t)
     return out
 
 
-def count_words(text: Column, terms: list[str]) -> Column:
+def count_words(text: Column, terms: tuple[str, ...]) -> Column:
     """How many of the terms occur in the lower-cased text, as substrings."""
     lower = F.lower(text)
     return F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(lower, t)))
@@ -125,15 +104,15 @@ def snake_to_camel(word: Column) -> Column:
 def detect_strategy(question: Column) -> Column:
     q = F.lower(question)
     return (
-        F.when(_any(q, words(DATA_WORDS)) & _any(q, words(UI_USE_WORDS)), "database_to_ui")
-        .when(_any(q, words(UI_WORDS)) & _any(q, words(DATA_LINK_WORDS)), "ui_to_database")
+        F.when(_any(q, DATA_WORDS) & _any(q, UI_USE_WORDS), "database_to_ui")
+        .when(_any(q, UI_WORDS) & _any(q, DATA_LINK_WORDS), "ui_to_database")
         .otherwise("semantic_only")
     )
 
 
 def detect_scope(question: Column) -> Column:
     """struct(scope, confidence) by keyword counts."""
-    h, f, b = (count_words(question, words(w)) for w in (HYBRID_WORDS, FRONTEND_WORDS, BACKEND_WORDS))
+    h, f, b = (count_words(question, w) for w in (HYBRID_WORDS, FRONTEND_WORDS, BACKEND_WORDS))
     scope = F.when(h > 0, "hybrid").when((f > 0) & (b > 0), "hybrid").when(f > b, "frontend").when(b > f, "backend").otherwise("unknown")
     confidence = (
         F.when(h > 0, 0.9)
@@ -155,7 +134,7 @@ def detect_task(question: Column) -> Column:
 
 def classify_question(question: Column) -> Column:
     """struct(kind, confidence): code, document, visual or hybrid."""
-    d, c, v = (count_words(question, words(w)) for w in (DOCUMENT_WORDS, CODE_WORDS, VISUAL_WORDS))
+    d, c, v = (count_words(question, w) for w in (DOCUMENT_WORDS, CODE_WORDS, VISUAL_WORDS))
     several = (d > 0).cast("int") + (c > 0).cast("int") + (v > 0).cast("int") >= 2
     kind = F.when(several, "hybrid").when((c >= d) & (c >= v), "code").when(d > v, "document").otherwise("visual")
     return F.struct(kind.alias("kind"), F.when(several, 0.7).otherwise(0.6).alias("confidence"))
@@ -164,7 +143,7 @@ def classify_question(question: Column) -> Column:
 def diagram_type(question: Column) -> Column:
     q, out = F.lower(question), None
     for kind, terms in DIAGRAM_WORDS:
-        hit = _any(q, words(terms))
+        hit = _any(q, terms)
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
     return out.otherwise("sequence")
 

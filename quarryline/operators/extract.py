@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.fixed_values import DJANGO_MARKS, FASTAPI_MARKS
+
 ENTITY = "entity_kind string, name string, parent string, signature string, docstring string, start_line int, end_line int, decorators array<string>, bases array<string>, calls array<string>, params array<string>, returns string, is_async boolean, extra string"
 _FIELDS = [x.strip().rsplit(" ", 1)[0] for x in ENTITY.split(", ")]
 HTTP_VERBS = ("get", "post", "put", "patch", "delete", "head", "options", "trace")
@@ -19,6 +21,7 @@ VIEW_BASES = {
     "ListAPIView": ["GET"], "RetrieveAPIView": ["GET"], "CreateAPIView": ["POST"], "DestroyAPIView": ["DELETE"], "UpdateAPIView": ["PUT", "PATCH"], "ListCreateAPIView": ["GET", "POST"],
     "RetrieveUpdateAPIView": ["GET", "PUT", "PATCH"], "RetrieveDestroyAPIView": ["GET", "DELETE"], "RetrieveUpdateDestroyAPIView": ["GET", "PUT", "PATCH", "DELETE"],
     "ModelViewSet": ["GET", "POST", "PUT", "PATCH", "DELETE"], "ReadOnlyModelViewSet": ["GET"],
+    "GenericViewSet": ["GET", "POST", "PUT", "PATCH", "DELETE"], "ViewSet": ["GET", "POST", "PUT", "PATCH", "DELETE"],
 }
 RELATIONS = {"ForeignKey": "FOREIGN_KEY", "ManyToManyField": "MANY_TO_MANY", "OneToOneField": "ONE_TO_ONE"}
 
@@ -213,9 +216,8 @@ def extract_entities(files: DataFrame, key: str = "entity_id", path: str = "file
 
 
 def framework_vote(text, chars: int | None = None):
-    """Column: django or fastapi by marks in the text (the reference looks at its first ``chars`` = 5 000), else python."""
+    """Column: django or fastapi by the marks in the text (in its first ``chars``, if given), else python."""
     head = text if chars is None else F.substring(text, 1, chars)
     count = lambda marks: sum((F.when(head.contains(m), 1).otherwise(0) for m in marks), F.lit(0))
-    d = count(("from django", "import django", "models.Model", "django.db", "rest_framework", "urlpatterns"))
-    f = count(("from fastapi", "import fastapi", "FastAPI(", "APIRouter", "pydantic", "BaseModel"))
+    d, f = count(DJANGO_MARKS), count(FASTAPI_MARKS)
     return F.when((d >= 2) & (d > f), "django").when(f >= 2, "fastapi").otherwise("python")

@@ -6,14 +6,12 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import code_text as ct
 from quarryline.functions import expansion
+from quarryline.functions import fixed_values as fixed
 from quarryline.operators import lines, retrieval
-from quarryline.plans.fixtures import GREP_TOKENS, QUESTIONS
+from quarryline.plans.fixtures import GREP_TOKENS
 from quarryline.session import cut_lineage, table
-from quarryline.sources.files import IGNORED, code_files, ignore_regex, ignored
-
-
-def _questions(spark):
-    return spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id int, query string")
+from quarryline.functions.fixed_values import IGNORED
+from quarryline.sources.files import code_files, ignore_regex, ignored
 
 
 def _documents(spark, d):
@@ -47,8 +45,7 @@ def sub_chunks(spark, d):
 
 
 def bm25_top(spark, d):
-    scores = retrieval.bm25(_documents(spark, d), "doc_id", "text", _questions(spark)).withColumn("bm25", F.round("bm25", 6))
-    return retrieval.top_k(scores, "doc_id", "bm25", 20)
+    return retrieval.bm25_top_k(_documents(spark, d), "doc_id", "text", _logged_questions(spark, d), 20)
 
 
 def _vector_queries(spark, d):
@@ -89,14 +86,16 @@ def rank_fusion(spark, d):
 
 def diversified(spark, d):
     """The best 80 hits of each question, at most two of a repository and two of a source."""
-    best = retrieval.top_k(retrieval.bm25(_documents(spark, d), "doc_id", "text", _questions(spark)).withColumn("bm25", F.round("bm25", 6)), "doc_id", "bm25", 80)
+    best = retrieval.bm25_top_k(_documents(spark, d), "doc_id", "text", _logged_questions(spark, d), 80)
     rows = cut_lineage(best.join(_documents(spark, d).select("doc_id", "repository", "source"), "doc_id"))
     return retrieval.diversity_caps(rows, "query_id", "rank", "repository", "source", 2, 2).select("query_id", "doc_id", "rank", "repository", "source")
 
 
 def rerank_top(spark, d):
-    docs = _documents(spark, d).where("text is not null").crossJoin(F.broadcast(_questions(spark)))
-    rows = docs.select("query_id", "query", "doc_id", "text")
+    """The best 50 documents of each question by BM25, in the order of the reranker."""
+    questions = _logged_questions(spark, d)
+    best = retrieval.bm25_top_k(_documents(spark, d), "doc_id", "text", questions, 50)
+    rows = best.join(questions, "query_id").join(_documents(spark, d).select("doc_id", "text"), "doc_id")
     return retrieval.rerank(rows, F.col("query"), "text", "doc_id", 20).select("query_id", "doc_id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
@@ -184,20 +183,20 @@ def _q(text):
     return "'" + text.replace("'", "''") + "'"
 
 
-_QUERIES_SQL = "queries AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {_q(x)})" for i, x in enumerate(QUESTIONS)) + ") t(query_id, query))"
+_QUERIES_SQL = "queries AS (SELECT DISTINCT id AS query_id, question AS query FROM chat_logs WHERE id % 50 = 0 AND question IS NOT NULL)"
 _TOKENS = r"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 _BM25 = f"""{_QUERIES_SQL}, terms AS (SELECT query_id, unnest(list_distinct({_TOKENS.format(x='query')})) AS term FROM queries),
 doc AS (SELECT doc_id, {_TOKENS.format(x='text')} AS toks FROM documents WHERE text IS NOT NULL), corpus AS (SELECT count(*) AS docs, avg(len(toks)) AS mean FROM doc),
 tok AS (SELECT doc_id, len(toks) AS len, unnest(toks) AS term FROM doc), posting AS (SELECT term, doc_id, count(*) AS tf, any_value(len) AS len FROM tok WHERE term IN (SELECT term FROM terms) GROUP BY term, doc_id),
 df AS (SELECT term, count(*) AS df FROM posting GROUP BY term),
-bm AS (SELECT query_id::INTEGER AS query_id, doc_id, sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))) AS bm25 FROM posting JOIN df USING (term) JOIN terms USING (term), corpus GROUP BY 1, 2)"""
+bm AS (SELECT query_id, doc_id, sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))) AS bm25 FROM posting JOIN df USING (term) JOIN terms USING (term), corpus GROUP BY 1, 2)"""
 _COS = "list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY {s} DESC, {k})"
-_BOTH = f"{_BM25}, cs AS (SELECT q.vec_id::INTEGER AS query_id, v.vec_id AS doc_id, {_COS} AS cosine FROM embeddings v, embeddings q WHERE q.vec_id < 5)"
+_BOTH = f"{_BM25}, cs AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, {_COS} AS cosine FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)"
 
 
 def _array(terms):
-    return "[" + ", ".join(_q(t) for t in ct.words(terms)) + "]"
+    return "[" + ", ".join(map(_q, terms)) + "]"
 
 
 def _hits(terms):
@@ -209,7 +208,7 @@ def _task_sql():
 
 
 def _diagram_sql():
-    return "CASE " + " ".join(f"WHEN {_hits(ws)} > 0 THEN {_q(k)}" for k, ws in ct.DIAGRAM_WORDS) + " ELSE 'sequence' END"
+    return "CASE " + " ".join(f"WHEN {_hits(ws)} > 0 THEN {_q(k)}" for k, ws in fixed.DIAGRAM_WORDS) + " ELSE 'sequence' END"
 
 
 _EDGE = r"(?:^|[^\p{L}\p{N}_])"
@@ -247,8 +246,15 @@ ORACLES = {
     "rank_fusion": f"""WITH {_BOTH}, a AS (SELECT * FROM (SELECT query_id, doc_id, {_RANK.format(s='round(bm25, 6)', k='doc_id')} AS r FROM bm) WHERE r <= 50), b AS (SELECT * FROM (SELECT query_id, doc_id, {_RANK.format(s='round(cosine, 6)', k='doc_id')} AS r FROM cs) WHERE r <= 50),
       f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2)
       SELECT * FROM (SELECT *, {_RANK.format(s='score', k='doc_id')}::INTEGER AS rank FROM f) WHERE rank <= 20""",
-    "rerank_top": f"""WITH {_QUERIES_SQL}, s AS (SELECT query_id::INTEGER AS query_id, doc_id, len(list_intersect(list_distinct({_TOKENS.format(x='query')}), list_distinct({_TOKENS.format(x='substr(text, 1, 8000)')}))) / len(list_distinct({_TOKENS.format(x='query')})) AS s0 FROM documents, queries WHERE text IS NOT NULL)
+    "rerank_top": f"""WITH {_BM25}, best AS (SELECT * FROM (SELECT query_id, doc_id, {_RANK.format(s='round(bm25, 6)', k='doc_id')} AS r FROM bm) WHERE r <= 50),
+      s AS (SELECT query_id, doc_id, len(list_intersect(list_distinct({_TOKENS.format(x='query')}), list_distinct({_TOKENS.format(x='text')}))) / len(list_distinct({_TOKENS.format(x='query')})) AS s0 FROM best JOIN queries USING (query_id) JOIN documents USING (doc_id))
       SELECT query_id, doc_id, round(s0::DOUBLE, 6) AS rerank_score, rank FROM (SELECT *, {_RANK.format(s='s0', k='doc_id')}::INTEGER AS rank FROM s) WHERE rank <= 20""",
+    "diversified": f"""WITH RECURSIVE {_BM25}, b AS (SELECT query_id, doc_id, {_RANK.format(s='round(bm25, 6)', k='doc_id')} AS rank FROM bm), best AS (SELECT query_id, doc_id, rank, repository, source FROM b JOIN documents USING (doc_id) WHERE rank <= 80),
+      walk AS (SELECT query_id, 0::BIGINT AS rank, NULL::BIGINT AS doc_id, false AS taken, []::VARCHAR[] AS files, []::VARCHAR[] AS kinds, NULL::VARCHAR AS repository, NULL::VARCHAR AS source FROM (SELECT DISTINCT query_id FROM best)
+        UNION ALL SELECT w.query_id, n.rank, n.doc_id, ok, CASE WHEN ok THEN list_append(w.files, n.f) ELSE w.files END, CASE WHEN ok THEN list_append(w.kinds, n.k) ELSE w.kinds END, n.repository, n.source
+        FROM walk w JOIN (SELECT *, coalesce(repository, '') AS f, coalesce(source, '') AS k FROM best) n ON n.query_id = w.query_id AND n.rank = w.rank + 1,
+        LATERAL (SELECT len(list_filter(w.files, lambda x: x = n.f)) < 2 AND len(list_filter(w.kinds, lambda x: x = n.k)) < 2 AS ok))
+      SELECT query_id, doc_id, rank::INTEGER AS rank, repository, source FROM walk WHERE taken""",
     "exact_copies": "SELECT md5(text) AS digest, min(doc_id) AS first_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "searchable_content": """WITH r AS (SELECT DISTINCT entity_id, name, entity_type, file_path, content FROM search_results),
       t AS (SELECT entity_id, concat_ws(chr(10), 'Name: ' || nullif(name, ''), 'Type: ' || nullif(entity_type, ''), 'File: ' || nullif(file_path, ''), 'Module: ' || nullif(regexp_replace(replace(file_path, '/', '.'), '\\.py$', ''), ''), 'Code: ' || nullif(content, '')) AS x FROM r)
@@ -262,8 +268,8 @@ ORACLES = {
         list_concat(list_concat(regexp_extract_all(question, {_q(ct.TERM_PATTERNS[0])}), regexp_extract_all(question, {_q(ct.TERM_PATTERNS[1])})), regexp_extract_all(question, {_q(ct.TERM_PATTERNS[2])})) AS y FROM a)
       SELECT id, list_sort(list_filter(x, lambda t, i: list_position(x, t) = i)[1:5]) AS found, list_sort(list_distinct(y)) AS terms FROM r""",
     "question_routing": f"""WITH a AS (SELECT DISTINCT id, lower(question) AS q FROM chat_logs WHERE question IS NOT NULL),
-      k AS (SELECT id, q, {_hits(ct.HYBRID_WORDS)} AS h, {_hits(ct.FRONTEND_WORDS)} AS f, {_hits(ct.BACKEND_WORDS)} AS b, {_hits(ct.DOCUMENT_WORDS)} AS dn, {_hits(ct.CODE_WORDS)} AS cn, {_hits(ct.VISUAL_WORDS)} AS vn,
-        {_hits(ct.DATA_WORDS)} AS dw, {_hits(ct.UI_USE_WORDS)} AS uu, {_hits(ct.UI_WORDS)} AS uw, {_hits(ct.DATA_LINK_WORDS)} AS dl FROM a)
+      k AS (SELECT id, q, {_hits(fixed.HYBRID_WORDS)} AS h, {_hits(fixed.FRONTEND_WORDS)} AS f, {_hits(fixed.BACKEND_WORDS)} AS b, {_hits(fixed.DOCUMENT_WORDS)} AS dn, {_hits(fixed.CODE_WORDS)} AS cn, {_hits(fixed.VISUAL_WORDS)} AS vn,
+        {_hits(fixed.DATA_WORDS)} AS dw, {_hits(fixed.UI_USE_WORDS)} AS uu, {_hits(fixed.UI_WORDS)} AS uw, {_hits(fixed.DATA_LINK_WORDS)} AS dl FROM a)
       SELECT id, CASE WHEN dw > 0 AND uu > 0 THEN 'database_to_ui' WHEN uw > 0 AND dl > 0 THEN 'ui_to_database' ELSE 'semantic_only' END AS strategy,
         CASE WHEN h > 0 OR (f > 0 AND b > 0) THEN 'hybrid' WHEN f > b THEN 'frontend' WHEN b > f THEN 'backend' ELSE 'unknown' END AS scope,
         round((CASE WHEN h > 0 THEN 0.9 WHEN f > 0 AND b > 0 THEN least(0.8, (f + b) / 10) WHEN f > b THEN least(0.9, f / 5) WHEN b > f THEN least(0.9, b / 5) ELSE 0.0 END)::DOUBLE, 6) AS scope_confidence, {_task_sql()} AS task,
@@ -272,10 +278,13 @@ ORACLES = {
     "structural_questions": f"""SELECT DISTINCT id FROM chat_logs WHERE question IS NOT NULL AND (regexp_matches(question, '(?i)\\b(?:how\\s+many|count|number\\s+of|total)\\b|\\b(?:inherits?|extends?|subclass|parent\\s+class|derived\\s+from)\\b|\\b(?:calls?|uses?|invokes?|imports?|renders?|depends?\\s+on)\\b|/(?:api|backend|v\\d+)/[\\p{{L}}\\p{{N}}_\\-/{{}}<>:?]+|\\b(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\\s+/')
       OR regexp_matches(question, '(?i){_EDGE}(?:наследу|подклас|базовый\\s+класс|родитель|вызывает|использует|связан|зависит|импортирует|рендерит)') OR regexp_matches(question, '(?i){_EDGE}(?:сколько|количество)(?:$|[^\\p{{L}}\\p{{N}}_])')
       OR regexp_matches(question, '\\b(?:Endpoint|Component|Model|Route|ApiCall|Function|Method|Class)s?\\b|\\b[A-Z][a-z]+[A-Z][A-Za-z0-9]*\\b'))""",
-    "question_expansions": f"""WITH dict AS (SELECT * FROM (VALUES {', '.join(f"({_q(t)}, {_q(r)}, {str(w).lower()})" for t, r, w in expansion.dictionary())}) t(term, replacement, whole)), q AS (SELECT DISTINCT id, question, lower(question) AS l FROM chat_logs WHERE question IS NOT NULL),
-      v AS (SELECT DISTINCT id, question, replace(l, term, replacement) AS v FROM q JOIN dict ON CASE WHEN whole THEN list_contains(regexp_split_to_array(l, '\\s+'), term) ELSE contains(l, term) END),
-      r AS (SELECT id, v, row_number() OVER (PARTITION BY id, question ORDER BY v) AS pos FROM v WHERE v <> question)
-      SELECT id, 0 AS pos, question AS variant FROM q UNION ALL SELECT id, pos::INTEGER, v FROM r WHERE pos <= 4""",
+    "question_expansions": f"""WITH dict AS (SELECT * FROM (VALUES {', '.join(f"({n}, {_q(t)}, {_q(r)}, {str(w).lower()})" for n, t, r, w in expansion.dictionary())}) t(rank, term, replacement, whole)), q AS (SELECT DISTINCT id, question, lower(question) AS l FROM chat_logs WHERE question IS NOT NULL),
+      w AS (SELECT id, question, i, ws[i] AS w FROM (SELECT id, question, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT id, question, regexp_extract_all(question, '[\\p{{L}}\\p{{N}}_]{{3,}}') AS ws FROM q))),
+      c AS (SELECT id, question, 1000000 + i * 2 AS rank, replace(question, w, lower(regexp_replace(w, '([a-z])([A-Z])', '\\1_\\2', 'g'))) AS v FROM w WHERE regexp_matches(w, '[a-z][A-Z]')
+        UNION ALL SELECT id, question, 1000001 + i * 2, replace(question, w, string_split(w, '_')[1] || array_to_string(list_transform(string_split(w, '_')[2:], lambda p: upper(p[1:1]) || lower(p[2:])), '')) FROM w WHERE contains(w, '_')),
+      v AS (SELECT id, question, -1 AS rank, question AS v FROM q UNION ALL SELECT id, question, rank, replace(l, term, replacement) FROM q JOIN dict ON CASE WHEN whole THEN list_contains(regexp_split_to_array(l, '\\s+'), term) ELSE contains(l, term) END UNION ALL SELECT id, question, rank, v FROM c),
+      f AS (SELECT id, question, v, min(rank) AS rank FROM v GROUP BY ALL)
+      SELECT id, pos::INTEGER AS pos, v AS variant FROM (SELECT *, row_number() OVER (PARTITION BY id, question ORDER BY rank) - 1 AS pos FROM f) WHERE pos < 5""",
     "case_variants": """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(question, '[A-Za-z_][A-Za-z0-9_]{2,}')) AS word FROM chat_logs WHERE question IS NOT NULL)
       SELECT word, CASE WHEN regexp_matches(word, '[a-z][A-Z]') THEN lower(regexp_replace(word, '([a-z])([A-Z])', '\\1_\\2', 'g')) END AS snake,
         CASE WHEN contains(word, '_') THEN string_split(word, '_')[1] || array_to_string(list_transform(string_split(word, '_')[2:], lambda p: upper(p[1:1]) || lower(p[2:])), '') END AS camel FROM w WHERE regexp_matches(word, '[a-z][A-Z]') OR contains(word, '_')""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import code_text as ct
 from quarryline.operators import extract, tracebacks, usage
 from quarryline.operators.retrieval import first_seen
+from quarryline.functions.fixed_values import DJANGO_MARKS, FASTAPI_MARKS
 from quarryline.session import table
 from quarryline.sources.files import project_profile
 from quarryline.streaming import ingest
@@ -162,8 +163,8 @@ ORACLES = {
       p AS (SELECT traceback_id, list_filter(l, lambda x: regexp_matches(x, 'File "([^"]+)", line (\d+), in (\w+)')) AS fr, list_filter(l, lambda x: x <> '' AND x[1] <> ' ' AND NOT regexp_matches(x, 'File "([^"]+)", line (\d+), in (\w+)') AND (regexp_matches(x, '^[\w.]+:\s*') OR (regexp_matches(x, '^[\w.]+$') AND contains(x, '.')))) AS ex FROM l)
       SELECT traceback_id, len(fr) AS n_frames, coalesce(regexp_extract(ex[-1], '^([\w.]+)', 1), '') AS exception_type, coalesce(regexp_extract(fr[-1], 'in (\w+)', 1), '') AS last_function FROM p""",
     "exception_counts": "SELECT repository, exception_type, count(*) AS n FROM (SELECT DISTINCT traceback_id, repository, exception_type FROM tracebacks) GROUP BY 1, 2",
-    "framework_votes": """WITH f AS (SELECT DISTINCT entity_id, content, substr(content, 1, 5000) AS h FROM search_results WHERE entity_type = 'File' AND file_path LIKE '%.py'),
-      v AS (SELECT entity_id, len(list_filter(['from django', 'import django', 'models.Model', 'django.db', 'rest_framework', 'urlpatterns'], lambda m: contains(h, m))) AS d, len(list_filter(['from fastapi', 'import fastapi', 'FastAPI(', 'APIRouter', 'pydantic', 'BaseModel'], lambda m: contains(h, m))) AS f FROM f)
+    "framework_votes": f"""WITH f AS (SELECT DISTINCT entity_id, content FROM search_results WHERE entity_type = 'File' AND file_path LIKE '%.py'),
+      v AS (SELECT entity_id, len(list_filter({list(DJANGO_MARKS)}, lambda m: contains(content, m))) AS d, len(list_filter({list(FASTAPI_MARKS)}, lambda m: contains(content, m))) AS f FROM f)
       SELECT entity_id, CASE WHEN d >= 2 AND d > f THEN 'django' WHEN f >= 2 THEN 'fastapi' ELSE 'python' END AS framework FROM v""",
     "stream_usage": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT DISTINCT ON (event_id) * FROM events) GROUP BY 1, 2",
     "sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events),

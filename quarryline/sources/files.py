@@ -12,15 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What a repository scan leaves out (a trailing slash marks a directory).
-IGNORED = (
-    "node_modules/ vendor/ venv/ env/ .venv/ __pycache__/ *.pyc .Python pip-log.txt pip-delete-this-directory.txt dist/ build/ .next/ out/ target/ *.egg-info/ .vscode/ .idea/ *.swp *.swo *~ .DS_Store .git/ .svn/ .hg/ "
-    "*.so *.dylib *.dll *.exe *.min.js *.min.css *.bundle.js *.chunk.js *.map package-lock.json yarn.lock poetry.lock Pipfile.lock Cargo.lock *.log logs/ coverage/ .coverage .nyc_output/ .env .env.local .env.*.local "
-    "*.jpg *.jpeg *.png *.gif *.svg *.ico *.pdf *.zip *.tar.gz"
-).split()
+from quarryline.functions.fixed_values import IGNORED, LANGUAGE_OF, SKIPPED_FRAGMENTS
+
 CODE_EXTENSIONS = ("py", "js", "jsx", "ts", "tsx")
-SKIPPED_FRAGMENTS = ("node_modules", "venv", ".venv", "dist", "build", "__pycache__")
-LANGUAGE_OF = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "cs": "csharp", "cpp": "cpp", "c": "c"}
 
 
 def ignore_regex(patterns: list[str] | tuple[str, ...]) -> str:
