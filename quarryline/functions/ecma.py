@@ -242,8 +242,11 @@ class Parser:
                     self.type()
             if self.at("="):
                 self.next()
-                if self.assign(in_for) in ("function", "arrow") and name:
+                begin = self.s
+                value = self.assign(in_for)
+                if value in ("function", "arrow") and name:
                     self.functions.append((name, where))
+                self.on_value(kind, name, where, begin)
             elif in_for and (self.word("of") or self.word("in")):
                 return
             elif not in_for and not self.ambient and (kind == "const" or not simple):
@@ -253,6 +256,9 @@ class Parser:
         if not in_for:
             self.semicolon()
 
+    def on_value(self, kind: str, name: str | None, where: int, begin: int):
+        """Called behind the value, begun at ``begin``, of a declared name."""
+
     def if_(self):
         self.next()
         self.need("(")
@@ -1553,7 +1559,7 @@ _STATEMENTS = {
 }
 
 
-def read(src: str, ts: bool, jsx: bool, members: bool = False) -> tuple[Parser | None, Invalid | None]:
+def read(src: str, ts: bool, jsx: bool, members: bool = False, make: type[Parser] = Parser) -> tuple[Parser | None, Invalid | None]:
     """The parser as far as it came, and the error it ended with; ``members``: the text is the inside of a class.
 
     A text nested beyond the interpreter's usual recursion is read again without that bound (frames of Python functions
@@ -1561,7 +1567,7 @@ def read(src: str, ts: bool, jsx: bool, members: bool = False) -> tuple[Parser |
     """
     p = None
     try:
-        p = Parser(src, ts, jsx)
+        p = make(src, ts, jsx)
         p.class_body() if members else p.program()
         if p.t != END:
             p.fail("after members")
@@ -1574,7 +1580,7 @@ def read(src: str, ts: bool, jsx: bool, members: bool = False) -> tuple[Parser |
             raise
         sys.setrecursionlimit(_NO_BOUND)
         try:
-            return read(src, ts, jsx, members)
+            return read(src, ts, jsx, members, make)
         finally:
             sys.setrecursionlimit(usual)
 

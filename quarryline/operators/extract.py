@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.fixed_values import DJANGO_MARKS, FASTAPI_MARKS
+from quarryline.operators.react import react_rows
 
 ENTITY = "entity_kind string, name string, parent string, signature string, docstring string, start_line int, end_line int, decorators array<string>, bases array<string>, calls array<string>, params array<string>, returns string, is_async boolean, extra string"
 _FIELDS = [x.strip().rsplit(" ", 1)[0] for x in ENTITY.split(", ")]
@@ -164,6 +165,15 @@ _ROUTE = re.compile(r"<Route\b[^>]*?\bpath=[\"'{]+([^\"'}]+)[\"'}]+[^>]*?(?:elem
 
 
 def react_entities(path: str, text: str) -> Iterator[dict]:
+    """Imports, components with props, hooks and handlers, API calls and routes, by the syntax tree.
+
+    A file that isn't valid is read by patterns instead.
+    """
+    rows = react_rows(path, text, _row)
+    yield from rows if rows is not None else _react_by_pattern(path, text)
+
+
+def _react_by_pattern(path: str, text: str) -> Iterator[dict]:
     """Components with props, hooks and handlers, API calls and routes, by pattern; other functions give nothing."""
     starts = [(m.start(1) if m.group(1) else m.start(3), m) for m in _COMPONENT.finditer(text)]
     ends = [s for s, _ in starts[1:]] + [len(text)]

@@ -36,6 +36,15 @@ def delete_repository(rows: DataFrame, repository: str, key: str = "id") -> Data
     return rows.where(~((F.col(key) == root) | F.col(key).startswith(root + ":")))
 
 
+def delete_repository_graph(nodes: DataFrame, edges: DataFrame, repository: str, most: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without the repository's node, all that CONTAINS* reaches from it, all ids below its own, and their edges."""
+    root = nodes.where(F.col("id") == f"repo:{repository}").select("id")
+    below = reach(edges, root, most, ["CONTAINS"]).select("id").unionByName(root)
+    gone = cut_lineage(below.unionByName(nodes.where(F.col("id").startswith(f"repo:{repository}:")).select("id")).distinct())
+    kept = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    return nodes.join(gone, "id", "left_anti"), kept
+
+
 def find_nodes(nodes: DataFrame, type: str | None = None, limit: int | None = 100, **equal) -> DataFrame:
     """Nodes by type and property equalities, in order of id."""
     out = nodes if type is None else nodes.where(F.col("type") == type)
@@ -64,11 +73,26 @@ def neighbours(edges: DataFrame, nodes: DataFrame, starts: DataFrame, types: lis
     return hop.select(F.col("src").alias("start"), F.col("dst").alias("id"), "type").join(nodes.select("id", F.col("type").alias("node_type"), "name"), "id")
 
 
-def siblings(edges: DataFrame, type: str = "CONTAINS") -> DataFrame:
-    """(id, sibling, owner): pairs of different nodes with the same owner, by one self-join on the owner."""
-    a = edges.where(F.col("type") == type).select(F.col("src").alias("owner"), F.col("dst").alias("id"))
+def siblings(edges: DataFrame, type: str = "CONTAINS", starts: DataFrame | None = None, order: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(id, sibling, owner): different nodes with the same owner, of all nodes or of ``starts``.
+
+    With ``order`` (id, pos) and ``most`` only the first ``most`` members of an owner are siblings: the member list is cut
+    before the join, so that an owner of n members gives at most n * most pairs.
+    """
+    a = edges.where(F.col("type") == type).select(F.col("src").alias("owner"), F.col("dst").alias("id")).distinct()
     b = a.select("owner", F.col("id").alias("sibling"))
-    return a.join(b, "owner").where(F.col("id") != F.col("sibling"))
+    if most is not None:
+        placed = b.join(order.select(F.col("id").alias("sibling"), "pos"), "sibling", "left") if order is not None else b.withColumn("pos", F.lit(None).cast("string"))
+        w = Window.partitionBy("owner").orderBy(F.col("pos").asc_nulls_last(), "sibling")
+        # One more than asked for: a start doesn't count as its own sibling.
+        b = placed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most + 1).select("owner", "sibling", "_r")
+    if starts is not None:
+        a = a.join(starts.select("id").distinct(), "id", "left_semi")
+    pairs = a.join(b, "owner").where(F.col("id") != F.col("sibling"))
+    if most is None:
+        return pairs.select("owner", "id", "sibling")
+    w = Window.partitionBy("owner", "id").orderBy("_r")
+    return pairs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select("owner", "id", "sibling")
 
 
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -130,6 +154,43 @@ def shortest_path_lengths(edges: DataFrame, starts: DataFrame, targets: DataFram
     return reach(edges, starts, most, direction=direction).join(targets.select("id").distinct(), "id", "left_semi")
 
 
+def related(edges: DataFrame, nodes: DataFrame, starts: DataFrame, most: int, types: list[str] | None = None, direction: str = "out", limit: int = 100) -> DataFrame:
+    """(start, id, name, rel_types, distance): of each start the nodes within ``most`` hops, once for each sequence of edge types.
+
+    At most ``limit`` of a start, by distance, name and id; starts themselves are left out.
+    """
+    found = paths(edges, starts, most, types, direction).select("start", "id", F.col("types").alias("rel_types"), F.col("length").alias("distance")).where("start <> id").distinct()
+    named = found.join(nodes.select("id", "name"), "id")
+    w = Window.partitionBy("start").orderBy("distance", "name", "id", F.array_join("rel_types", ">"))
+    return named.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
+
+
+def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, most: int, direction: str = "both") -> DataFrame:
+    """(start, id, nodes, distance): one shortest path of each start to each target within ``most`` hops.
+
+    Breadth first with one predecessor for each (start, node), the least; the path is walked back hop by hop, so that no
+    other path is ever held.
+    """
+    e = oriented(edges, direction).select("src", "dst").distinct()
+    frontier = starts.select(F.col("id").alias("start"), "id").distinct().withColumn("via", F.lit(None).cast("string")).withColumn("distance", F.lit(0))
+    seen = frontier
+    for n in range(1, most + 1):
+        step = frontier.join(e, frontier["id"] == e["src"]).select("start", F.col("dst").alias("id"), F.col("src").alias("via")).join(seen.select("start", "id"), ["start", "id"], "left_anti")
+        frontier = cut_lineage(step.groupBy("start", "id").agg(F.min("via").alias("via")).withColumn("distance", F.lit(n)))
+        if frontier.isEmpty():
+            break
+        seen = cut_lineage(seen.unionByName(frontier))
+    back = seen.join(targets.select("id").distinct(), "id", "left_semi").where("distance > 0")
+    walk = back.select("start", "id", "distance", F.col("via").alias("at"), F.array("id").alias("nodes"))
+    steps = seen.select("start", F.col("id").alias("at"), F.col("via").alias("_via"))
+    done = None
+    for _ in range(most):
+        ended = walk.where("at = start").select("start", "id", F.concat(F.array("start"), "nodes").alias("nodes"), "distance")
+        done = ended if done is None else done.unionByName(ended)
+        walk = walk.where("at <> start").join(steps, ["start", "at"]).select("start", "id", "distance", F.col("_via").alias("at"), F.concat(F.array("at"), "nodes").alias("nodes"))
+    return done
+
+
 def fan_in(found: DataFrame) -> DataFrame:
     """How often each node is the target of a step of the given paths (path occurrences)."""
     return found.select(F.explode(F.slice("nodes", F.lit(2), F.size("nodes") - 1)).alias("id")).groupBy("id").agg(F.count("*").alias("fan_in"))
@@ -189,6 +250,13 @@ def orphan_calls(calls: DataFrame, links: DataFrame) -> DataFrame:
     return calls.join(links.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
 
 
+def orphans_with_owner(calls: DataFrame, links: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int | None = None) -> DataFrame:
+    """(id, method, url, file_path, line, owner): calls without an endpoint, with the component that makes them, by file and line."""
+    made = edges.where("type = 'MAKES_CALL'").select(F.col("dst").alias("id"), F.col("src").alias("_o")).join(nodes.select(F.col("id").alias("_o"), F.col("name").alias("owner")), "_o", "left")
+    rows = orphan_calls(calls, links).join(made.groupBy("id").agg(F.min("owner").alias("owner")), "id", "left").select("id", "method", "url", "file_path", "line", "owner").orderBy("file_path", "line", "id")
+    return rows if limit is None else rows.limit(limit)
+
+
 def include_prefixes(includes: DataFrame, most: int = 12) -> DataFrame:
     """(child, prefix): the URL prefix of each module along its chain of includes (child, parent, prefix).
 

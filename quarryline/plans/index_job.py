@@ -18,6 +18,12 @@ def _column(name: str, kind: str):
     return F.lit(None).cast(kind).alias(name)
 
 
+def dotted_suffixes(path: str):
+    """Column: the module names a Python file can be imported by, from its own name to its whole path."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(path, r"\.py$", ""), "/__init__$", ""), "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "."))
+
+
 class GraphBuild:
     """Nodes and edges of repositories: files (repository, file_path, content).
 
@@ -31,11 +37,39 @@ class GraphBuild:
         e = e.withColumnRenamed("key", "file_id").withColumn("repository", F.split_part("file_id", F.lit(":"), F.lit(2)))
         full = F.when(F.col("parent").isNotNull() & (F.col("entity_kind") == "Method"), F.concat_ws(".", "parent", "name")).otherwise(F.col("name"))
         seq = F.concat_ws("|", "file_path", F.lpad(F.coalesce("start_line", F.lit(0)).cast("string"), 9, "0"))
-        self.entities = cut_lineage(e.withColumn("id", F.concat_ws(":", "file_id", full)).withColumn("seq", seq))
+        found = cut_lineage(e.withColumn("id", F.concat_ws(":", "file_id", full)).withColumn("seq", seq))
+        # A view's own row has no path yet: it keeps apart from the class or function of its name.
+        pathless = (F.col("entity_kind") == "Endpoint") & F.get_json_object("extra", "$.path").isNull()
+        others = found.where((F.col("entity_kind") != "Endpoint") | pathless).withColumn("id", F.when(pathless, F.concat("id", F.lit(":endpoint"))).otherwise(F.col("id")))
         self.files = files
+        self.entities = cut_lineage(others.unionByName(self._wired(found, pathless)))
         self.nodes = self._nodes()
         self.edges = cut_lineage(graph.upsert_edges(self._edges(), self.nodes))
 
+    def _wired(self, found: DataFrame, pathless) -> DataFrame:
+        """Endpoints with a path: the prefixes of the files that include theirs put before it, and their view's method.
+
+        A view with exactly one method gives it to its routes, any other leaves ANY; of several views of one name in a
+        repository the last counts.  A module is the file whose path ends with it.
+        """
+        paths = self.files.where(F.col("file_path").endswith(".py")).select(F.col("file_id").alias("child"), "repository", F.col("file_path").alias("_path"), F.explode(dotted_suffixes("file_path")).alias("module"))
+        includes = found.where("entity_kind = 'Include'").select(F.col("file_id").alias("parent"), "repository", F.col("name").alias("prefix"), F.get_json_object("extra", "$.module").alias("module"))
+        known = includes.join(paths, ["repository", "module"]).groupBy("parent", "repository", "prefix", "module").agg(F.min_by("child", F.struct(F.length("_path"), "_path")).alias("child"))
+        prefixes = graph.include_prefixes(known.where("child <> parent").select("child", "parent", "prefix").distinct())
+        views = found.where(pathless).select("repository", F.col("parent").alias("_view"), F.from_json(F.get_json_object("extra", "$.methods"), "array<string>").alias("_methods"), "seq")
+        views = views.groupBy("repository", "_view").agg(F.max_by("_methods", "seq").alias("_methods"))
+        routes = found.where((F.col("entity_kind") == "Endpoint") & ~pathless)
+        view = F.regexp_replace(F.coalesce(F.get_json_object("extra", "$.view"), F.lit("")), r"\.as_view$", "")
+        routes = routes.withColumn("_view", F.element_at(F.split(view, r"\."), -1)).withColumn("_own", F.upper(F.coalesce(F.get_json_object("extra", "$.method"), F.lit("ANY"))))
+        routes = routes.join(views, ["repository", "_view"], "left").join(prefixes.select(F.col("child").alias("file_id"), F.col("prefix").alias("_prefix")), "file_id", "left")
+        one = F.when((F.col("_own") == "ANY") & (F.size("_methods") == 1), F.col("_methods")[0]).otherwise(F.col("_own"))
+        path = F.concat(F.lit("/"), F.regexp_replace(F.concat(F.coalesce("_prefix", F.lit("")), F.get_json_object("extra", "$.path")), "^[/^]+", ""))
+        routes = routes.withColumn("_method", one).withColumn("_path", path)
+        get = lambda k: F.get_json_object("extra", f"$.{k}").alias(k)
+        extra = F.to_json(F.struct(F.col("_method").alias("method"), F.col("_path").alias("path"), get("view"), get("framework"), get("request_model"), get("response_model"), get("depends")))
+        named = routes.withColumn("extra", extra).withColumn("name", F.concat_ws(" ", "_method", "_path")).withColumn("id", F.concat_ws(":", "file_id", "name"))
+        return named.select(found.columns)
+
     def _kind(self, *kinds: str) -> DataFrame:
         return self.entities.where(F.col("entity_kind").isin(*kinds))
 
@@ -53,7 +87,7 @@ class GraphBuild:
     def api_calls(self) -> DataFrame:
         c = self._kind("Component").select("id", "repository", "file_path", F.from_json(F.get_json_object("extra", "$.api_calls"), _API).alias("_c"))
         rows = c.select(F.col("id").alias("component"), "repository", "file_path", F.posexplode("_c").alias("_i", "_x"))
-        rows = rows.select("component", "repository", "file_path", F.concat(F.col("component"), F.lit("#call"), F.col("_i").cast("string")).alias("id"), F.upper("_x.method").alias("method"), F.col("_x.url").alias("raw_url"), normalize_url(F.col("_x.url")).alias("url"), F.col("_x.line").alias("line"))
+        rows = rows.select("component", "repository", "file_path", F.concat(F.col("component"), F.lit("#call"), F.col("_i").cast("string")).alias("id"), F.upper("_x.method").alias("method"), F.col("_x.url").alias("raw_url"), normalize_url(F.translate("_x.url", "`", "")).alias("url"), F.col("_x.line").alias("line"))
         return rows.where("url <> ''")
 
     def endpoints(self) -> DataFrame:
@@ -84,8 +118,7 @@ class GraphBuild:
         calls = self._kind("Function", "Method").select(F.col("id").alias("src"), "file_id", "repository", F.explode("calls").alias("_c")).select("src", "file_id", "repository", F.element_at(F.split("_c", r"\."), -1).alias("ref")).distinct()
         out.append(edge(self._resolved(calls, functions), "src", "target", "CALLS"))
         # A module name is matched by the dotted suffixes of each Python file's path.
-        parts = F.split(F.regexp_replace(F.regexp_replace("file_path", r"\.py$", ""), "/__init__$", ""), "/")
-        modules = self.files.where(F.col("file_path").endswith(".py")).select(F.col("file_id").alias("id"), "repository", parts.alias("_p"), F.col("file_path").alias("seq")).select("id", "repository", "seq", F.explode(F.transform(F.sequence(F.lit(1), F.size("_p")), lambda n: F.array_join(F.slice("_p", -n, n), "."))).alias("ref"))
+        modules = self.files.where(F.col("file_path").endswith(".py")).select(F.col("file_id").alias("id"), "repository", F.col("file_path").alias("seq"), F.explode(dotted_suffixes("file_path")).alias("ref"))
         named = self._kind("Import").select(F.col("file_id").alias("src"), "repository", F.regexp_replace("name", r"^\.+", "").alias("_m")).select("src", "repository", F.explode(F.array("_m", F.regexp_replace("_m", r"\.[^.]+$", ""))).alias("ref")).where("ref <> ''").distinct()
         found = graph.resolve_first(named, "ref", [(modules, ["ref", "repository"], 0)], ["src"])
         out.append(edge(found.where("src <> target"), "src", "target", "IMPORTS"))
@@ -93,7 +126,7 @@ class GraphBuild:
         out.append(edge(api, "component", "id", "MAKES_CALL"))
         self.links = cut_lineage(graph.link_calls(api.select("id", "method", "url"), ends.select("id", "method", "path")))
         out.append(self.links.select("src", "dst", F.lit("CALLS_ENDPOINT").alias("type")))
-        handlers = ends.select(F.col("id").alias("src"), "file_id", "repository", F.element_at(F.split(F.coalesce("view", "parent"), r"\."), -1).alias("ref")).where("ref is not null")
+        handlers = ends.select(F.col("id").alias("src"), "file_id", "repository", F.element_at(F.split(F.regexp_replace(F.coalesce("view", "parent"), r"\.as_view$", ""), r"\."), -1).alias("ref")).where("ref is not null")
         views = functions.unionByName(classes)
         handled = self._resolved(handlers, views)
         out.append(edge(handled, "src", "target", "HANDLES_REQUEST"))
@@ -117,12 +150,37 @@ class GraphBuild:
         pieces = cut_lineage(lines.sub_chunks(code.select("id", text.alias("content")), "id", "content"))
         return pieces.join(retrieval.hash_embeddings(pieces, "chunk_id", "chunk", dimension), "chunk_id")
 
+    def code_of(self, most: int = 0) -> DataFrame:
+        """(id, code): the lines of each node in its file, cut to ``most`` characters where that isn't 0."""
+        n = self.nodes.where("start_line is not null").select("id", "repository", "file_path", "start_line", "end_line")
+        code = lines.slice_lines(F.col("content"), F.col("start_line"), F.coalesce("end_line", F.lit(0)))
+        return n.join(self.files.select("repository", "file_path", "content"), ["repository", "file_path"]).select("id", (F.substring(code, 1, most) if most else code).alias("code"))
+
     def stats(self) -> DataFrame:
         n = self.nodes.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), "type", "n")
         return n.unionByName(self.edges.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), "type", "n"))
 
-    def write(self, folder: str) -> None:
-        """Nodes and edges by type, chunks; an existing index is replaced."""
+    def write(self, folder: str, mode: str = "full") -> None:
+        """Writes an index: ``full`` nodes, edges and chunks; ``graph`` nodes and edges; ``links`` the API links alone.
+
+        Tables of the mode replace existing ones, the others stay.
+        """
+        if mode not in ("full", "graph", "links"):
+            raise ValueError(f"unknown mode {mode!r}")
+        if mode == "links":
+            self.links.write.mode("overwrite").parquet(f"{folder}/links")
+            return
         self.nodes.write.mode("overwrite").partitionBy("type").parquet(f"{folder}/nodes")
         self.edges.write.mode("overwrite").partitionBy("type").parquet(f"{folder}/edges")
-        self.chunks().write.mode("overwrite").parquet(f"{folder}/chunks")
+        if mode == "full":
+            self.chunks().write.mode("overwrite").parquet(f"{folder}/chunks")
+
+
+def clear_index(spark, folder: str, *tables: str) -> None:
+    """Empties the named tables of an index (all of them if none is named); their schemas stay."""
+    for name in tables or ("nodes", "edges", "chunks", "links"):
+        path = f"{folder}/{name}"
+        jvm = spark.sparkContext._jvm
+        if jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm.org.apache.hadoop.fs.Path(path)):
+            rows = spark.read.parquet(path)
+            spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(path)

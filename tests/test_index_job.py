@@ -1,3 +1,4 @@
+from quarryline.operators import graph
 from quarryline.plans.index_job import GraphBuild
 
 FILES = {
@@ -27,3 +28,29 @@ def test_two_tier_repository(spark, tmp_path):
     g.write(str(tmp_path / "index"))
     back = spark.read.parquet(str(tmp_path / "index" / "chunks"))
     assert back.count() == g.nodes.where("type not in ('File', 'Repository')").count() and len(back.first().embedding) == 64
+
+
+WIRED = {
+    "app/views.py": "from rest_framework.views import APIView\nfrom rest_framework.viewsets import GenericViewSet\n\nclass UserView(APIView):\n    def get(self, request):\n        return 1\n\nclass ItemView(APIView):\n    def get(self, request):\n        return 1\n    def post(self, request):\n        return 2\n\nclass SetView(GenericViewSet):\n    pass\n",
+    "app/urls.py": "from django.urls import path\nfrom app.views import UserView, ItemView\nurlpatterns = [path('users/', UserView.as_view()), path('items/<int:pk>/', ItemView.as_view())]\n",
+    "project/urls.py": "from django.urls import path, include\nurlpatterns = [path('api/v1/', include('app.urls'))]\n",
+    "web/Users.jsx": "import React from 'react';\nconst BASE = '/api/v1';\nconst LIST = BASE + '/users/';\nexport function Users() {\n  fetch(LIST);\n  api.post(`/api/v1/items/${id}/`);\n  axios({ url: '/api/v1/nothing', method: 'delete' });\n  return <ul/>;\n}\n",
+}
+
+
+def test_endpoints_are_wired(spark):
+    g = GraphBuild(spark.createDataFrame([("demo", p, t) for p, t in WIRED.items()], "repository string, file_path string, content string"))
+    ends = {(r.method, r.path) for r in g.endpoints().collect()}
+    assert ("GET", "/api/v1/users") in ends and any(m == "ANY" and p.startswith("/api/v1/items/") for m, p in ends)
+    nodes = {(r.type, r.id.rpartition("demo:")[2]) for r in g.nodes.collect()}
+    assert {("Class", "app/views.py:UserView"), ("Class", "app/views.py:SetView"), ("Component", "web/Users.jsx:Users")} <= nodes
+    edges = {(r.src.rpartition("demo:")[2], r.type, r.dst.rpartition("demo:")[2]) for r in g.edges.collect()}
+    assert ("web/Users.jsx:Users#call0", "CALLS_ENDPOINT", "app/urls.py:GET /api/v1/users/") in edges
+    assert ("app/urls.py:GET /api/v1/users/", "HANDLES_REQUEST", "app/views.py:UserView") in edges
+    assert {s for s, t, _ in edges if t == "CALLS_ENDPOINT"} == {"web/Users.jsx:Users#call0", "web/Users.jsx:Users#call1"}
+    lost = graph.orphans_with_owner(g.api_calls(), g.links, g.edges, g.nodes, 5).collect()
+    assert [(r.method, r.url, r.owner) for r in lost] == [("DELETE", "/api/v1/nothing", "Users")]
+    rows, kept = graph.delete_repository_graph(g.nodes, g.edges, "demo")
+    assert rows.count() == 0 and kept.count() == 0
+    code = {r.id.rpartition("demo:")[2]: r.code for r in g.code_of(10).collect()}
+    assert code["app/views.py:UserView"] == "class User"

@@ -187,4 +187,4 @@ def test_expansion(spark):
     from quarryline.functions.expansion import expand
 
     got = [r.variant for r in expand(texts(spark, "delete via api", None), "id", "text", most=3).orderBy("pos").collect()]
-    assert got == ["delete via api", "delete via application programming interface", "destroy via api"]
+    assert got == ["delete via api", "remove via api", "destroy via api"]
