@@ -62,3 +62,16 @@ def match_frames(frames: DataFrame, files: DataFrame, key: str) -> DataFrame:
     hit = frames.withColumn("_suffix", trace_path(F.col("file_path"))).join(by_suffix, "_suffix")
     w = Window.partitionBy(key, "pos").orderBy("file_id")
     return hit.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(key, "pos", "file_id")
+
+
+def match_functions(frames: DataFrame, nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """``frames`` (key, pos, file_id, function_name) with ``entity_id``: the function of that name in the file, else the
+    method of a class in it; the first by id."""
+    inside = edges.where("type = 'CONTAINS'").select("src", "dst")
+    named = nodes.where(F.col("type").isin("Function", "Method")).select(F.col("id").alias("dst"), F.col("name").alias("function_name"))
+    direct = inside.join(named, "dst").select(F.col("src").alias("file_id"), "function_name", F.col("dst").alias("entity_id"), F.lit(0).alias("_level"))
+    classes = nodes.where(F.col("type").isin("Class", "Model")).select(F.col("id").alias("_c"))
+    owners = inside.join(classes, F.col("dst") == F.col("_c")).select(F.col("src").alias("file_id"), "_c")
+    methods = direct.select(F.col("file_id").alias("_c"), "function_name", "entity_id").join(owners, "_c").select("file_id", "function_name", "entity_id", F.lit(1).alias("_level"))
+    best = direct.unionByName(methods).groupBy("file_id", "function_name").agg(F.min(F.struct("_level", "entity_id")).alias("_b"))
+    return frames.join(best.select("file_id", "function_name", F.col("_b.entity_id").alias("entity_id")), ["file_id", "function_name"], "left")

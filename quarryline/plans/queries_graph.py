@@ -61,8 +61,10 @@ def upsert_edges(spark, d):
 
 
 def upsert_nodes(spark, d):
-    rows = table(spark, d, "search_results").select(F.col("entity_id").alias("id"), F.col("entity_type").alias("type"), "score", "indexed_at")
-    return first_seen(rows, ["id"], [F.col("indexed_at").desc_nulls_last(), F.col("score").desc_nulls_last()])
+    """Three versions of the nodes, the later of which replace some of the first."""
+    rows = table(spark, d, "search_results").select(F.col("entity_id").alias("id"), F.col("entity_type").alias("type")).distinct()
+    some = rows.where("type in ('Function', 'Class')")
+    return graph.upsert_nodes(rows.withColumn("version", F.lit("first")), some.withColumn("version", F.lit("second")), some.where("type = 'Class'").withColumn("version", F.lit("third")))
 
 
 def delete_repository(spark, d):
@@ -136,8 +138,11 @@ def _functions(spark, d):
 
 
 def _frames(spark, d):
-    rows = table(spark, d, "tracebacks").select("traceback_id", "repository", F.posexplode("frames").alias("pos", "f"))
-    return rows.select("traceback_id", "repository", "pos", "f.*").dropDuplicates(["traceback_id", "pos"])
+    """The frames of all tracebacks, and one of every file and function as a traceback would name it."""
+    rows = table(spark, d, "tracebacks").select(F.col("traceback_id").cast("string").alias("traceback_id"), "repository", F.posexplode("frames").alias("pos", "f"))
+    own = table(spark, d, "search_results").where(F.col("entity_type").isin("Function", "Method", "File"))
+    own = own.select(F.col("entity_id").alias("traceback_id"), repository_name(F.col("entity_id")).alias("repository"), F.lit(0).alias("pos"), F.concat(F.lit("/app/"), "file_path").alias("file_path"), F.col("name").alias("function_name")).distinct()
+    return rows.select("traceback_id", "repository", "pos", "f.file_path", "f.function_name").dropDuplicates(["traceback_id", "pos"]).unionByName(own)
 
 
 def resolve_frames(spark, d):
@@ -182,7 +187,7 @@ ends AS (SELECT entity_id, upper(regexp_extract(raw, '\.(\w+)\(', 1)) AS method,
   FROM (SELECT entity_id, unnest(list_distinct(regexp_extract_all(content, '@(?:app|router)\.(?:get|post|put|patch|delete)\("[^"]+"', 0))) AS raw FROM texts)),
 c AS (SELECT url, count(*) AS calls FROM calls GROUP BY url), e AS (SELECT path, method, count(*) AS endpoints FROM ends GROUP BY path, method)
 """
-_SQL_FRAMES = "frames AS (SELECT DISTINCT traceback_id, repository, i - 1 AS pos, frames[i].file_path AS file_path, frames[i].function_name AS function_name FROM (SELECT traceback_id, repository, frames, unnest(range(1, len(frames) + 1)) AS i FROM tracebacks))"
+_SQL_FRAMES = "frames AS (SELECT DISTINCT traceback_id::VARCHAR AS traceback_id, repository, i - 1 AS pos, frames[i].file_path AS file_path, frames[i].function_name AS function_name FROM (SELECT traceback_id, repository, frames, unnest(range(1, len(frames) + 1)) AS i FROM tracebacks) UNION ALL SELECT DISTINCT entity_id, split_part(entity_id, ':', 2), 0, '/app/' || file_path, name FROM search_results WHERE entity_type IN ('Function', 'Method', 'File'))"
 _PARTS = """CASE WHEN len(list_filter(string_split(p, '/'), lambda x: x <> '')) > 3 THEN array_to_string(list_filter(string_split(p, '/'), lambda x: x <> '')[-3:], '/') ELSE p END"""
 
 QUERIES = {
@@ -206,7 +211,7 @@ ORACLES = {
     "upsert_edges": """WITH ids AS (SELECT 'log:' || id AS id FROM chat_logs UNION SELECT 'user:' || user_id FROM users),
       e AS (SELECT 'user:' || user_id AS src, 'log:' || id AS dst, 'ASKED' AS type FROM chat_logs UNION SELECT 'user:' || user_id, 'log:' || log_id, 'RATED' FROM feedback)
       SELECT DISTINCT * FROM e WHERE src IN (SELECT id FROM ids WHERE id IS NOT NULL) AND dst IN (SELECT id FROM ids WHERE id IS NOT NULL)""",
-    "upsert_nodes": "SELECT id, type, score, indexed_at FROM (SELECT entity_id AS id, entity_type AS type, score, indexed_at, row_number() OVER (PARTITION BY entity_id ORDER BY indexed_at DESC NULLS LAST, score DESC NULLS LAST) AS r FROM search_results) WHERE r = 1",
+    "upsert_nodes": "SELECT DISTINCT entity_id AS id, entity_type AS type, CASE entity_type WHEN 'Class' THEN 'third' WHEN 'Function' THEN 'second' ELSE 'first' END AS version FROM search_results",
     "delete_repository": "SELECT split_part(entity_id, ':', 2) AS repository, count(*) AS n FROM search_results WHERE split_part(entity_id, ':', 2) <> 'russet-ledger' GROUP BY 1",
     "reach_out": f"""{_WITH}, w AS (SELECT id AS start, id, 0 AS distance FROM nodes WHERE type = 'Repository'
       UNION SELECT w.start, e.dst, w.distance + 1 FROM w JOIN edges e ON e.src = w.id AND e.type IN ('CONTAINS', 'CALLS') WHERE w.distance < 3)

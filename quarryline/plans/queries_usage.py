@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,7 +10,7 @@ from quarryline.functions import code_text as ct
 from quarryline.operators import extract, tracebacks, usage
 from quarryline.operators.retrieval import first_seen
 from quarryline.functions.fixed_values import DJANGO_MARKS, FASTAPI_MARKS
-from quarryline.session import table
+from quarryline.session import shared_folder, table
 from quarryline.sources.files import project_profile
 from quarryline.streaming import ingest
 
@@ -48,7 +48,10 @@ def user_history(spark, d):
 
 
 def one_history(spark, d):
-    return usage.history(_logs(spark, d), 7).select("id", "question_type", "created_at")
+    """The history of the user with the most logs."""
+    logs = _logs(spark, d)
+    most = logs.where("user_id is not null").groupBy("user_id").count().orderBy(F.col("count").desc(), "user_id").first()
+    return usage.history(logs, most.user_id if most else -1).select("id", "question_type", "created_at")
 
 
 def user_upserts(spark, d):
@@ -116,17 +119,14 @@ def _events_stream(spark, d):
     return ingest.file_stream(spark, d, table(spark, d, "events").schema, glob="events.parquet")
 
 
-def _drained(spark, stream, name, mode):
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarryline-")
-    query = ingest.run_once(stream, name, f"{folder}/{name}-{abs(hash(stream))}", mode)
-    query.awaitTermination()
-    return spark.table(name)
+def _drained(spark, stream, mode):
+    return ingest.run_once(stream, f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}", mode)
 
 
 def stream_usage(spark, d):
     """Daily counts and sums of a stream, drained into a table."""
     agg = ingest.windowed_usage(ingest.deduplicated(_events_stream(spark, d), ["event_id"], "ts"), "ts", "event_type", "value", lateness=None)
-    return _drained(spark, agg.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total")), "quarryline_stream_usage", "complete")
+    return _drained(spark, agg.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total")), "complete")
 
 
 def sessions(spark, d):
@@ -148,7 +148,7 @@ ORACLES = {
     "usage_last_week": f"WITH {_LOGS}, m AS (SELECT max(created_at) AS last FROM logs) SELECT question_type, count(*) AS n, count(DISTINCT user_id) AS users FROM logs, m WHERE created_at > last - INTERVAL 7 DAY GROUP BY 1",
     "active_roles": f"WITH {_LATEST_USERS} SELECT lower(trim(role)) AS role, count(*) AS n FROM u WHERE is_active = 1 GROUP BY 1",
     "user_history": f"WITH {_LOGS} SELECT user_id, id, question_type, created_at, recency::INTEGER AS recency FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC NULLS LAST, id DESC) AS recency FROM logs WHERE user_id IS NOT NULL) WHERE recency <= 3",
-    "one_history": f"WITH {_LOGS} SELECT id, question_type, created_at FROM logs WHERE user_id = 7 ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 50",
+    "one_history": f"WITH {_LOGS} SELECT id, question_type, created_at FROM logs WHERE user_id = (SELECT user_id FROM logs WHERE user_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 1) ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 50",
     "user_upserts": f"""WITH {_LOGS}, {_LATEST_USERS}, s AS (SELECT user_id, max(created_at) AS seen, min(created_at) AS first FROM logs WHERE user_id IS NOT NULL GROUP BY 1)
       SELECT user_id, coalesce(u.created_at, s.first) AS created_at, greatest(u.last_seen_at, s.seen) AS last_seen_at FROM u FULL JOIN s USING (user_id)""",
     "interaction_counters": f"WITH {_LOGS} SELECT user_id, count(*) AS total_queries, max(created_at) AS last_seen_at FROM logs WHERE user_id IS NOT NULL GROUP BY 1",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -13,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions.fixed_values import IGNORED, LANGUAGE_OF, SKIPPED_FRAGMENTS
+from quarryline.functions.code_text import document_type
+from quarryline.operators import lines
+from quarryline.sources.git import ignore_patterns
 
 CODE_EXTENSIONS = ("py", "js", "jsx", "ts", "tsx")
 
@@ -44,8 +48,13 @@ def code_files(files: DataFrame, path: str = "file_path") -> DataFrame:
 
 
 def read_repository(spark: SparkSession, root: str, repository: str, extra_ignored: list[str] | None = None) -> DataFrame:
-    """(repository, file_path, size_bytes, content, content_hash, line_count) of the files below a folder."""
+    """(repository, file_path, size_bytes, content, content_hash, line_count) of the files below a folder.
+
+    Besides the fixed patterns those of the folder's own ``.ragignore`` are left out.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    local = re.sub(r"^file:/*", "/", root)
+    extra_ignored = [*(extra_ignored or []), *ignore_patterns(local)]
     base = re.sub(r"^file:/*", "/", root.rstrip("/"))
     path = F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "")
     rel = F.substring(path, len(base) + 2, 1 << 20)
@@ -76,6 +85,13 @@ def project_profile(files: DataFrame, path: str = "file_path", text: str = "cont
     return agg.withColumn("project_type", kind).withColumn("confidence", confidence)
 
 
+#: Core properties of a document and their tags.
+_PROPERTIES = {
+    "title": "{http://purl.org/dc/elements/1.1/}title",
+    "author": "{http://purl.org/dc/elements/1.1/}creator",
+    "created": "{http://purl.org/dc/terms/}created",
+    "modified": "{http://purl.org/dc/terms/}modified",
+}
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -84,10 +100,12 @@ def parse_docx(data: bytes) -> dict:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
         images = sum(n.startswith("word/media/") for n in z.namelist())
-        title = ""
+        hashes = sorted({hashlib.sha256(z.read(n)).hexdigest() for n in z.namelist() if n.startswith("word/media/")})
+        core = dict.fromkeys(_PROPERTIES, None)
         if "docProps/core.xml" in z.namelist():
-            node = ElementTree.fromstring(z.read("docProps/core.xml")).find("{http://purl.org/dc/elements/1.1/}title")
-            title = (node.text or "") if node is not None else ""
+            tree = ElementTree.fromstring(z.read("docProps/core.xml"))
+            core = {k: node.text if (node := tree.find(tag)) is not None else None for k, tag in _PROPERTIES.items()}
+        title = core["title"] or ""
     lines, sections = [], []
     for block in body if body is not None else []:
         if block.tag == f"{_W}tbl":
@@ -107,7 +125,7 @@ def parse_docx(data: bytes) -> dict:
             sections.append({"title": text, "level": level, "content": "", "position": len(sections)})
         elif sections:
             sections[-1]["content"] += ("\n" if sections[-1]["content"] else "") + text
-    return {"title": title or (sections[0]["title"] if sections else ""), "full_text": "\n".join(lines), "sections": sections, "images": images}
+    return {"title": title or (sections[0]["title"] if sections else ""), "full_text": "\n".join(lines), "sections": sections, "images": images, "image_hashes": hashes, "author": core["author"], "created_date": core["created"], "modified_date": core["modified"]}
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
@@ -122,13 +140,27 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
                 try:
                     out.append(parse_docx(data.as_py()) | {"error": None})
                 except Exception as e:  # noqa: BLE001
-                    out.append({"title": None, "full_text": None, "sections": [], "images": 0, "error": type(e).__name__})
+                    out.append({"title": None, "full_text": None, "sections": [], "images": 0, "image_hashes": [], "author": None, "created_date": None, "modified_date": None, "error": type(e).__name__})
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array([x[k] for x in out], t) for k, t in (("title", pa.string()), ("full_text", pa.string()), ("sections", section), ("images", pa.int32()), ("error", pa.string())))],
-                ["path", "title", "full_text", "sections", "images_count", "error"],
+                [b.column(0), *(pa.array([x[k] for x in out], t) for k, t in (("title", pa.string()), ("full_text", pa.string()), ("sections", section), ("images", pa.int32()), ("image_hashes", pa.list_(pa.string())), ("author", pa.string()), ("created_date", pa.string()), ("modified_date", pa.string()), ("error", pa.string())))],
+                ["path", "title", "full_text", "sections", "images_count", "image_hashes", "author", "created_date", "modified_date", "error"],
             )
 
-    return raw.mapInArrow(run, "path string, title string, full_text string, sections array<struct<title:string,level:int,content:string,position:int>>, images_count int, error string")
+    return raw.mapInArrow(run, "path string, title string, full_text string, sections array<struct<title:string,level:int,content:string,position:int>>, images_count int, image_hashes array<string>, author string, created_date string, modified_date string, error string")
+
+
+def document_chunks(documents: DataFrame, size: int = 1200, overlap: int = 100) -> DataFrame:
+    """(chunk_id, path, title, document_type, author, part, content): the text of readable documents in overlapping parts."""
+    readable = documents.where("error is null and full_text is not null and full_text <> ''")
+    parts = lines.sub_chunks(readable.select("path", F.col("full_text").alias("_t")), "path", "_t", size, size - 2 * overlap if size > 4 * overlap else size, overlap)
+    about = readable.select("path", "title", document_type(F.element_at(F.split("path", "/"), -1)).alias("document_type"), "author", "created_date", "modified_date", F.size("sections").alias("sections_count"), "images_count")
+    return parts.join(about, "path").select("chunk_id", "path", "title", "document_type", "author", "created_date", "modified_date", "sections_count", "images_count", "part", F.col("chunk").alias("content"))
+
+
+def index_documents(spark: SparkSession, root: str, target: str) -> DataFrame:
+    """Reads the documents below a folder and writes their chunks, replacing an index that is there; returns the chunks."""
+    document_chunks(read_documents(spark, root)).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 import subprocess
 from pathlib import Path
@@ -34,3 +35,52 @@ def checkout(source: str, folder: str, branch: str | None = None, force: bool =
     except (subprocess.CalledProcessError, FileNotFoundError):
         commit = None
     return {"name": path.name, "path": str(path), "commit_hash": commit, "branch": branch}
+
+
+def changed_paths(folder: str, since: str) -> list[str] | None:
+    """Paths changed between a commit and HEAD, both names of a rename; None (everything) where git can't tell."""
+    try:
+        lines = _git("diff", "--name-status", "-M", since, "HEAD", cwd=folder).splitlines()
+    except (subprocess.CalledProcessError, subprocess.TimeoutExpired, FileNotFoundError):
+        return None
+    return sorted({p for line in lines for p in line.split("\t")[1:]})
+
+
+def discover(root: str) -> list[dict]:
+    """Name, path and commit of the checkouts in a folder."""
+    out = []
+    for folder in sorted(Path(root).iterdir()) if Path(root).is_dir() else ():
+        if (folder / ".git").exists():
+            try:
+                commit = _git("rev-parse", "HEAD", cwd=str(folder))
+            except (subprocess.CalledProcessError, subprocess.TimeoutExpired, FileNotFoundError):
+                commit = None
+            out.append({"name": folder.name, "path": str(folder), "commit_hash": commit})
+    return out
+
+
+class Roots:
+    """Where repositories lie: the folders of ``repos_dir``, or those of an environment variable (a list of paths) instead."""
+
+    def __init__(self, repos_dir: str, variable: str = "QUARRYLINE_REPO_PATHS"):
+        self.repos_dir, self.variable, self._known = repos_dir, variable, None
+
+    def all(self) -> dict[str, str]:
+        if self._known is None:
+            named = [p for p in os.environ.get(self.variable, "").split(os.pathsep) if p]
+            folders = [Path(p) for p in named] if named else sorted(p for p in Path(self.repos_dir).glob("*") if p.is_dir())
+            self._known = {p.name: str(p) for p in folders if p.is_dir()}
+        return self._known
+
+    def resolve(self, name: str) -> str | None:
+        return self.all().get(name)
+
+    def invalidate(self) -> None:
+        self._known = None
+
+
+def ignore_patterns(folder: str, name: str = ".ragignore") -> list[str]:
+    """The patterns of a repository's own ignore file."""
+    path = Path(folder) / name
+    lines = path.read_text(encoding="utf-8", errors="replace").splitlines() if path.is_file() else []
+    return [x.strip() for x in lines if x.strip() and not x.strip().startswith("#")]

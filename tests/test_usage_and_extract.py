@@ -129,9 +129,8 @@ def test_stream(spark, tmp_path):
     df = spark.createDataFrame([(n % 5, start + timedelta(hours=n % 5), "x", 1.0) for n in range(10)], "event_id int, ts timestamp_ntz, kind string, value double")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     s = ingest.deduplicated(ingest.file_stream(spark, str(tmp_path / "in"), df.schema), ["event_id"], "ts")
-    q = ingest.run_once(ingest.windowed_usage(s, "ts", "kind", "value", lateness=None), "test_stream_usage", str(tmp_path / "c"), "complete")
-    q.awaitTermination()
-    assert [(r.n, r.total) for r in spark.table("test_stream_usage").collect()] == [(5, 5.0)]
+    rows = ingest.run_once(ingest.windowed_usage(s, "ts", "kind", "value", lateness=None), str(tmp_path / "c"), "complete")
+    assert [(r.n, r.total) for r in rows.collect()] == [(5, 5.0)]
     seen = []
     t = spark.createDataFrame([("push", "r1"), ("ping", "r2"), ("push", "r1")], "event string, repository string")
     t.write.parquet(str(tmp_path / "t"))
