@@ -196,6 +196,23 @@ def fan_in(found: DataFrame) -> DataFrame:
     return found.select(F.explode(F.slice("nodes", F.lit(2), F.size("nodes") - 1)).alias("id")).groupBy("id").agg(F.count("*").alias("fan_in"))
 
 
+def fan_in_of_two(edges: DataFrame, starts: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """What ``fan_in`` of all paths of one or two steps gives, counted by degrees: no path is ever a row.
+
+    A node x that c edges from the starts lead to is met c times by paths of one step and c * out(x) times as the middle
+    of two; a node y is met as their end once for every edge that leads there from such an x.  A loop can't follow itself.
+    """
+    e = edges if types is None else edges.where(F.col("type").isin(types))
+    e = e.select("src", "dst")
+    first = e.join(starts.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+    direct = first.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("c"))
+    out = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("o"))
+    ends = e.join(direct.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("c").alias("n"))
+    middle = direct.join(out, "id", "left").select("id", (F.col("c") * (1 + F.coalesce("o", F.lit(0)))).alias("n"))
+    loops = first.where("src = dst").groupBy(F.col("dst").alias("id")).agg((-2 * F.count("*")).alias("n"))
+    return middle.unionByName(ends).unionByName(loops).groupBy("id").agg(F.sum("n").alias("fan_in"))
+
+
 def type_counts(nodes: DataFrame, edges: DataFrame, node_types: list[str], edge_types: list[str]) -> DataFrame:
     """(kind, type, n): counts for every type of the two enumerations, 0 where there is none, with totals."""
     spark = nodes.sparkSession

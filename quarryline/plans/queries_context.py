@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarryline.operators import cache, expand, graph, lines
+from quarryline.operators.sized import distinct_wide
 from quarryline.plans import agents, retriever
 from quarryline.plans.fixtures import SQL_EDGES, SQL_NODES, edges, nodes, of_type
 from quarryline.session import table
@@ -16,7 +17,7 @@ _WITH = f"WITH RECURSIVE {SQL_NODES}, {SQL_EDGES}"
 
 
 def _files(spark, d):
-    return table(spark, d, "search_results").select("entity_id", "entity_type", "name", "file_path", "content").distinct()
+    return distinct_wide(table(spark, d, "search_results").select("entity_id", "entity_type", "name", "file_path", "content"), ["entity_id", "entity_type", "name", "file_path"], "content")
 
 
 def _chunks(spark, d):

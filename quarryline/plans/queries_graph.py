@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.code_text import normalize_url, repository_name
 from quarryline.operators import graph, tracebacks
+from quarryline.operators.sized import distinct_wide
 from quarryline.operators.retrieval import first_seen
 from quarryline.plans import render
 from quarryline.plans.fixtures import EDGE_TYPES, NODE_TYPES, SQL_EDGES, SQL_NODES, edges, nodes, of_type
@@ -89,7 +90,7 @@ def paths_to_components(spark, d):
 
 def call_fan_in(spark, d):
     n = nodes(spark, d)
-    return graph.fan_in(graph.paths(edges(spark, d), of_type(n, "Class"), 2, ["CALLS", "USES_MODEL"]))
+    return graph.fan_in_of_two(edges(spark, d), of_type(n, "Class"), ["CALLS", "USES_MODEL"])
 
 
 def shortest_paths(spark, d):
@@ -105,13 +106,13 @@ def containment_closure(spark, d):
 
 
 def _calls(spark, d):
-    rows = table(spark, d, "search_results").where(F.col("content").isNotNull()).select("entity_id", "content").distinct()
+    rows = distinct_wide(table(spark, d, "search_results").where(F.col("content").isNotNull()).select("entity_id", "content"), ["entity_id"], "content")
     urls = rows.select("entity_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"fetch\('([^']+)'"), 1))).alias("raw"))
     return urls.select(F.concat_ws("#", "entity_id", "raw").alias("id"), F.lit("GET").alias("method"), normalize_url(F.col("raw")).alias("url"))
 
 
 def _endpoints(spark, d):
-    rows = table(spark, d, "search_results").where(F.col("content").isNotNull()).select("entity_id", "content").distinct()
+    rows = distinct_wide(table(spark, d, "search_results").where(F.col("content").isNotNull()).select("entity_id", "content"), ["entity_id"], "content")
     found = rows.select("entity_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r'@(?:app|router)\.(?:get|post|put|patch|delete)\("[^"]+"'), 0))).alias("raw"))
     return found.select(F.concat_ws("#", "entity_id", "raw").alias("id"), F.upper(F.regexp_extract("raw", r"\.(\w+)\(", 1)).alias("method"), normalize_url(F.regexp_extract("raw", r'"([^"]+)"', 1)).alias("path"))
 
@@ -160,7 +161,7 @@ def match_frames(spark, d):
 
 def indexed_graph(spark, d):
     """Node and edge counts of the graph that the indexing job builds of all source files."""
-    rows = table(spark, d, "search_results").where("entity_type = 'File'").select(repository_name(F.col("entity_id")).alias("repository"), "file_path", "content").distinct()
+    rows = distinct_wide(table(spark, d, "search_results").where("entity_type = 'File'").select(repository_name(F.col("entity_id")).alias("repository"), "file_path", "content"), ["repository", "file_path"], "content")
     return GraphBuild(rows).stats()
 
 

@@ -8,6 +8,7 @@ from quarryline.functions import code_text as ct
 from quarryline.functions import expansion
 from quarryline.functions import fixed_values as fixed
 from quarryline.operators import lines, retrieval
+from quarryline.operators.sized import distinct_wide
 from quarryline.plans.fixtures import GREP_TOKENS
 from quarryline.session import cut_lineage, table
 from quarryline.functions.fixed_values import IGNORED
@@ -36,7 +37,7 @@ def line_counts(spark, d):
 
 def source_slices(spark, d):
     """The lines a search result's metadata names, cut from its content, bounds as a code reader takes them."""
-    rows = table(spark, d, "search_results").where(F.col("content").isNotNull()).select("entity_id", "content").distinct()
+    rows = distinct_wide(table(spark, d, "search_results").where(F.col("content").isNotNull()).select("entity_id", "content"), ["entity_id"], "content")
     return rows.select("entity_id", lines.slice_lines(F.col("content"), F.lit(2), F.lit(5)).alias("middle"), lines.slice_lines(F.col("content"), F.lit(3), F.lit(0)).alias("tail"))
 
 
@@ -104,7 +105,7 @@ def exact_copies(spark, d):
 
 
 def searchable_content(spark, d):
-    rows = table(spark, d, "search_results").select("entity_id", "name", "entity_type", "file_path", "content").distinct()
+    rows = distinct_wide(table(spark, d, "search_results").select("entity_id", "name", "entity_type", "file_path", "content"), ["entity_id", "name", "entity_type", "file_path"], "content")
     part = lambda head, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(head), c))
     text = F.concat_ws("\n", part("Name: ", F.col("name")), part("Type: ", F.col("entity_type")), part("File: ", F.col("file_path")), part("Module: ", ct.module_name(F.col("file_path"))), part("Code: ", F.col("content")))
     return rows.select("entity_id", F.md5(text).alias("digest"), F.length(text).alias("chars"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import code_text as ct
 from quarryline.operators import extract, tracebacks, usage
+from quarryline.operators.sized import distinct_wide
 from quarryline.operators.retrieval import first_seen
 from quarryline.functions.fixed_values import DJANGO_MARKS, FASTAPI_MARKS
 from quarryline.session import shared_folder, table
@@ -90,7 +91,7 @@ def cache_accesses(spark, d):
 
 
 def parsed_tracebacks(spark, d):
-    rows = table(spark, d, "tracebacks").select("traceback_id", "raw_text").distinct()
+    rows = distinct_wide(table(spark, d, "tracebacks").select("traceback_id", "raw_text"), ["traceback_id"], "raw_text")
     p = tracebacks.parse_tracebacks(rows, "traceback_id", "raw_text")
     return p.select("traceback_id", F.size("frames").cast("bigint").alias("n_frames"), "exception_type", F.coalesce(F.try_element_at(F.transform("frames", lambda f: f["function_name"]), F.lit(-1)), F.lit("")).alias("last_function"))
 
@@ -100,18 +101,18 @@ def exception_counts(spark, d):
 
 
 def extracted_entities(spark, d):
-    files = table(spark, d, "search_results").where("entity_type = 'File'").select("entity_id", "file_path", "content").distinct()
+    files = distinct_wide(table(spark, d, "search_results").where("entity_type = 'File'").select("entity_id", "file_path", "content"), ["entity_id", "file_path"], "content")
     rows = extract.extract_entities(files)
     return rows.groupBy(ct.repository_name(F.col("key")).alias("repository"), "entity_kind").agg(F.count("*").alias("n"))
 
 
 def framework_votes(spark, d):
-    files = table(spark, d, "search_results").where("entity_type = 'File' and file_path like '%.py'").select("entity_id", "content").distinct()
+    files = distinct_wide(table(spark, d, "search_results").where("entity_type = 'File' and file_path like '%.py'").select("entity_id", "content"), ["entity_id"], "content")
     return files.select("entity_id", extract.framework_vote(F.col("content")).alias("framework"))
 
 
 def project_profiles(spark, d):
-    files = table(spark, d, "search_results").where("entity_type = 'File'").select(ct.repository_name(F.col("entity_id")).alias("repository"), "file_path", "content").distinct()
+    files = distinct_wide(table(spark, d, "search_results").where("entity_type = 'File'").select(ct.repository_name(F.col("entity_id")).alias("repository"), "file_path", "content"), ["repository", "file_path"], "content")
     return project_profile(files).select("repository", F.array_join("languages", ",").alias("languages"), "project_type", "confidence")
 
 

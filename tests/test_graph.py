@@ -84,3 +84,14 @@ def test_pairs_in_groups(spark):
     got = pairs_in_groups(rows, "g", "m", block=7)
     assert got.count() == 40 * 39 // 2 and got.where("a >= b").count() == 0
     assert got.agg(F.count_distinct("a", "b")).first()[0] == 780
+
+
+def test_fan_in_by_degrees(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = {(rng.choice("abcdef"), rng.choice("abcdef"), rng.choice("XY")) for _ in range(40)}
+    e = spark.createDataFrame(sorted(rows), "src string, dst string, type string")
+    starts = spark.createDataFrame([("a",), ("b",)], "id string")
+    want = {r.id: r.fan_in for r in graph.fan_in(graph.paths(e, starts, 2)).collect()}
+    assert {r.id: r.fan_in for r in graph.fan_in_of_two(e, starts).collect()} == want
