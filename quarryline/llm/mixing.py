@@ -9,10 +9,11 @@ for which 1 is the greatest safe step.  Each step sums r t p over all documents
 driver) and moves every rate by -p . inv(M) e, cut at 0 and at the repeats its source allows.  ``converged``, ``steps``
 and ``error`` tell how the fit ended.
 
-Rates become whole repeats by systematic rounding: the documents of a source stand in one order (classes of length, then
-a hash of the key), the fractions are summed along it as whole numbers, and a document gets one more repeat where the sum
-passes a whole.  The order doesn't depend on partitions, and neither does the mixture.  Sums go from cells of bounded
-size to their prefix sums, so that no source is walked through by one task.
+Rates become whole repeats by a hash of the key: a document gets the whole part, and one more if its hash falls below the
+fraction.  What that leaves of a source's goal, by the tokens of the documents it is likeliest for, is mended in a few
+rounds: documents no longer than the rest of the goal are added (or taken out) in the order of another hash until it is
+used up; a round sums tokens by hash buckets, at most ``BUCKETS`` rows a source to the driver.  Neither depends on
+partitions, and no source is sorted or walked through by one task.
 
 The size of the mixture is ``ROOM`` of the largest at which no source has to be repeated more than its ``max_repeats``; targets of
 sources without a document can't be met, and the others keep their proportions.
@@ -31,7 +32,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.tokenizer import encoder, vocabulary
@@ -48,10 +49,8 @@ STEPS, TOLERANCE = 30, 1e-3
 ROOM = 0.97
 #: Buckets of the features: tokens, openings of lines, the first and the last token.
 TOKENS, OPENINGS, EDGES = 256, 256, 32
-#: Documents of a cell of the rounding, on average at most.
-CELL_ROWS = 50_000
-#: Whole numbers that stand for 1 in the rounding.
-ONE = 1 << 20
+#: Hash buckets a round of the rounding sums by, and rounds at most.
+BUCKETS, ROUNDS = 4096, 12
 
 N_FEATURES = 8 + TOKENS + OPENINGS + 2 * EDGES
 
@@ -221,7 +220,7 @@ class Mixture:
 
         kind = self.schema.split(",")[0]
         rated = members.mapInArrow(rate, f"{kind}, s int, n_tokens bigint, rate double")
-        self.documents = whole_repeats(rated, most).select("doc_id", F.element_at(F.array(*map(F.lit, names)), F.col("s") + 1).alias("source"), "n_tokens", "rate", "repeats")
+        self.documents = whole_repeats(rated, self.goal, most).select("doc_id", F.element_at(F.array(*map(F.lit, names)), F.col("s") + 1).alias("source"), "n_tokens", "rate", "repeats")
 
     def mixture(self) -> DataFrame:
         """The documents of the mixture and how often each is taken."""
@@ -248,21 +247,39 @@ class Mixture:
         )
 
 
-def whole_repeats(rated: DataFrame, most: np.ndarray) -> DataFrame:
-    """``rated`` (doc_id, s, n_tokens, rate) with whole ``repeats``, by systematic rounding along one order of each source."""
-    hashed = rated.withColumn("_f", F.floor(F.col("rate") * ONE + 0.5).cast("bigint")).withColumn("_h", F.xxhash64("doc_id")).withColumn("_class", F.floor(8 * F.log2("n_tokens")).cast("int"))
-    cells = max(1, math.ceil(rated.count() / CELL_ROWS))
-    placed = hashed.withColumn("_cell", F.pmod("_h", F.lit(cells)))
-    cell = ["s", "_class", "_cell"]
-    sums = placed.groupBy(*cell).agg(F.sum(F.col("_f") % ONE).alias("_sum"))
-    before = Window.partitionBy("s").orderBy("_class", "_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*cell, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    along = Window.partitionBy(*cell).orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = F.col("_before") + F.sum(F.col("_f") % ONE).over(along) + ONE // 2
-    extra = F.floor(after / ONE) - F.floor((after - F.col("_f") % ONE) / ONE)
-    top = F.element_at(F.array(*[F.lit(int(m)) for m in most]), F.col("s") + 1)
-    joined = placed.join(offsets, cell)
-    return joined.withColumn("repeats", F.least(F.floor(F.col("_f") / ONE) + extra, top).cast("int")).drop("_f", "_h", "_class", "_cell", "_before")
+def whole_repeats(rated: DataFrame, goal: np.ndarray, most: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
+    """``rated`` (doc_id, s, n_tokens, rate) with whole ``repeats`` whose tokens come to the goal of each source."""
+    per = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("s") + 1)
+    top = per([int(m) for m in most], "int")
+    chance = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
+    whole = F.floor("rate").cast("int") + (chance < F.col("rate") - F.floor("rate")).cast("int")
+    rows = cut_lineage(rated.withColumn("repeats", F.least(whole, top)))
+    for n in range(rounds):
+        taken = np.zeros(len(goal))
+        for r in rows.groupBy("s").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("t")).collect():
+            taken[r.s] = r.t
+        rest = goal - taken
+        if np.abs(rest).max() <= TOLERANCE * max(1.0, goal.sum()):
+            break
+        left = per([float(x) for x in rest], "double")
+        can = F.when(left > 0, F.col("repeats") < top).otherwise(F.col("repeats") > 0)
+        # Documents that fit into the rest; where there is none, one that is less than twice as long still brings it nearer.
+        fits, near = can & (F.col("n_tokens") <= F.abs(left)), can & (F.col("n_tokens") > F.abs(left)) & (F.col("n_tokens") < 2 * F.abs(left))
+        bucket = F.pmod(F.xxhash64("doc_id", F.lit(n)), F.lit(BUCKETS)).cast("int")
+        sums = np.zeros((2, len(goal), BUCKETS))
+        for r in rows.where(fits | near).groupBy("s", near.cast("int").alias("w"), bucket.alias("b")).agg(F.sum("n_tokens").alias("t")).collect():
+            sums[r.w, r.s, r.b] = r.t
+        cuts, single = [], []
+        for s in range(len(goal)):
+            cuts.append(int((np.cumsum(sums[0, s]) <= abs(rest[s])).sum()))
+            alone = np.flatnonzero((sums[1, s] > 0) & (sums[1, s] < 2 * abs(rest[s])))
+            single.append(int(alone[0]) if len(alone) and not sums[0, s].any() else -1)
+        chosen = fits & (bucket < per(cuts, "int")) | near & (bucket == per(single, "int"))
+        step = F.when(chosen, F.when(left > 0, 1).otherwise(-1)).otherwise(0)
+        rows = rows.withColumn("repeats", (F.col("repeats") + step).cast("int"))
+        if n % 3 == 2:
+            rows = cut_lineage(rows)
+    return rows
 
 
 def rates(p: np.ndarray, history: np.ndarray, start: np.ndarray, most: np.ndarray) -> np.ndarray:

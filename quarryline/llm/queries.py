@@ -87,6 +87,15 @@ def p9_shares(spark, d):
     return _mixture(spark, d).shares()
 
 
+def p9_bounds(spark, d):
+    """Per source of the targets: whether no document is repeated too often, and whether the share is within two points
+    of the target (of the sources that have documents, in proportion); a long document of the smallest data is one alone."""
+    shares = _mixture(spark, d).shares()
+    there = shares.where("documents > 0").agg(F.sum("target_share").alias("all"))
+    near = F.abs(F.col("reached_share") - F.col("target_share") / F.col("all")) <= 0.02
+    return shares.crossJoin(F.broadcast(there)).select("source", (F.col("most_repeats") <= F.col("max_repeats")).alias("capped"), F.when(F.col("documents") > 0, near).otherwise(F.col("reached_share") == 0).alias("on_target"))
+
+
 def p10_found(spark, d):
     return shared_spans.SharedSpans(table(spark, d, "documents")).document_pairs()
 
@@ -95,5 +104,5 @@ def p10_portions(spark, d):
     return shared_spans.SharedSpans(table(spark, d, "documents")).portions()
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_masked": p5_masked, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_portions": p10_portions}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_masked": p5_masked, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_bounds": p9_bounds, "p10_found": p10_found, "p10_portions": p10_portions}
+ORACLES: dict[str, str] = {"p9_bounds": "SELECT source, true AS capped, true AS on_target FROM mix_targets"}

@@ -214,28 +214,24 @@ def test_mixture_of_nothing(spark):
 
 
 def test_rounding_is_the_same_for_any_partitions(spark):
-    import numpy as np
-
     rng = np.random.default_rng(3)
     rows = [(i, int(rng.integers(0, 3)), int(rng.lognormal(4, 1.5)) + 1, float(rng.choice([0.04, 0.37, 1.6, 2.0]))) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id bigint, s int, n_tokens bigint, rate double")
-    got = [{(r.doc_id, r.repeats) for r in mixing.whole_repeats(df.repartition(n), np.array([3.0, 3.0, 2.0])).collect()} for n in (1, 64, 512)]
-    assert got[0] == got[1] == got[2]
-    size, rate, most = {r[0]: r[2] for r in rows}, {r[0]: r[3] for r in rows}, (3, 3, 2)
+    goal = np.array([sum(t * r for _, k, t, r in rows if k == s) for s in range(3)])
+    got = [{(r.doc_id, r.repeats) for r in mixing.whole_repeats(df.repartition(n), goal, np.array([3.0, 3.0, 2.0])).collect()} for n in (1, 64, 512)]
+    assert got[0] == got[1] == got[2] and all(0 <= n <= (3, 3, 2)[rows[i][1]] for i, n in got[0])
     for s in range(3):
-        mine = {r[0] for r in rows if r[1] == s}
-        meant, reached = sum(size[i] * rate[i] for i in mine), sum(size[i] * n for i, n in got[0] if i in mine)
-        assert abs(reached / meant - 1) < 0.02
-    assert all(rate[i] // 1 <= n <= most[rows[i][1]] for i, n in got[0])
-
+        reached = sum(rows[i][2] * n for i, n in got[0] if rows[i][1] == s)
+        assert abs(reached - goal[s]) <= 2e-3 * goal.sum()
 
-@pytest.mark.parametrize("cell", [50, 1000])
-def test_rounding_in_cells(spark, monkeypatch, cell):
-    import numpy as np
 
-    monkeypatch.setattr(mixing, "CELL_ROWS", cell)
-    df = spark.range(2000).selectExpr("id doc_id", "0 s", "100L n_tokens", "0.013 rate")
-    assert mixing.whole_repeats(df, np.array([1.0])).agg({"repeats": "sum"}).first()[0] == 26
+def test_rounding_of_few_long_documents(spark):
+    """A rate of a fiftieth of a few documents, the longest far above the goal."""
+    sizes = [50_000, 20_000, 9_000, 4_000] + [600 + 7 * i for i in range(96)]
+    df = spark.createDataFrame([(i, 0, t, 0.02) for i, t in enumerate(sizes)] + [(1000 + i, 1, 100, 1.0) for i in range(500)], "doc_id bigint, s int, n_tokens bigint, rate double")
+    goal = np.array([0.02 * sum(sizes), 50_000.0])
+    rows = mixing.whole_repeats(df, goal, np.array([1.0, 1.0])).collect()
+    assert abs(sum(r.n_tokens * r.repeats for r in rows if r.s == 0) - goal[0]) <= 600 and sum(r.repeats for r in rows if r.s == 1) == 500
 
 
 @pytest.mark.parametrize("parts", [1, 64, 512])
