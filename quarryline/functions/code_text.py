@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -165,7 +167,7 @@ def trace_path(path: Column) -> Column:
     """A traceback's file path for suffix matching: known prefixes off, the last three parts."""
     p = path
     for prefix in TRACE_PREFIXES:
-        p = F.when(p.startswith(prefix), F.substring(p, len(prefix) + 1, 1 << 20)).otherwise(p)
+        p = F.regexp_replace(p, "^" + re.escape(prefix), "")  # one mention of p a step: nested cases would double it each time
     parts = F.filter(F.split(p, "/"), lambda x: x != "")
     return F.when(F.size(parts) > 3, F.array_join(F.slice(parts, -3, 3), "/")).otherwise(p)
 

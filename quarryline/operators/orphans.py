@@ -17,45 +17,64 @@ Defined cases
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of a time slice in seconds: a day of one key's references and events is merged by one task.
-SLICE_SECONDS = 86400
+#: Width of a time slice in seconds, and references of one key in one slice up to which it isn't made narrower: a slice of
+#: one key is merged by one task.
+SLICE_SECONDS, SLICE_ROWS = 86400, 1_000_000
 
 
 def _micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def find_orphans(
-    children: DataFrame,
-    record_id: str,
-    reference: str,
-    at: str,
-    parents: DataFrame,
-    parent_key: str,
-    valid_from: str,
-    valid_to: str | None = None,
-    slice_seconds: int = SLICE_SECONDS,
-) -> DataFrame:
+@dataclass(frozen=True)
+class Reference:
+    """References of child rows to parent rows that are valid from one time to another."""
+
+    children: DataFrame
+    record_id: str
+    reference: str
+    at: str
+    parents: DataFrame
+    parent_key: str
+    valid_from: str
+    valid_to: str | None = None
+
+
+def find_orphans(children: DataFrame, record_id: str, reference: str, at: str, parents: DataFrame, parent_key: str, valid_from: str, valid_to: str | None = None, slice_seconds: int = SLICE_SECONDS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(record_id, at, reason) of every reference without a parent valid at its time.
 
     reason: ``missing`` (no parent row with the key), ``late`` (every parent row with the key starts later), else
     ``deleted``.
     """
+    found = find_all_orphans([Reference(children, record_id, reference, at, parents, parent_key, valid_from, valid_to)], slice_seconds, slice_rows)
+    return found.select(F.col("rid").cast(dict(children.dtypes)[record_id]).alias("record_id"), "at", "reason").distinct()
+
+
+def find_all_orphans(references: list[Reference], slice_seconds: int = SLICE_SECONDS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(n, rid, at, reason) of the orphans of several references, n the number of the reference, rid the record's id as text.
+
+    All of them are one merge, keyed by reference, key and time slice.  Where a key has more than ``slice_rows`` references
+    in a slice, slices are made narrower by as much.
+    """
+    refs, parents = [], []
+    for n, r in enumerate(references):
+        refs.append(r.children.select(F.lit(n).alias("n"), F.col(r.record_id).cast("string").alias("rid"), F.col(r.reference).cast("string").alias("k"), _micros(F.col(r.at)).alias("t")).where(F.col("k").isNotNull()))
+        end = _micros(F.col(r.valid_to)) if r.valid_to else F.lit(None).cast("bigint")
+        parents.append(r.parents.select(F.lit(n).alias("n"), F.col(r.parent_key).cast("string").alias("k"), _micros(F.col(r.valid_from)).alias("a"), end.alias("b")).where(F.col("k").isNotNull()))
+    refs, rows = reduce(DataFrame.unionByName, refs), reduce(DataFrame.unionByName, parents)
     width = slice_seconds * 1_000_000
-    refs = children.select(F.col(record_id).alias("rid"), F.col(reference).alias("k"), _micros(F.col(at)).alias("t")).where(F.col("k").isNotNull())
-    rows = parents.select(
-        F.col(parent_key).alias("k"),
-        _micros(F.col(valid_from)).alias("a"),
-        (_micros(F.col(valid_to)) if valid_to else F.lit(None).cast("bigint")).alias("b"),
-    ).where(F.col("k").isNotNull())
+    most = refs.groupBy("n", "k", F.floor(F.col("t") / F.lit(width))).count().agg(F.max("count")).first()[0] or 0
+    width = max(1, width // -(-most // slice_rows)) if most > slice_rows else width
     # One row per change: starts (every parent row), and the two ends of the intervals that are not empty.
     real = F.col("a").isNotNull() & (F.col("b").isNull() | (F.col("b") > F.col("a")))
     changes = rows.select(
+        "n",
         "k",
         F.explode(
             F.array(
@@ -63,56 +82,43 @@ def find_orphans(
                 F.struct(F.when(real, F.col("b")).alias("t"), F.lit(-1).alias("valid"), F.lit(0).alias("known")),
             )
         ).alias("c"),
-    ).select("k", "c.*").where(F.col("t").isNotNull())
-    changes = changes.groupBy("k", "t").agg(F.sum("valid").alias("valid"), F.sum("known").alias("known"))
+    ).select("n", "k", "c.*").where(F.col("t").isNotNull())
+    changes = changes.groupBy("n", "k", "t").agg(F.sum("valid").alias("valid"), F.sum("known").alias("known"))
     none, zero = F.lit(None), F.lit(0).cast("bigint")
     slice_of = lambda t: F.coalesce(F.floor(t / F.lit(width)), F.lit(-(2**40))).cast("bigint")
-    events = changes.select("k", slice_of(F.col("t")).alias("s"), "t", "valid", "known", none.cast("string").alias("rid"), F.lit(False).alias("ref"))
-    marks = refs.select("k", slice_of(F.col("t")).alias("s"), "t", zero.alias("valid"), zero.alias("known"), F.col("rid").cast("string").alias("rid"), F.lit(True).alias("ref"))
+    events = changes.select("n", "k", slice_of(F.col("t")).alias("s"), "t", "valid", "known", none.cast("string").alias("rid"), F.lit(False).alias("ref"))
+    marks = refs.select("n", "k", slice_of(F.col("t")).alias("s"), "t", zero.alias("valid"), zero.alias("known"), "rid", F.lit(True).alias("ref"))
     # What each slice of a key starts with: sums over the key's earlier slices, plus the sum over all of them.
-    sums = (
-        events.groupBy("k", "s").agg(F.sum("valid").alias("valid"), F.sum("known").alias("known"))
-        .unionByName(marks.groupBy("k", "s").agg(F.sum("valid").alias("valid"), F.sum("known").alias("known")))
-        .groupBy("k", "s").agg(F.sum("valid").alias("valid"), F.sum("known").alias("known"))
-    )
-    before = Window.partitionBy("k").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    sums = events.select("n", "k", "s", "valid", "known").unionByName(marks.select("n", "k", "s", "valid", "known")).groupBy("n", "k", "s").agg(F.sum("valid").alias("valid"), F.sum("known").alias("known"))
+    before = Window.partitionBy("n", "k").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.select(
-        "k", "s", F.lit(-(2**63)).cast("bigint").alias("t"),
+        "n", "k", "s", F.lit(-(2**63)).cast("bigint").alias("t"),
         F.coalesce(F.sum("valid").over(before), zero).alias("valid"), F.coalesce(F.sum("known").over(before), zero).alias("known"),
-        F.sum("known").over(Window.partitionBy("k")).alias("ever"), none.cast("string").alias("rid"), F.lit(False).alias("ref"),
+        F.sum("known").over(Window.partitionBy("n", "k")).alias("ever"), none.cast("string").alias("rid"), F.lit(False).alias("ref"),
     )
     merged = reduce(DataFrame.unionByName, [carry, *(x.withColumn("ever", zero) for x in (events, marks))])
-    run = Window.partitionBy("k", "s").orderBy(F.col("t").asc_nulls_last(), F.col("ref")).rowsBetween(Window.unboundedPreceding, 0)
-    state = merged.select("rid", "t", "ref", *(F.sum(c).over(run).alias(c) for c in ("valid", "known", "ever")))
+    run = Window.partitionBy("n", "k", "s").orderBy(F.col("t").asc_nulls_last(), F.col("ref")).rowsBetween(Window.unboundedPreceding, 0)
+    state = merged.select("n", "rid", "t", "ref", *(F.sum(c).over(run).alias(c) for c in ("valid", "known", "ever")))
     reason = (
         F.when(F.col("ever") == 0, "missing")
         .when(F.col("t").isNull() | (F.col("valid") > 0), none)
         .when(F.col("known") == 0, "late")
         .otherwise("deleted")
     )
-    kind = dict(children.dtypes)[record_id]
-    return (
-        state.where("ref")
-        .select(F.col("rid").cast(kind).alias("record_id"), F.timestamp_micros("t").alias("at"), reason.alias("reason"))
-        .where(F.col("reason").isNotNull())
-        .distinct()
-    )
+    return state.where("ref").select("n", "rid", F.timestamp_micros("t").alias("at"), reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
 def orphan_references(chat_logs: DataFrame, users: DataFrame, feedback: DataFrame) -> DataFrame:
     """Every orphan of the three references of the bot's tables."""
     checks = [
-        ("chat_logs", chat_logs, "user_id", users, "user_id", "created_at", "deleted_at"),
-        ("feedback", feedback, "user_id", users, "user_id", "created_at", "deleted_at"),
-        ("feedback", feedback, "log_id", chat_logs, "id", "created_at", None),
-    ]
-    parts = [
-        find_orphans(child, "id", ref, "created_at", parent, key, a, b).select(
-            F.lit(name).alias("child_table"), "record_id", F.lit(ref).alias("ref_column"), "reason", "at"
-        )
-        for name, child, ref, parent, key, a, b in checks
+        ("chat_logs", Reference(chat_logs, "id", "user_id", "created_at", users, "user_id", "created_at", "deleted_at")),
+        ("feedback", Reference(feedback, "id", "user_id", "created_at", users, "user_id", "created_at", "deleted_at")),
+        ("feedback", Reference(feedback, "id", "log_id", "created_at", chat_logs, "id", "created_at")),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    found = find_all_orphans([r for _, r in checks])
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("n") + 1)
+    rows = found.select(of([t for t, _ in checks]).alias("child_table"), F.col("rid").cast("bigint").alias("record_id"), of([r.reference for _, r in checks]).alias("ref_column"), "reason", "at")
+    return rows.distinct()
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

@@ -74,3 +74,15 @@ def test_report(spark, n):
     assert got[("feedback", "log_id", "missing")] == 1 and got[("feedback", "log_id", "late")] == 1
     assert got[("chat_logs", "user_id", "missing")] == (1 if n else 2)
     assert {r.month for r in rows} == {"2025-01"}
+
+
+def test_narrow_slices_change_nothing(spark):
+    import random
+
+    from quarryline.operators.orphans import find_orphans
+
+    rng = random.Random(8)
+    children = spark.createDataFrame([(i, 1 if i % 3 else rng.randint(2, 9), rng.randint(0, 400_000)) for i in range(900)], "id bigint, ref bigint, s bigint").selectExpr("id", "ref", "timestamp_seconds(s) at")
+    parents = spark.createDataFrame([(k, rng.randint(0, 300_000), rng.randint(0, 500_000)) for k in (1, 1, 1, 2, 3, 4, 5, 6)], "k bigint, a bigint, b bigint").selectExpr("k", "timestamp_seconds(a) a", "timestamp_seconds(b) b")
+    got = [{tuple(r) for r in find_orphans(children, "id", "ref", "at", parents, "k", "a", "b", slice_rows=n).collect()} for n in (1_000_000, 20, 1)]
+    assert got[0] == got[1] == got[2] and len({r[2] for r in got[0]}) == 3
