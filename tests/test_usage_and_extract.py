@@ -4,7 +4,10 @@ import zipfile
 from datetime import datetime as dt
 from datetime import timedelta
 
-from quarryline.operators import extract, tracebacks, usage
+import pytest
+
+from quarryline.functions import ecma
+from quarryline.operators import extract, react, tracebacks, usage
 from quarryline.plans import context_loop, render
 from quarryline.sources import files
 
@@ -70,6 +73,26 @@ def test_react_entities():
     assert r["name"] == "List" and e["hooks"] == ["useState"] and e["handlers"] == ["onClick"] and r["calls"] == ["POST /api/u"] and e["props_type"] == "P"
 
 
+@pytest.mark.parametrize(
+    ("path", "call", "props"),
+    [
+        ("a.jsx", "const load = async (id) => { await fetch('/api/rows'); };", ""),
+        ("a.jsx", "const load = async(id);\n  fetch('/api/rows');", ""),
+        ("a.tsx", "const load = async <T,>(id: T) => { await fetch('/api/rows'); };", "P"),
+        ("a.tsx", "let xs: (A | B)[] = [];\n  fetch('/api/rows');", "P"),
+    ],
+)
+def test_react_entities_with_async_and_parentheses(path, call, props):
+    src = f"import React from 'react';\nexport function List(props{': P' if props else ''}) {{\n  {call}\n  return <ul/>;\n}}\n"
+    one, two = extract.react_entities(path, src)
+    e = json.loads(two["extra"])
+    assert (one["entity_kind"], one["name"]) == ("Import", "react") and (two["entity_kind"], two["name"], two["start_line"]) == ("Component", "List", 2)
+    assert two["calls"] == ["GET /api/rows"] and e["exported"] and e["props_type"] == props
+    plain, error = ecma.read(src, bool(props), True)
+    noted, same = ecma.read(src, bool(props), True, make=react.Recorder)
+    assert error is same is None and plain.functions == noted.functions
+
+
 def test_extract_and_diagram(spark):
     df = spark.createDataFrame([("k", "a.py", "class A(B):\n    def m(self): pass\n", 1), ("n", "b.py", None, 2), ("e", "c.py", "", 3)], "entity_id string, file_path string, content string, name int")
     rows = extract.extract_entities(df)
