@@ -54,3 +54,10 @@ def test_endpoints_are_wired(spark):
     assert rows.count() == 0 and kept.count() == 0
     code = {r.id.rpartition("demo:")[2]: r.code for r in g.code_of(10).collect()}
     assert code["app/views.py:UserView"] == "class User"
+
+
+def test_async_arrows_and_parenthesised_types_are_indexed(spark):
+    web = "import React from 'react';\nexport function Load(props: P) {\n  let xs: (string | number)[] = [];\n  const load = async (id) => { await fetch('/api/users'); };\n  return <ul/>;\n}\n"
+    g = GraphBuild(spark.createDataFrame([("demo", "backend/views.py", FILES["backend/views.py"]), ("demo", "web/Load.tsx", web)], "repository string, file_path string, content string"))
+    edges = {(r.src.rpartition("demo:")[2], r.type, r.dst.rpartition("demo:")[2]) for r in g.edges.collect()}
+    assert {("web/Load.tsx", "CONTAINS", "web/Load.tsx:Load"), ("web/Load.tsx:Load", "MAKES_CALL", "web/Load.tsx:Load#call0"), ("web/Load.tsx:Load#call0", "CALLS_ENDPOINT", "backend/views.py:GET /api/users")} <= edges
