@@ -1,22 +1,23 @@
 """Functions paired with their documentation.
 
 Method: the functions, comments and docstrings of a file are found by its grammar.  A docstring is a candidate for the
-function it stands in, a comment for the functions that begin within ``NEAR`` lines below it.  A link is scored by its
+function it stands in, a comment for the one it stands directly before on its line, else for the functions that begin,
+decorators included, within ``NEAR`` lines below it; texts that say nothing are no candidates.  A link is scored by its
 distance, by the parameter tags that name the function's parameters or others, and by its name; code between the two
 speaks against it.  A bipartite assignment of greatest score gives each function at most one text and each text at most
-one function.  Links that score under ``PLAUSIBLE`` are rejected, and so are descriptions that say nothing.
+one function.  Links that score under ``PLAUSIBLE`` are rejected.
 
 ``documented_functions`` returns every pair with the kind of its text, its distance and its score; ``strict`` ones are
-those of a docstring, or in the other languages of a comment that ends on the line above.
+those of a docstring, or in the other languages of a comment that ends on the line above, assigned among themselves.
 
 Defined cases
 -------------
 * Rows with a source extension count, files that don't parse are left out, cut-out functions and methods are read as
   such; of one that was cut off, what stands before the cut is read.  A null or empty content gives no pair.  Repeated
-  rows of an entity_id give one pair each function.
+  rows of an entity_id give one pair each function; rows of one entity_id with other contents give the pairs of each.
 * Not described: blank texts, placeholders, the name alone, tags alone, tool directives alone.
 * Ties of the assignment go to the earlier function.  Very long texts are read whole; empty tables give none.
-* Line numbers count from 1 and lines end at a line feed.  Other columns aren't read.
+* Line numbers count from 1 and lines end at a line feed (a carriage return alone ends a line of Python, uncounted).  Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -171,19 +172,37 @@ def score(function: tuple[str, int, str], text: str, distance: int, code_between
     return out + (0.2 if name in text and name in re.findall(r"[\w$]+", text) else 0.0)
 
 
-def link_texts(functions: list[tuple[str, int, str]], texts: list[tuple[int, int, str]], lines: list[str], inside: dict[int, int] | None = None) -> list[tuple[int, int, int, float]]:
-    """(function, text, distance, score) of the plausible links; texts: first line, last line, text; inside: {text: the function it stands in}."""
+def link_texts(functions: list[tuple[str, int, str, int]], texts: list[tuple[int, int, str]], lines: list[str], inside: dict[int, int] | None = None, says=described, alone: frozenset[int] | set[int] = frozenset(), above: bool = False) -> list[tuple[int, int, int, float]]:
+    """(function, text, distance, score) of the plausible links.
+
+    functions: name, line, parameters, line where it begins; texts: first line, last line, text; inside: {text: the
+    function it stands in or directly before}; alone: texts that have their lines for themselves.  Only texts that say
+    something about a function (``says``) compete for it; ``above``: only those that end on the line above its name.
+    """
     weights: dict[tuple[int, int], float] = {}
     distances: dict[tuple[int, int], int] = {}
     inside = inside or {}
-    by_line: dict[int, list[int]] = {}
-    for f, (_, line, _) in enumerate(functions):
-        by_line.setdefault(line, []).append(f)
+    by_line: dict[int, list[tuple[int, int]]] = {}
+    by_end = {texts[c][1]: c for c in alone}
+    for f, (name, line, _, begin) in enumerate(functions):
+        by_line.setdefault(line, []).append((f, line))
+        if above:
+            continue
+        # Decorators belong to the function, and comments that say nothing about it don't part it from one that does.
+        while begin - 1 in by_end and not says(texts[by_end[begin - 1]][2], name):
+            begin = texts[by_end[begin - 1]][0]
+        if begin < line:
+            by_line.setdefault(begin, []).append((f, begin))
     for c, (_, last, text) in enumerate(texts):
-        near = [(inside[c], 0)] if c in inside else [(f, line - last) for line in range(last + 1, last + 1 + NEAR) for f in by_line.get(line, ())]
-        for f, distance in near:
-            between = any(x.strip() and not x.lstrip().startswith(("@", "#", "//")) for x in lines[last : functions[f][1] - 1]) if distance > 1 else False
-            weights[f, c] = score(functions[f], text, distance, between) - 1e-6 * f / (1 + len(functions))
+        if c in inside:
+            near = {inside[c]: (0, last)}
+        else:
+            near = {f: (top - last, top) for top in range(last + (1 if above else NEAR), last, -1) for f, top in by_line.get(top, ())}
+        for f, (distance, top) in near.items():
+            if not says(text, functions[f][0]):
+                continue
+            between = any(x.strip() and not x.lstrip().startswith(("@", "#", "//")) for x in lines[last : top - 1]) if distance > 1 else False
+            weights[f, c] = score(functions[f][:3], text, distance, between) - 1e-6 * f / (1 + len(functions))
             distances[f, c] = distance
     plausible = {k: w for k, w in weights.items() if w >= PLAUSIBLE - 1e-3}
     # Each connected part is assigned by itself.
@@ -246,8 +265,18 @@ def _functions(tree: ast.Module):
                 stack += reversed(inner)
 
 
-def python_pairs(text: str, whole: bool) -> list[Pair]:
+_CARRIAGE_RETURN = re.compile(r"\r(?!\n)")
+_LINE = re.compile(r"\r\n|\r|\n")
+
+
+def python_pairs(text: str, whole: bool, strict: bool = False) -> list[Pair]:
     """The described functions of a Python text; ``whole``: the text is a file, not a part of one."""
+    if "\r" in text and _CARRIAGE_RETURN.search(text):
+        # Python ends a line at a carriage return alone, too: read with its lines, counted by line feeds.
+        feeds = [1]
+        for m in _LINE.finditer(text):
+            feeds.append(feeds[-1] + (m.group() != "\r"))
+        return [(name, feeds[line - 1], *rest) for name, line, *rest in python_pairs(_LINE.sub("\n", text), whole, strict)]
     tree, shift, body = (parse_python(text), 0, text) if whole else _longest(text)
     if tree is None:
         return []
@@ -263,29 +292,26 @@ def python_pairs(text: str, whole: bool) -> list[Pair]:
         if doc is not None:
             inside[len(texts)] = len(functions)
             texts.append((last, node.body[0].end_lineno - shift, doc))
-        functions.append((node.name, line, known))
+        functions.append((node.name, line, known, min(line, *(x.lineno - shift for x in (node, *node.decorator_list)))))
     if not functions:
         return []
-    # Comments of their own lines that end within NEAR lines above a function.
+    if strict:
+        return [(*functions[f][:2], texts[c][2], "docstring", distance, w) for f, c, distance, w in link_texts(functions, texts, lines, inside)]
+    # Comments of their own lines that end within NEAR lines above a function or its first decorator.
     blocks: dict[int, int] = {}
-    for _, line, _ in functions:
-        for end in range(line - 1, max(0, line - 1 - NEAR), -1):
-            if end in blocks or not lines[end - 1].lstrip().startswith("#") or end < len(lines) and end + 1 < line and lines[end].lstrip().startswith("#"):
-                continue
-            begin = end
-            while begin > 1 and lines[begin - 2].lstrip().startswith("#"):
-                begin -= 1
-            blocks[end] = begin
+    for end in sorted({end for _, line, _, top in functions for x in {line, top} for end in range(x - 1, max(0, x - 1 - NEAR), -1)}, reverse=True):
+        if not lines[end - 1].lstrip().startswith("#") or end < len(lines) and lines[end].lstrip().startswith("#"):
+            continue
+        begin = end
+        while begin > 1 and lines[begin - 2].lstrip().startswith("#"):
+            begin -= 1
+        blocks[end] = begin
     if blocks and ('"""' in body or "'''" in body):
         blocked = {n for x in ast.walk(tree) if isinstance(x, ast.Constant) and isinstance(x.value, (str, bytes)) and x.end_lineno > x.lineno for n in range(x.lineno - shift, x.end_lineno - shift + 1)}
         blocks = {end: begin for end, begin in blocks.items() if end not in blocked}
     texts += [(begin, end, "\n".join(x.lstrip().lstrip("#").strip() for x in lines[begin - 1 : end])) for end, begin in sorted(blocks.items())]
-    out = []
-    for f, c, distance, w in link_texts(functions, texts, lines, inside):
-        name, line, _ = functions[f]
-        if described(texts[c][2], name):
-            out.append((name, line, texts[c][2], "docstring" if c in inside else "comment", distance, w))
-    return out
+    links = link_texts(functions, texts, lines, inside, alone=set(range(len(texts))) - set(inside))
+    return [(*functions[f][:2], texts[c][2], "docstring" if c in inside else "comment", distance, w) for f, c, distance, w in links]
 
 
 _BRACKET = re.compile(r"[()]|=>|[;{]")
@@ -306,16 +332,21 @@ def _parameters(text: str, at: int, stop: int) -> str:
     return text[at:stop]
 
 
-def ecma_pairs(text: str, ts: bool, jsx: bool, whole: bool) -> list[Pair]:
-    """The described functions of a JavaScript or TypeScript text."""
+_HEAD = re.compile(r"(?:[ \t]|\*|[a-z]+\b)*")
+
+
+def ecma_pairs(text: str, ts: bool, jsx: bool, whole: bool, strict: bool = False) -> list[Pair]:
+    """The described functions of a JavaScript or TypeScript text; a part may be the inside of a class or of an object."""
     parser = None
     best: ecma.Parser | None = None
-    for members in (False,) if whole else (False, True):
-        p, error = ecma.read(text, ts, jsx, members)
+    for inside in ("",) if whole else ("", "class", "object"):
+        p, error = ecma.read(text, ts, jsx, inside)
         if error is None:
-            parser = p
-            break
-        if p is not None and (best is None or p.s > best.s):
+            if parser is None or p.functions:
+                parser = p
+            if p.functions:
+                break
+        elif p is not None and (best is None or p.s > best.s):
             best = p
     if parser is None:
         if whole or best is None:
@@ -329,7 +360,7 @@ def ecma_pairs(text: str, ts: bool, jsx: bool, whole: bool) -> list[Pair]:
         starts.append(at + 1)
         at = text.find("\n", at + 1)
     line_of = lambda o: bisect_right(starts, o)
-    comments = []
+    comments, ends = [], []
     for a, b in sorted(set(parser.comments)):
         # A stretch of blanks and comments: a block comment stands by itself, adjacent line comments are one.
         last = None
@@ -347,27 +378,32 @@ def ecma_pairs(text: str, ts: bool, jsx: bool, whole: bool) -> list[Pair]:
                 last = [line, end, m.group(), False]
             if own or m.group().startswith("/*"):
                 comments.append(last)
+                ends.append((e, own))
     found = sorted(set(parser.functions), key=lambda x: x[1])
-    ends = [o for _, o in found[1:]] + [len(text)]
-    functions = [(n, line_of(o), _parameters(text, o, end)) for (n, o), end in zip(found, ends)]
-    texts = [(a, b, t) for a, b, t, _ in comments]
-    out = []
-    for f, c, distance, w in link_texts(functions, texts, text.split("\n")):
-        name, line, _ = functions[f]
-        doc = clean_comment(texts[c][2])
-        if described(doc, name):
-            out.append((name, line, doc, "comment", distance, w))
-    return out
-
-
-def pairs(path: str | None, text: str | None, whole: bool) -> list[Pair]:
-    """The functions of a source text that have a description."""
+    stops = [o for _, o in found[1:]] + [len(text)]
+    functions = [(n, line_of(o), _parameters(text, o, stop), line_of(parser.begins.get(o, o))) for (n, o), stop in zip(found, stops)]
+    texts = [(a, b, clean_comment(t)) for a, b, t, _ in comments]
+    lines = text.split("\n")
+    # A comment with nothing but the declaration's words between it and the name stands directly before the function.
+    before: dict[int, int] = {}
+    at = [o for _, o in found]
+    for c, (e, _) in enumerate(() if strict else ends):
+        f = bisect_right(at, e)
+        if f < len(found) and functions[f][1] == texts[c][1] and _HEAD.fullmatch(text, e, at[f]):
+            before[c] = f
+    alone = {c for c, (e, own) in enumerate(ends) if own and not text[e : starts[texts[c][1]] if texts[c][1] < len(starts) else len(text)].strip()}
+    links = link_texts(functions, texts, lines, before, alone=alone, above=strict)
+    return [(*functions[f][:2], texts[c][2], "comment", distance, w) for f, c, distance, w in links]
+
+
+def pairs(path: str | None, text: str | None, whole: bool, strict: bool = False) -> list[Pair]:
+    """The functions of a source text that have a description; ``strict``: by its docstring or the comment on the line above."""
     ext = extension(path)
     if not text or ext not in SOURCE:
         return []
     if ext == "py":
-        return python_pairs(text, whole)
-    return ecma_pairs(text, ext in ("ts", "tsx"), ext in ("jsx", "tsx"), whole)
+        return python_pairs(text, whole, strict)
+    return ecma_pairs(text, ext in ("ts", "tsx"), ext in ("jsx", "tsx"), whole, strict)
 
 
 _PAIR = "entity_id string, line_no bigint, function string, description string, kind string, distance int, score double"
@@ -376,7 +412,7 @@ _PAIR = "entity_id string, line_no bigint, function string, description string,
 def documented_functions(results: DataFrame, strict: bool = False) -> DataFrame:
     """(entity_id, line_no, function, description, kind, distance, score) of each described function of each row.
 
-    ``strict`` keeps docstrings in Python, and elsewhere comments that end on the line above.
+    ``strict`` reads docstrings in Python, and elsewhere comments that end on the line above; no other text competes.
     """
     rows = results.where(F.lower("file_path").rlike(r"\.(" + "|".join(sorted(SOURCE)) + r")$") & F.col("content").isNotNull()).select("entity_id", "entity_type", "file_path", "content")
 
@@ -385,12 +421,10 @@ def documented_functions(results: DataFrame, strict: bool = False) -> DataFrame:
             out: list[list] = [[] for _ in range(7)]
             kinds, paths = b.column(1).to_pylist(), b.column(2).to_pylist()
             for i, kind, path, text in zip(b.column(0).to_pylist(), kinds, paths, b.column(3)):
-                for name, line, doc, sort, distance, w in pairs(path, text.as_py(), kind == "File"):
-                    if strict and distance != (0 if extension(path) == "py" else 1):
-                        continue
+                for name, line, doc, sort, distance, w in pairs(path, text.as_py(), kind == "File", strict):
                     for column, x in zip(out, (i, line, name, doc, sort, distance, w)):
                         column.append(x)
             types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["entity_id", "line_no", "function", "description", "kind", "distance", "score"])
 
-    return spread(rows).mapInArrow(run, _PAIR).dropDuplicates(["entity_id", "line_no", "function"])
+    return spread(rows).mapInArrow(run, _PAIR).distinct()

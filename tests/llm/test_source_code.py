@@ -281,3 +281,36 @@ def test_credentials_of_any_length_and_over_cuts():
             assert [text[a:b] for a, b, _ in spans] == ["k3J9wQ7z!"], (gap, before)
     line = "a" * 9_000 + ' password="k3J9wQ7z!"\n'
     assert len(s.scan([line * 3])[0]) == 3
+
+
+TAGGED_ABOVE = "/** Old words of load.\n * @param rows a\n * @param b a\n */\n// Joins the rows quickly\nfunction load(rows, b) {}\n"
+
+
+def test_no_function_is_left_out_for_a_text_that_loses_or_says_nothing(spark):
+    at = lambda path, text, whole=True, strict=False: {(n, line): (doc.split("\n")[0].strip(), d) for n, line, doc, _, d, _ in doc_pairs.pairs(path, text, whole, strict)}
+    # The farther comment wins by its tags; the strict pairs are of the line above all the same.
+    assert at("a.js", TAGGED_ABOVE) == {("load", 6): ("Old words of load.", 2)}
+    assert at("a.js", TAGGED_ABOVE, strict=True) == {("load", 6): ("Joins the rows quickly", 1)}
+    # Directives and placeholders don't take the place of a description.
+    directive = "/** Joins the rows. */\n// eslint-disable-next-line no-x\nfunction load(rows) {}\n"
+    assert at("a.js", directive) == {("load", 3): ("Joins the rows.", 1)} and at("a.js", directive, strict=True) == {}
+    placeholder = "# Joins the rows\ndef f(x):\n    '''TODO'''\n"
+    assert at("a.py", placeholder) == {("f", 2): ("Joins the rows", 1)} and at("a.py", placeholder, strict=True) == {}
+    # A function begins with its decorators.
+    assert at("a.py", "# Joins the rows\n@one\n@two(\n    a,\n    b)\ndef f(x):\n    pass\n") == {("f", 6): ("Joins the rows", 1)}
+    method = "class A {\n  /** Joins the rows. */\n  @One({\n    a: 1,\n  })\n  m(x) {}\n}\n"
+    assert at("a.ts", method) == {("m", 6): ("Joins the rows.", 1)} and at("a.ts", method, strict=True) == {}
+    # A comment directly before the function on its line.
+    assert at("a.js", "/** Joins\n * the rows. */ export async function f() {}\nx = {a() {}, /** Reads one. */ get b() {}}\n") == {("f", 2): ("Joins", 0), ("b", 3): ("Reads one.", 0)}
+    # Parts of objects; functions in parentheses.
+    member = "  /** Joins the rows. */\n  load: {} (x) => {{\n    return 1;\n  }},\n  /** Writes one. */\n  save(x) {{}},\n"
+    assert at("a.js", member.format("async"), False) == at("a.js", member.format(""), False, True) == {("load", 2): ("Joins the rows.", 1), ("save", 6): ("Writes one.", 1)}
+    assert at("a.ts", "/** Joins the rows. */\nconst f = ((x) => x) as Join;\n/** Calls one. */\nconst g = (() => 1)();\n") == {("f", 2): ("Joins the rows.", 1)}
+    df = results(spark, [("a", "File", "a.js", TAGGED_ABOVE), ("a", "File", "a.js", "\n\n\n\n// Reads one row\nfunction load(rows) {}\n"), ("b", "File", "b.js", directive)])
+    assert {(r.entity_id, r.line_no, r.description.strip()) for r in doc_pairs.documented_functions(df, strict=True).collect()} == {("a", 6, "Joins the rows quickly"), ("a", 6, "Reads one row")}
+
+
+def test_carriage_returns_alone():
+    text = "# Writes a row\rdef f():\r    pass\r\n\n\n# Reads\r# one\n@x\rdef g():\n    '''Joins\rrows.'''\n"
+    assert {(n, line, doc) for n, line, doc, *_ in doc_pairs.pairs("a.py", text, True)} == {("f", 1, "Writes a row"), ("g", 5, "Joins\nrows.")}
+    assert [(n, line) for n, line, *_ in doc_pairs.pairs("a.py", "def g():\r    '''Joins rows.'''\r    x = (\r", False)] == [("g", 1)]
