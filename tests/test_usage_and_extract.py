@@ -174,3 +174,15 @@ def test_entry_contract():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "p2_found" in e.queries()
+
+
+def test_extracted_entities_of_a_table(spark, tmp_path):
+    import __spark_entry__ as e
+
+    rows = [
+        ("repo:r:a.jsx", "File", "a.jsx", "import React from 'react';\nexport const A = async () => <p/>;\nconst b = async(1);\n"), ("repo:r:a.jsx", "File", "a.jsx", "import React from 'react';\nexport const A = async () => <p/>;\nconst b = async(1);\n"),
+        ("repo:r:b.ts", "File", "b.ts", "import x from 'x';\nlet t: (A | B)[] = [];\nconst f = async <T>(y: T) => y;\n"), ("repo:s:c.py", "File", "c.py", "def f(): pass\n"), ("repo:s:c.py:f", "Function", "c.py", "def f(): pass\n"), ("repo:s:d.py", "File", "d.py", None),
+    ]
+    spark.createDataFrame(rows, "entity_id string, entity_type string, file_path string, content string").write.parquet(str(tmp_path / "search_results.parquet"))
+    got = sorted(tuple(r) for r in e.queries()["extracted_entities"](spark, str(tmp_path)).collect())
+    assert got == [("r", "Component", 1), ("r", "Import", 2), ("s", "Function", 1)]
