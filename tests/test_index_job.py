@@ -61,3 +61,14 @@ def test_async_arrows_and_parenthesised_types_are_indexed(spark):
     g = GraphBuild(spark.createDataFrame([("demo", "backend/views.py", FILES["backend/views.py"]), ("demo", "web/Load.tsx", web)], "repository string, file_path string, content string"))
     edges = {(r.src.rpartition("demo:")[2], r.type, r.dst.rpartition("demo:")[2]) for r in g.edges.collect()}
     assert {("web/Load.tsx", "CONTAINS", "web/Load.tsx:Load"), ("web/Load.tsx:Load", "MAKES_CALL", "web/Load.tsx:Load#call0"), ("web/Load.tsx:Load#call0", "CALLS_ENDPOINT", "backend/views.py:GET /api/users")} <= edges
+
+
+def test_indexed_graph_of_a_table(spark, tmp_path):
+    import __spark_entry__ as e
+
+    web = "import React from 'react';\nexport const Load = async (props) => {\n  const load = async (id) => { await fetch('/api/users'); };\n  return <ul/>;\n};\n"
+    rows = [("repo:demo:backend/views.py", "File", "backend/views.py", FILES["backend/views.py"])] + [("repo:demo:web/Load.jsx", "File", "web/Load.jsx", web)] * 2 + [("repo:demo:web/Load.jsx:Load", "Component", "web/Load.jsx", web)]
+    spark.createDataFrame(rows, "entity_id string, entity_type string, file_path string, content string").write.parquet(str(tmp_path / "search_results.parquet"))
+    # The call meets the list endpoint and, as a list variant, the one with a parameter.
+    got = {(r.kind, r.type): r.n for r in e.queries()["indexed_graph"](spark, str(tmp_path)).collect()}
+    assert got == {("node", "Repository"): 1, ("node", "File"): 2, ("node", "Function"): 4, ("node", "Endpoint"): 3, ("node", "Component"): 1, ("node", "ApiCall"): 1, ("edge", "CONTAINS"): 10, ("edge", "CALLS"): 2, ("edge", "HANDLES_REQUEST"): 3, ("edge", "MAKES_CALL"): 1, ("edge", "CALLS_ENDPOINT"): 2}
