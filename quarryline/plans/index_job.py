@@ -9,15 +9,30 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.code_text import node_id, normalize_url
 from quarryline.operators import extract, graph, lines, retrieval
+from quarryline.operators.sized import small_bytes
 from quarryline.session import cut_lineage
 
 _API = "array<struct<method:string,url:string,line:int>>"
+_FIELD = "array<struct<name:string,type:string,to:string,relation:string>>"
+#: What a broadcast row takes beside its text.
+_ROW_BYTES = 96
+_NODE_KINDS = ("Function", "Method", "Class", "Model", "Component", "Endpoint", "Route", "Serializer")
 
 
 def _column(name: str, kind: str):
     return F.lit(None).cast(kind).alias(name)
 
 
+def _endpoint_path():
+    return normalize_url(F.concat(F.lit("/"), F.regexp_replace(F.get_json_object("extra", "$.path"), "^/+", "")))
+
+
+def _repository_of(file_id: str, path: str):
+    """Column: what ``node_id`` has between its mark and the path."""
+    tail = F.length(F.coalesce(path, F.lit("")))
+    return F.substring(file_id, F.lit(6), F.length(file_id) - 5 - F.when(tail > 0, tail + 1).otherwise(0))
+
+
 def dotted_suffixes(path: str):
     """Column: the module names a Python file can be imported by, from its own name to its whole path."""
     parts = F.split(F.regexp_replace(F.regexp_replace(path, r"\.py$", ""), "/__init__$", ""), "/")
@@ -28,23 +43,28 @@ class GraphBuild:
     """Nodes and edges of repositories: files (repository, file_path, content).
 
     Names are resolved by equality joins with priorities (same file, then repository, then anywhere), the first by
-    (path, line); edges keep only existing ends and are distinct.
+    (path, line); edges keep only existing ends and are distinct.  Contents are read in one pass, which also gives each
+    file's row; entities are written once, and nodes are a view of them.
     """
 
     def __init__(self, files: DataFrame):
         files = files.where(F.col("content").isNotNull()).withColumn("file_id", node_id(F.col("repository"), F.col("file_path")))
-        e = extract.extract_entities(files, "file_id")
-        e = e.withColumnRenamed("key", "file_id").withColumn("repository", F.split_part("file_id", F.lit(":"), F.lit(2)))
+        e = extract.extract_entities(files, "file_id", file_rows=True)
+        e = e.withColumnRenamed("key", "file_id").withColumn("repository", _repository_of("file_id", "file_path"))
         full = F.when(F.col("parent").isNotNull() & (F.col("entity_kind") == "Method"), F.concat_ws(".", "parent", "name")).otherwise(F.col("name"))
-        seq = F.concat_ws("|", "file_path", F.lpad(F.coalesce("start_line", F.lit(0)).cast("string"), 9, "0"))
-        found = cut_lineage(e.withColumn("id", F.concat_ws(":", "file_id", full)).withColumn("seq", seq))
+        is_file = F.col("entity_kind") == "File"
+        seq = F.when(is_file, F.col("file_path")).otherwise(F.concat_ws("|", "file_path", F.lpad(F.coalesce("start_line", F.lit(0)).cast("string"), 9, "0")))
+        found = cut_lineage(e.withColumn("id", F.when(is_file, F.col("file_id")).otherwise(F.concat_ws(":", "file_id", full))).withColumn("seq", seq))
         # A view's own row has no path yet: it keeps apart from the class or function of its name.
         pathless = (F.col("entity_kind") == "Endpoint") & F.get_json_object("extra", "$.path").isNull()
         others = found.where((F.col("entity_kind") != "Endpoint") | pathless).withColumn("id", F.when(pathless, F.concat("id", F.lit(":endpoint"))).otherwise(F.col("id")))
         self.files = files
-        self.entities = cut_lineage(others.unionByName(self._wired(found, pathless)))
+        self.heads = found.where(is_file)
+        self._all = others.unionByName(cut_lineage(self._wired(found, pathless)))
+        self.entities = self._all.where("entity_kind <> 'File'")
+        self._calls = cut_lineage(self._api_calls())
         self.nodes = self._nodes()
-        self.edges = cut_lineage(graph.upsert_edges(self._edges(), self.nodes))
+        self.edges = cut_lineage(self._edges())
 
     def _wired(self, found: DataFrame, pathless) -> DataFrame:
         """Endpoints with a path: the prefixes of the files that include theirs put before it, and their view's method.
@@ -52,10 +72,10 @@ class GraphBuild:
         A view with exactly one method gives it to its routes, any other leaves ANY; of several views of one name in a
         repository the last counts.  A module is the file whose path ends with it.
         """
-        paths = self.files.where(F.col("file_path").endswith(".py")).select(F.col("file_id").alias("child"), "repository", F.col("file_path").alias("_path"), F.explode(dotted_suffixes("file_path")).alias("module"))
+        paths = self.heads.where(F.col("file_path").endswith(".py")).select(F.col("file_id").alias("child"), "repository", F.col("file_path").alias("_path"), F.explode(dotted_suffixes("file_path")).alias("module"))
         includes = found.where("entity_kind = 'Include'").select(F.col("file_id").alias("parent"), "repository", F.col("name").alias("prefix"), F.get_json_object("extra", "$.module").alias("module"))
         known = includes.join(paths, ["repository", "module"]).groupBy("parent", "repository", "prefix", "module").agg(F.min_by("child", F.struct(F.length("_path"), "_path")).alias("child"))
-        prefixes = graph.include_prefixes(known.where("child <> parent").select("child", "parent", "prefix").distinct())
+        prefixes = graph.include_prefixes(cut_lineage(known.where("child <> parent").select("child", "parent", "prefix").distinct()))
         views = found.where(pathless).select("repository", F.col("parent").alias("_view"), F.from_json(F.get_json_object("extra", "$.methods"), "array<string>").alias("_methods"), "seq")
         views = views.groupBy("repository", "_view").agg(F.max_by("_methods", "seq").alias("_methods"))
         routes = found.where((F.col("entity_kind") == "Endpoint") & ~pathless)
@@ -74,17 +94,23 @@ class GraphBuild:
         return self.entities.where(F.col("entity_kind").isin(*kinds))
 
     def _nodes(self) -> DataFrame:
-        f = self.files
-        repos = f.groupBy("repository").agg(F.count("*").alias("_n")).select(node_id(F.col("repository")).alias("id"), F.lit("Repository").alias("type"), F.col("repository").alias("name"), "repository", *(_column(c, t) for c, t in (("file_path", "string"), ("start_line", "int"), ("end_line", "int"), ("signature", "string"), ("docstring", "string"), ("extra", "string"))), F.lit("").alias("seq"))
-        lines_in = F.size(F.split("content", "\n"))
-        shas = F.to_json(F.struct(F.sha2("content", 256).alias("content_hash"), F.length("content").alias("size"), lines_in.alias("line_count")))
-        fs = f.select(F.col("file_id").alias("id"), F.lit("File").alias("type"), F.element_at(F.split("file_path", "/"), -1).alias("name"), "repository", "file_path", F.lit(1).alias("start_line"), lines_in.alias("end_line"), _column("signature", "string"), _column("docstring", "string"), shas.alias("extra"), F.col("file_path").alias("seq"))
-        ents = self._kind("Function", "Method", "Class", "Model", "Component", "Endpoint", "Route", "Serializer").select("id", F.when(F.col("entity_kind") == "Serializer", "Class").otherwise(F.col("entity_kind")).alias("type"), "name", "repository", "file_path", "start_line", "end_line", "signature", "docstring", "extra", "seq")
-        calls = self.api_calls().select("id", F.lit("ApiCall").alias("type"), F.concat_ws(" ", "method", "raw_url").alias("name"), "repository", "file_path", F.col("line").alias("start_line"), F.col("line").alias("end_line"), _column("signature", "string"), _column("docstring", "string"), F.to_json(F.struct("method", "url")).alias("extra"), F.col("id").alias("seq"))
-        rows = reduce(DataFrame.unionByName, [repos, fs, ents, calls])
-        return cut_lineage(retrieval.first_seen(rows, ["id"], ["seq", "start_line"]))
+        empty = lambda *names: [_column(c, "string") for c in names]
+        repos = self.heads.select("repository").distinct().select(node_id(F.col("repository")).alias("id"), F.lit("Repository").alias("type"), F.col("repository").alias("name"), "repository", *empty("file_path"), _column("start_line", "int"), _column("end_line", "int"), *empty("signature", "docstring", "extra"), F.lit("").alias("seq"))
+        kind = F.col("entity_kind")
+        name = F.when(kind == "File", F.element_at(F.split("file_path", "/"), -1)).otherwise(F.col("name"))
+        ents = self._all.where(kind.isin("File", *_NODE_KINDS)).select("id", F.when(kind == "Serializer", "Class").otherwise(kind).alias("type"), name.alias("name"), "repository", "file_path", "start_line", "end_line", "signature", "docstring", "extra", "seq")
+        calls = self._calls.select("id", F.lit("ApiCall").alias("type"), F.concat_ws(" ", "method", "raw_url").alias("name"), "repository", "file_path", F.col("line").alias("start_line"), F.col("line").alias("end_line"), *empty("signature", "docstring"), F.to_json(F.struct("method", "url")).alias("extra"), F.col("id").alias("seq"))
+        rows = reduce(DataFrame.unionByName, [repos, ents, calls])
+        # Only rows of an id that occurs again are moved; the last orders make the choice the same for any partitioning.
+        repeated = small_bytes(cut_lineage(rows.groupBy("id").count().where("count > 1").select("id")), F.octet_length("id") + _ROW_BYTES)
+        once = rows.join(repeated, "id", "left_anti")
+        more = retrieval.first_seen(rows.join(repeated, "id", "left_semi"), ["id"], ["seq", "start_line", "type", "name", "end_line", "signature", "docstring", "extra"])
+        return once.unionByName(more)
 
     def api_calls(self) -> DataFrame:
+        return self._calls
+
+    def _api_calls(self) -> DataFrame:
         c = self._kind("Component").select("id", "repository", "file_path", F.from_json(F.get_json_object("extra", "$.api_calls"), _API).alias("_c"))
         rows = c.select(F.col("id").alias("component"), "repository", "file_path", F.posexplode("_c").alias("_i", "_x"))
         rows = rows.select("component", "repository", "file_path", F.concat(F.col("component"), F.lit("#call"), F.col("_i").cast("string")).alias("id"), F.upper("_x.method").alias("method"), F.col("_x.url").alias("raw_url"), normalize_url(F.translate("_x.url", "`", "")).alias("url"), F.col("_x.line").alias("line"))
@@ -92,53 +118,77 @@ class GraphBuild:
 
     def endpoints(self) -> DataFrame:
         e = self._kind("Endpoint")
-        path = normalize_url(F.concat(F.lit("/"), F.regexp_replace(F.get_json_object("extra", "$.path"), "^/+", "")))
-        return e.select("id", "repository", "file_id", "parent", F.coalesce(F.get_json_object("extra", "$.method"), F.lit("ANY")).alias("method"), path.alias("path"), F.get_json_object("extra", "$.view").alias("view")).where("path is not null and path <> ''")
-
-    def _resolved(self, refs: DataFrame, targets: DataFrame) -> DataFrame:
-        """refs (src, file_id, repository, ref) to targets (id, file_id, repository, ref, seq) by priority."""
-        anywhere = targets.groupBy("ref").agg(F.min_by("id", "seq").alias("id"), F.min("seq").alias("seq"))
-        return graph.resolve_first(refs, "ref", [(targets, ["ref", "file_id"], 0), (targets.drop("file_id"), ["ref", "repository"], 1), (anywhere, "ref", 2)], ["src", "file_id", "repository"])
+        return e.select("id", "repository", "file_id", "parent", F.coalesce(F.get_json_object("extra", "$.method"), F.lit("ANY")).alias("method"), _endpoint_path().alias("path"), F.get_json_object("extra", "$.view").alias("view")).where("path is not null and path <> ''")
+
+    def _references(self) -> DataFrame:
+        """(type, role, ref, src, file_id, repository): what each entity names, and the role the named one has."""
+        kind, extra = F.col("entity_kind"), lambda k: F.get_json_object("extra", f"$.{k}")
+        of = lambda type, role, names: F.transform(names, lambda x: F.struct((F.lit(type) if isinstance(type, str) else type(x)).alias("type"), F.lit(role).alias("role"), (x if isinstance(type, str) else x["to"]).alias("ref")))
+        last = lambda c: F.element_at(F.split(c, r"\."), -1)
+        words = F.array_distinct(F.concat(F.flatten(F.transform("calls", lambda c: F.split(c, r"\."))), F.flatten(F.transform("params", lambda p: F.split(p, r"[^\w]+"))), F.split(F.coalesce("returns", F.lit("")), r"[^\w]+")))
+        bases = of("INHERITS", "class", F.col("bases"))
+        fields = of(lambda x: x["relation"], "class", F.filter(F.from_json(extra("fields"), _FIELD), lambda x: x["relation"].isNotNull()))
+        view = last(F.regexp_replace(F.coalesce(extra("view"), "parent"), r"\.as_view$", ""))
+        # A module is named whole or as the place of the name that is imported.
+        module = F.regexp_replace("name", r"^\.+", "")
+        modules = F.array(module, F.regexp_replace(module, r"\.[^.]+$", ""))
+        named = (
+            F.when(kind.isin("Function", "Method"), F.concat(of("CALLS", "function", F.array_distinct(F.transform("calls", last))), of("USES_MODEL", "model", words)))
+            .when(kind == "Model", F.concat(bases, F.coalesce(fields, F.array())))
+            .when(kind.isin("Class", "Serializer"), bases)
+            .when(kind == "Import", of("IMPORTS", "module", modules))
+            .when((kind == "Endpoint") & (_endpoint_path() != ""), of("HANDLES_REQUEST", "view", F.array(view)))
+            .when(kind == "Route", of("RENDERS_AT", "component", F.array("parent")))
+        )
+        src = F.when(kind == "Import", F.col("file_id")).otherwise(F.col("id"))
+        return self._all.select(src.alias("src"), "file_id", "repository", F.explode(named).alias("_n")).select("_n.*", "src", "file_id", "repository").where("ref <> ''")
+
+    def _targets(self) -> DataFrame:
+        """(role, ref, id, file_id, repository, seq): each entity under the names and roles it can be referred to by."""
+        kind = F.col("entity_kind")
+        of = lambda *roles: F.array(*(F.struct(F.lit(r).alias("role"), F.col("name").alias("ref")) for r in roles))
+        modules = F.transform(dotted_suffixes("file_path"), lambda m: F.struct(F.lit("module").alias("role"), m.alias("ref")))
+        roles = (
+            F.when((kind == "File") & F.col("file_path").endswith(".py"), modules)
+            .when(kind.isin("Function", "Method"), of("function", "view"))
+            .when(kind == "Model", of("class", "view", "model"))
+            .when(kind.isin("Class", "Serializer"), of("class", "view"))
+            .when(kind == "Component", of("component"))
+        )
+        return self._all.select(F.explode(roles).alias("_n"), "id", "file_id", "repository", "seq").select("_n.*", "id", "file_id", "repository", "seq")
+
+    def _resolved(self) -> DataFrame:
+        """(src, dst, type) of all references, each to its first target in the file, else the repository, else anywhere.
+
+        Modules are looked for in the repository alone.  Each level is one row a name, so no join makes pairs.
+        """
+        keys, targets = ["role", "ref"], self._targets()
+        names = small_bytes(cut_lineage(targets.select(*keys).distinct()), F.octet_length("ref") + _ROW_BYTES)
+        refs = cut_lineage(self._references().join(names, keys, "left_semi"))
+        first = lambda rows, on, least: rows.groupBy(*on).agg(F.min(least).alias("_t"))
+        level = lambda rows, on, name: rows.select(*on, F.col("_t.id").alias(name))
+        live = targets.join(small_bytes(cut_lineage(refs.select(*keys).distinct()), F.octet_length("ref") + _ROW_BYTES), keys, "left_semi")
+        in_file = first(live, [*keys, "repository", "file_id"], F.struct("seq", "id"))
+        in_repository = first(in_file, [*keys, "repository"], "_t")
+        anywhere = first(in_repository, keys, "_t")
+        hit = refs.join(level(in_file, [*keys, "repository", "file_id"], "_f"), [*keys, "repository", "file_id"], "left")
+        hit = hit.join(level(in_repository, [*keys, "repository"], "_r"), [*keys, "repository"], "left").join(level(anywhere, keys, "_a"), keys, "left")
+        target = F.when(F.col("role") == "module", F.col("_r")).otherwise(F.coalesce("_f", "_r", "_a"))
+        ends = hit.select("type", "src", target.alias("dst")).where("dst is not null and (type <> 'IMPORTS' or src <> dst)")
+        back = F.col("type") == "RENDERS_AT"
+        return ends.select(F.when(back, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(back, F.col("src")).otherwise(F.col("dst")).alias("dst"), "type")
 
     def _edges(self) -> DataFrame:
-        out = []
-        edge = lambda df, src, dst, type: df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), (F.lit(type) if isinstance(type, str) else type).alias("type"))
-        out.append(edge(self.files.withColumn("_r", node_id(F.col("repository"))), "_r", "file_id", "CONTAINS"))
-        inner = self._kind("Function", "Method", "Class", "Model", "Component", "Endpoint", "Route", "Serializer")
-        out.append(edge(inner, "file_id", "id", "CONTAINS"))
-        out.append(edge(self._kind("Method").withColumn("_o", F.concat_ws(":", "file_id", "parent")), "_o", "id", "CONTAINS"))
-        classes = self._kind("Class", "Model", "Serializer").select("id", "file_id", "repository", F.col("name").alias("ref"), "seq")
-        bases = self._kind("Class", "Model", "Serializer").select(F.col("id").alias("src"), "file_id", "repository", F.explode("bases").alias("ref"))
-        out.append(edge(self._resolved(bases, classes), "src", "target", "INHERITS"))
-        field = "array<struct<name:string,type:string,to:string,relation:string>>"
-        fields = self._kind("Model").select(F.col("id").alias("src"), "file_id", "repository", F.explode(F.from_json(F.get_json_object("extra", "$.fields"), field)).alias("f")).where("f.relation is not null")
-        keys = self._resolved(fields.select("src", "file_id", "repository", F.col("f.to").alias("ref")).distinct(), classes).join(fields.select("src", F.col("f.to").alias("ref"), F.col("f.relation").alias("relation")).distinct(), ["src", "ref"])
-        out.append(edge(keys, "src", "target", F.col("relation")))
-        functions = self._kind("Function", "Method").select("id", "file_id", "repository", F.col("name").alias("ref"), "seq")
-        calls = self._kind("Function", "Method").select(F.col("id").alias("src"), "file_id", "repository", F.explode("calls").alias("_c")).select("src", "file_id", "repository", F.element_at(F.split("_c", r"\."), -1).alias("ref")).distinct()
-        out.append(edge(self._resolved(calls, functions), "src", "target", "CALLS"))
-        # A module name is matched by the dotted suffixes of each Python file's path.
-        modules = self.files.where(F.col("file_path").endswith(".py")).select(F.col("file_id").alias("id"), "repository", F.col("file_path").alias("seq"), F.explode(dotted_suffixes("file_path")).alias("ref"))
-        named = self._kind("Import").select(F.col("file_id").alias("src"), "repository", F.regexp_replace("name", r"^\.+", "").alias("_m")).select("src", "repository", F.explode(F.array("_m", F.regexp_replace("_m", r"\.[^.]+$", ""))).alias("ref")).where("ref <> ''").distinct()
-        found = graph.resolve_first(named, "ref", [(modules, ["ref", "repository"], 0)], ["src"])
-        out.append(edge(found.where("src <> target"), "src", "target", "IMPORTS"))
-        api, ends = self.api_calls(), self.endpoints()
-        out.append(edge(api, "component", "id", "MAKES_CALL"))
-        self.links = cut_lineage(graph.link_calls(api.select("id", "method", "url"), ends.select("id", "method", "path")))
-        out.append(self.links.select("src", "dst", F.lit("CALLS_ENDPOINT").alias("type")))
-        handlers = ends.select(F.col("id").alias("src"), "file_id", "repository", F.element_at(F.split(F.regexp_replace(F.coalesce("view", "parent"), r"\.as_view$", ""), r"\."), -1).alias("ref")).where("ref is not null")
-        views = functions.unionByName(classes)
-        handled = self._resolved(handlers, views)
-        out.append(edge(handled, "src", "target", "HANDLES_REQUEST"))
-        models = self._kind("Model").select("id", "file_id", "repository", F.col("name").alias("ref"), "seq")
-        words = self._kind("Function", "Method").select(F.col("id").alias("src"), "file_id", "repository", F.explode(F.array_distinct(F.concat(F.flatten(F.transform("calls", lambda c: F.split(c, r"\."))), F.flatten(F.transform("params", lambda p: F.split(p, r"[^\w]+"))), F.split(F.coalesce("returns", F.lit("")), r"[^\w]+")))).alias("ref"))
-        used = words.join(models.select("ref").distinct(), "ref", "left_semi")
-        out.append(edge(self._resolved(used, models), "src", "target", "USES_MODEL"))
-        routes = self._kind("Route").select(F.col("id").alias("src"), "file_id", "repository", F.col("parent").alias("ref"))
-        components = self._kind("Component").select("id", "file_id", "repository", F.col("name").alias("ref"), "seq")
-        shown = self._resolved(routes, components)
-        out.append(shown.select(F.col("target").alias("src"), F.col("src").alias("dst"), F.lit("RENDERS_AT").alias("type")))
-        return reduce(DataFrame.unionByName, out)
+        """All edges; an end is an entity's own id, but for the class of a method, which is looked up."""
+        kind = F.col("entity_kind")
+        owner = F.when(kind == "File", node_id(F.col("repository"))).otherwise(F.col("file_id"))
+        held = self._all.where(kind.isin("File", *_NODE_KINDS)).select(owner.alias("src"), F.col("id").alias("dst"), F.lit("CONTAINS").alias("type"))
+        methods = self._kind("Method").select(F.concat_ws(":", "file_id", "parent").alias("src"), F.col("id").alias("dst"), F.lit("CONTAINS").alias("type"))
+        methods = methods.join(self.nodes.select(F.col("id").alias("src")), "src", "left_semi")
+        made = self._calls.select(F.col("component").alias("src"), F.col("id").alias("dst"), F.lit("MAKES_CALL").alias("type"))
+        self.links = cut_lineage(graph.link_calls(self._calls.select("id", "method", "url"), self.endpoints().select("id", "method", "path")))
+        linked = self.links.select("src", "dst", F.lit("CALLS_ENDPOINT").alias("type"))
+        return reduce(DataFrame.unionByName, [held, methods, self._resolved(), made, linked]).dropDuplicates(["src", "type", "dst"])
 
     def chunks(self, dimension: int = 64) -> DataFrame:
         """Searchable chunks of all nodes but files and repositories, with embeddings."""

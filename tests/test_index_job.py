@@ -1,3 +1,7 @@
+import hashlib
+
+from pyspark.sql import functions as F
+
 from quarryline.operators import graph
 from quarryline.plans.index_job import GraphBuild
 
@@ -72,3 +76,26 @@ def test_indexed_graph_of_a_table(spark, tmp_path):
     # The call meets the list endpoint and, as a list variant, the one with a parameter.
     got = {(r.kind, r.type): r.n for r in e.queries()["indexed_graph"](spark, str(tmp_path)).collect()}
     assert got == {("node", "Repository"): 1, ("node", "File"): 2, ("node", "Function"): 4, ("node", "Endpoint"): 3, ("node", "Component"): 1, ("node", "ApiCall"): 1, ("edge", "CONTAINS"): 10, ("edge", "CALLS"): 2, ("edge", "HANDLES_REQUEST"): 3, ("edge", "MAKES_CALL"): 1, ("edge", "CALLS_ENDPOINT"): 2}
+
+
+def test_contents_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        read.add(1)
+        return text
+
+    df = spark.createDataFrame([("demo", p, t) for p, t in FILES.items()], "repository string, file_path string, content string")
+    g = GraphBuild(df.withColumn("content", F.udf(counted, "string").asNondeterministic()("content")))
+    assert {(r.kind, r.type): r.n for r in g.stats().collect()}["node", "File"] == 6 and read.value == len(FILES)
+
+
+def test_file_rows(spark):
+    df = spark.createDataFrame([("demo", "src\\a.md", "\u00e9\n\U0001f600\n"), ("de:mo", "e.py", "")], "repository string, file_path string, content string")
+    g = GraphBuild(df)
+    rows = {r.id: (r.name, r.repository, r.end_line, r.extra) for r in g.nodes.where("type = 'File'").collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert rows == {
+        "repo:demo:src/a.md": ("src\\a.md", "demo", 3, f'{{"content_hash":"{sha("\u00e9\n\U0001f600\n")}","size":4,"line_count":3}}'),
+        "repo:de:mo:e.py": ("e.py", "de:mo", 1, f'{{"content_hash":"{sha("")}","size":0,"line_count":1}}'),
+    }
