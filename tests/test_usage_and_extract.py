@@ -186,3 +186,11 @@ def test_extracted_entities_of_a_table(spark, tmp_path):
     spark.createDataFrame(rows, "entity_id string, entity_type string, file_path string, content string").write.parquet(str(tmp_path / "search_results.parquet"))
     got = sorted(tuple(r) for r in e.queries()["extracted_entities"](spark, str(tmp_path)).collect())
     assert got == [("r", "Component", 1), ("r", "Import", 2), ("s", "Function", 1)]
+
+
+def test_extracted_entities_of_deep_nesting(spark, tmp_path):
+    import __spark_entry__ as e
+
+    rows = [("repo:r:deep.py", "File", "deep.py", "-" * 100_000 + "1"), ("repo:r:b.py", "File", "b.py", "def f(): pass\n"), ("repo:r:c.js", "File", "c.js", "import 'x';\ny = " + "[" * 3000 + "]" * 3000 + ";\n")]
+    spark.createDataFrame(rows, "entity_id string, entity_type string, file_path string, content string").write.parquet(str(tmp_path / "search_results.parquet"))
+    assert sorted(tuple(r) for r in e.queries()["extracted_entities"](spark, str(tmp_path)).collect()) == [("r", "Error", 1), ("r", "Function", 1), ("r", "Import", 1)]
