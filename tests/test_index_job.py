@@ -99,3 +99,12 @@ def test_file_rows(spark):
         "repo:demo:src/a.md": ("src\\a.md", "demo", 3, f'{{"content_hash":"{sha("\u00e9\n\U0001f600\n")}","size":4,"line_count":3}}'),
         "repo:de:mo:e.py": ("e.py", "de:mo", 1, f'{{"content_hash":"{sha("")}","size":0,"line_count":1}}'),
     }
+
+
+def test_contents_of_one_path_give_the_same_graph_in_any_order(spark):
+    rows = [("demo", "a.py", "class A:\n    pass\n"), ("demo", "a.py", "class A(models.Model):\n    x = models.IntegerField()\n"), ("demo", "b.py", "from a import A\ndef f():\n    return A()\n"), ("demo", "a.py", "def A():\n    return 1\n")]
+    graphs = []
+    for order in (rows, rows[::-1], [rows[1], rows[3], rows[0], rows[2]]):
+        g = GraphBuild(spark.createDataFrame(order, "repository string, file_path string, content string").coalesce(1))
+        graphs.append((sorted(map(str, g.nodes.collect())), sorted((r.src, r.type, r.dst) for r in g.edges.collect())))
+    assert graphs[0] == graphs[1] == graphs[2] and len(graphs[0][0]) == 5
